@@ -34,9 +34,13 @@ def _seeds(tokens: str, masks: tuple[tuple[int, ...], ...]) -> Column:
 
 
 def _located(df: DataFrame, keep: list[str], tokens: str, at: str) -> DataFrame:
-    """One row for each seed with the position of its first token."""
+    """One row for each seed with the position of its first token.
+
+    The outer form keeps the optimizer from pushing a filter on the generator, with the tokenizer inlined for
+    every element, below the projection; its null rows match no seed.
+    """
     n = F.size(tokens) - F.lit(SPAN - 1)
-    return df.select(*keep, tokens, F.posexplode("seeds").alias("k", "seed")).select(*keep, tokens, "seed", F.pmod(F.col("k"), n).alias(at))
+    return df.select(*keep, tokens, F.posexplode_outer("seeds").alias("k", "seed")).select(*keep, tokens, "seed", F.pmod(F.col("k"), n).alias(at))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS, max_seeds: int = MAX_SEEDS) -> DataFrame:
@@ -53,7 +57,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     and repeated items give one row for each distinct (id, text, item_id). An empty side gives no rows.
     """
     items = benchmark.select("item_id", _tokens(F.col("text")).alias("item")).withColumn("seeds", _seeds("item", MASKS))
-    sown = _located(items, ["item_id"], "item", "item_pos").select("item_id", "seed", "item_pos", F.col("item")).distinct()
+    sown = _located(items, ["item_id"], "item", "item_pos").select("item_id", "seed", "item_pos", "item").where("seed IS NOT NULL").distinct()
     n = sown.count()
     blocks = max(1, -(-n // max_seeds))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), _tokens(F.col(f"`{text_col}`")).alias("doc"))
