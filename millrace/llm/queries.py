@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, url_filter
+from . import decontaminate, exact_dedup, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_url_filter": url_filter.query,
     "op3_exact_dedup": exact_dedup.query,
     "op10_decontaminate": decontaminate.query,
