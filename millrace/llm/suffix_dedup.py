@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from .bytesets import mix, powers, prefix_hashes, span_hashes, text_chunks
 from .durable import durable
+from .rowkeys import keyed
 
 LENGTH, GRAM = 100, 32
 #: Bytes of segments indexed together, and the number of segments round one gram from which windows are dealt singly.
@@ -355,14 +356,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an id but not the text are taken in an order by the text's hash; a null id comes first. Other columns are not
     read. An empty table gives no rows.
     """
-    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows, ids = given.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
-    if rows == ids:
-        return repeated_spans(given.withColumnRenamed("id", "doc"), **options).withColumnRenamed("doc", id_col)
-    marked = given.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["id", "th"])
-    key = durable(marked.select("id", "th").orderBy("id", "th").withColumn("doc", F.monotonically_increasing_id()))
-    joined = marked.alias("m").join(key.alias("k"), F.col("m.id").eqNullSafe(F.col("k.id")) & (F.col("m.th") == F.col("k.th")))
-    spans = repeated_spans(joined.select("doc", "text"), **options)
+    texts, key = keyed(docs, id_col, text_col)
+    spans = repeated_spans(texts, **options)
+    if key is None:
+        return spans.withColumnRenamed("doc", id_col)
     return spans.join(key, "doc").select(F.col("id").alias(id_col), "n_bytes", "spans", "kept")
 
 
