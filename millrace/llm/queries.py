@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, suffix_dedup, url_filter
+from . import decontaminate, exact_dedup, lm_score, ngram_join, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op2_url_filter": url_filter.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op6_lm_score": lm_score.query,
+    "op9_ngram_join": ngram_join.query,
     "op10_decontaminate": decontaminate.query,
 }
 
