@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lm_score, ngram_join, suffix_dedup, url_filter
+import corpus_pipeline
+
+from . import decontaminate, exact_dedup, html_text, license_scan, lm_score, ngram_join, sentencepiece_fst, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op2_url_filter": url_filter.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op4_html_text": html_text.query,
+    "op5_license_scan": license_scan.query,
     "op6_lm_score": lm_score.query,
+    "op7_sentencepiece": sentencepiece_fst.query,
+    "op8_toxicity": toxicity.query,
     "op9_ngram_join": ngram_join.query,
     "op10_decontaminate": decontaminate.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
