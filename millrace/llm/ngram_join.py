@@ -156,7 +156,7 @@ def _sets(k: int):
 def _overlapping(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that link: overlaps are counted in each fragment by itself and summed for each pair."""
     side = lambda c: parts.select(F.col("doc").alias(c), "part", F.col("tokens").alias(f"t{c}"), F.col("n").alias(f"n{c}"))
-    counted = pairs.join(side("x"), "x").join(side("y"), ["y", "part"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("tx", "ty")).alias("c"))
+    counted = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), ["y", "part"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("tx", "ty")).alias("c"))
     return (
         counted.groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.sum("c").alias("c"))
         .where((100 * F.col("c")) >= percent * (F.col("nx") + F.col("ny") - F.col("c"))).select("x", "y")
@@ -195,6 +195,8 @@ def similar_groups(texts: DataFrame, k: int, percent: int, fragments: int | None
     4. Wherever a shingle still sees documents of different groups, all their pairs that pass the size and
        position bounds are compared, leaving out pairs already in one group: no link is lost.
     A pair's overlap is counted in each fragment of the order by itself and summed.
+    The joins whose sides grow with the input merge sorted sides at every size, so that the plan for a small
+    input is the plan for a large one.
     """
     spark = texts.sparkSession
     parts = shuffle_partitions(spark)
@@ -203,7 +205,7 @@ def similar_groups(texts: DataFrame, k: int, percent: int, fragments: int | None
         deal.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_meet, _COUNTS)
         .groupBy("doc").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.sum("met").alias("met"))
     )
-    near = texts.join(counts.where("n > 0 AND met >= need").select("doc"), "doc", "left_semi")
+    near = texts.join(counts.where("n > 0 AND met >= need").select("doc").hint("merge"), "doc", "left_semi")
     sets = durable(near.mapInArrow(_sets(k), "doc long, n long, sum_a long, sum_b long, tokens array<long>"))
     alike = durable(sets.groupBy("n", "sum_a", "sum_b").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")))
     one = sets.join(alike.select("rep"), F.col("doc") == F.col("rep"), "left_semi").select("doc", "n", "tokens")
@@ -211,7 +213,7 @@ def similar_groups(texts: DataFrame, k: int, percent: int, fragments: int | None
     vertical = durable(one.select("doc", "n", F.posexplode(F.array(*[cut(p) for p in range(VERTICAL)])).alias("part", "tokens")))
     entries = vertical.select("doc", "n", F.explode("tokens").alias("token"))
     shared = durable(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    ranked = entries.join(shared, "token").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    ranked = entries.join(shared.hint("merge"), "token").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
     alone = F.col("n") - F.size("order")
     longest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = durable(
