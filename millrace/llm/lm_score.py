@@ -16,7 +16,7 @@ from .durable import durable, shuffle_partitions
 from .rowkeys import keyed
 
 #: Bytes of text whose n-grams are counted together before they are dealt out.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 #: Folds of the ids: 0 is held out from everything, 1 is deleted from the counts while the weights are learned.
 FOLDS, OUTSIDE, DELETED = 10, 0, 1
 BUCKETS, ROUNDS = 48, 60
@@ -74,11 +74,13 @@ def _emit(fragments: int):
             kinds.append((types, *(np.bincount(at[m], minlength=len(types)).astype(np.uint32) for m in (fold != OUTSIDE, fold == DELETED)), _fragment_edges(types, fragments)))
         payloads = []
         for f in range(fragments):
-            part = [np.array([k[3][f + 1] - k[3][f] for k in kinds], np.int64)]
+            sizes, counts, lows = [], [], []
             for types, train, deleted, cut in kinds:
                 s = slice(cut[f], cut[f + 1])
-                part += [train[s], deleted[s], _pack(types[s] & np.uint64((1 << 40) - 1))]
-            payloads.append(as_blob(*part))
+                sizes.append(cut[f + 1] - cut[f])
+                counts.append(_squeezed(np.concatenate((train[s], deleted[s]))))
+                lows.append(_pack(types[s] & np.uint64((1 << 40) - 1)).tobytes())
+            payloads.append(as_blob(np.array([*sizes, *map(len, counts)], np.int64)) + b"".join(counts) + b"".join(lows))
         n = len(payloads)
         return pa.table({"fragment": pa.array(np.arange(n, dtype=np.int32)), "block": pa.array(np.full(n, key[0].as_py(), np.int64)), "payload": pa.array(payloads, pa.binary())})
 
@@ -89,29 +91,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each fragment: sums the counts over all blocks and returns them to each block in its own order."""
 
     def summed(rows: list[tuple[int, bytes]], fragment: int) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([np.frombuffer(b, np.int64, 2) for _, b in rows])
-        back: list[list[np.ndarray]] = [[] for _ in rows]
-        start = np.full(len(rows), 16)
+        sizes = np.array([np.frombuffer(b, np.int64, 4) for _, b in rows])
+        back: list[list[bytes]] = [[] for _ in rows]
         totals = (0, 0, 0)
         for kind in (0, 1):
             n = sizes[:, kind]
-            low = np.concatenate([_unpack(b, n[i], start[i] + 8 * n[i]) for i, (_, b) in enumerate(rows)])
+            at_counts, at_low = 32 + kind * sizes[:, 2], 32 + sizes[:, 2] + sizes[:, 3] + kind * 5 * sizes[:, 0]
+            low = np.concatenate([_unpack(b, n[i], at_low[i]) for i, (_, b) in enumerate(rows)])
             types, at = np.unique(low, return_inverse=True)
             cut = np.concatenate(([0], np.cumsum(n)))
-            sums = []
-            for k in (0, 1):
-                c = np.concatenate([np.frombuffer(b, np.uint32, n[i], start[i] + 4 * k * n[i]) for i, (_, b) in enumerate(rows)])
-                total = np.bincount(at, weights=c, minlength=len(types)).astype(np.int64)
-                sums.append(total)
-                for i in range(len(rows)):
-                    back[i].append(np.minimum(total[at[cut[i] : cut[i + 1]]], 0xFFFFFFFF).astype(np.uint32))
+            sent = [_loosened(b[at_counts[i] : at_counts[i] + sizes[i, 2 + kind]], np.uint32) for i, (_, b) in enumerate(rows)]
+            sums = [np.bincount(at, weights=np.concatenate([c[k * m : (k + 1) * m] for c, m in zip(sent, n, strict=True)]), minlength=len(types)).astype(np.int64) for k in (0, 1)]
+            kept = [np.minimum(c, 0xFFFFFFFF).astype(np.uint32) for c in sums]
+            for i in range(len(rows)):
+                here = at[cut[i] : cut[i + 1]]
+                back[i].append(_squeezed(np.concatenate([c[here] for c in kept])))
             if kind == 0:
                 totals = (int(sums[0].sum()), int((sums[0] > 0).sum()), int(sums[1].sum()))
-            start = start + 13 * n
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([b for b, _ in rows] + [-1], pa.int64()), pa.array([fragment] * (len(rows) + 1), pa.int32()),
-                pa.array([as_blob(sizes[i], *back[i]) for i in range(len(rows))] + [as_blob(np.array(totals, np.int64))], pa.binary()),
+                pa.array([as_blob(np.array([*sizes[i, :2], *map(len, back[i])], np.int64)) + b"".join(back[i]) for i in range(len(rows))] + [as_blob(np.array(totals, np.int64))], pa.binary()),
             ],
             names=["block", "fragment", "payload"],
         )
@@ -129,13 +129,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _squeezed(a: np.ndarray) -> bytes:
-    """Columns of bytes, compressed."""
+    """Columns of bytes, compressed: counts are mostly small."""
     a = np.ascontiguousarray(a)
     return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
 
 
 def _loosened(blob: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    plain = zstandard.ZstdDecompressor().decompress(blob)
+    raw = np.frombuffer(plain, np.uint8) if plain else np.zeros(0, np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
@@ -152,12 +153,13 @@ def _facts(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
     token, bigram, edges = _sequence(texts.column("text"))
     fold = texts.column("fold").to_numpy().astype(np.int8)
     blobs = [b for _, b in sorted(zip(counts.column("fragment").to_pylist(), counts.column("payload").to_pylist(), strict=True))]
-    sizes = [np.frombuffer(b, np.int64, 2) for b in blobs]
+    sizes = [np.frombuffer(b, np.int64, 4) for b in blobs]
     deleted = np.repeat(fold == DELETED, np.diff(edges))
     full, left = [], []
     for kind, h in enumerate((token, bigram)):
         _, at = np.unique(h, return_inverse=True)
-        all_c, del_c = (np.concatenate([np.frombuffer(b, np.uint32, n[kind], 16 + 8 * n[0] * kind + 4 * k * n[kind]) for n, b in zip(sizes, blobs, strict=True)]) for k in (0, 1))
+        both = [_loosened(b[32 + kind * n[2] : 32 + n[2] + kind * n[3]], np.uint32).reshape(2, -1) for n, b in zip(sizes, blobs, strict=True)]
+        all_c, del_c = np.concatenate(both, axis=1)
         full.append(_squeezed(all_c[at]))
         left.append(_squeezed((all_c - del_c)[at[deleted]]))
     row = [_squeezed(texts.column("doc").to_numpy()), _squeezed(fold), _squeezed(edges), *full, *left, None]
