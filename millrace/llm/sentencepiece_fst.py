@@ -19,7 +19,6 @@ from .rowkeys import keyed
 SPACE = "▁"
 #: Words whose shortest path a task remembers at most.
 REMEMBERED = 400_000
-_STRETCH = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
 @dataclass(frozen=True)
@@ -76,8 +75,14 @@ class Transducer:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = piece
-        #: Whether pieces have a space mark only in front, so that a stretch up to the next mark stands for itself.
-        self.stretches = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        #: Number of each character that pieces use (0: none does), and which may stand next to which inside a piece.
+        letters = {c: i for i, c in enumerate(dict.fromkeys(c for p in self.ids for c in p), 1)}
+        self.letter = np.zeros(0x110000, np.uint16)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for p in self.ids:
+            for x, y in zip(p, p[1:]):
+                self.joined[letters[x], letters[y]] = True
         least = min(self.scores.values(), default=0.0)
         self.unknown_weight = 10.0 - least
         self._pairs: dict[tuple[str, str], bool] = {}
@@ -120,28 +125,45 @@ class Transducer:
             got = self._pairs[a, b] = self._merged(a + b) == ([a, b] if a else [b])
         return got
 
+    def _ends(self, text: str, at: int) -> list[int]:
+        """Where the arcs that start at a position end, the nearest first."""
+        node, out = self.trie, []
+        for k in range(at, len(text)):
+            node = node.get(text[k])
+            if node is None:
+                break
+            if "" in node:
+                out.append(k + 1)
+        if not out or out[0] != at + 1:
+            out.insert(0, at + 1)
+        return out
+
     def _by_merges(self, text: str) -> list[str]:
         """Shortest path over (position, piece before), depth first with the longest piece in front.
 
-        Every suffix pair is tested once; a state that led nowhere is not entered again.
+        A pair of pieces is tested once; a state that led nowhere is not entered again.
         """
-        n = len(text)
-        stack, path, dead = [(0, "", iter(sorted(self._arcs(text, 0), key=lambda x: -x[1])))], [], set()
-        while stack:
-            at, before, arcs = stack[-1]
-            if at == n:
-                return path
-            for piece, to in arcs:
-                if (to, piece) not in dead and self._follows("", piece) and (not before or self._follows(before, piece)):
+        n, at, before, pairs = len(text), 0, "", self._pairs
+        path: list[str] = []
+        behind: list[tuple[int, str, list[int]]] = []
+        dead: set[tuple[int, str]] = set()
+        ends = self._ends(text, 0)
+        while at < n:
+            while ends:
+                to = ends.pop()
+                piece = text[at:to]
+                ok = pairs.get((before, piece))
+                if (self._follows(before, piece) if ok is None else ok) and (to, piece) not in dead:
+                    behind.append((at, before, ends))
                     path.append(piece)
-                    stack.append((to, piece, iter(sorted(self._arcs(text, to), key=lambda x: -x[1])) if to < n else iter(())))
+                    at, before = to, piece
+                    ends = self._ends(text, at) if at < n else []
                     break
             else:
                 dead.add((at, before))
-                stack.pop()
-                if path:
-                    path.pop()
-        raise AssertionError("the merges of a text always leave a path")
+                path.pop()
+                at, before, ends = behind.pop()
+        return path
 
     def _by_weight(self, text: str) -> list[str]:
         """Shortest path over positions; of equal paths the one that reaches a position first stays."""
@@ -169,24 +191,32 @@ class Transducer:
                 out.append(self.unknown)
         return tuple(out)
 
+    def _stretches(self, text: str) -> list[str]:
+        """The text cut wherever no piece holds the two characters beside the cut: no path crosses there, so each part stands for itself."""
+        numbers = self.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        cuts = np.flatnonzero(~self.joined[numbers[:-1], numbers[1:]]) + 1
+        edges = [0, *cuts.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(edges, edges[1:])]
+
     def encode(self, text: str) -> list[int]:
         """Ids of the shortest path through the composition of normaliser, pieces and byte fallback with the text."""
         marked = self.normalise(text)
         if not marked:
             return []
-        stretches = _STRETCH.findall(marked) if self.stretches and (self.spec.merges or self.spec.byte_fallback) else [marked]
+        if not self.spec.byte_fallback:  # unknown characters in a row are one, so they must meet
+            return list(self._emitted(marked))
         known = self._known
-        out = []
-        for s in stretches:
-            got = known.get(s)
-            if got is None and s:
-                got = self._emitted(s)
-                if len(s) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[s] = got
-            if s:
-                out.append(got)
+        stretches = self._stretches(marked)
+        out = [known.get(s) for s in stretches]
+        if None in out:
+            for k, got in enumerate(out):
+                if got is None:
+                    s = stretches[k]
+                    out[k] = got = known.get(s) or self._emitted(s)
+                    if len(s) <= 64:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[s] = got
         return list(chain.from_iterable(out))
 
     def decode(self, ids: list[int]) -> str:
