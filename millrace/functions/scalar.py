@@ -12,7 +12,7 @@ def human_bytes(n: Column) -> Column:
     """1536 as 1.5 KB; whole bytes below 1024, TB at most."""
     chain = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for k, unit in enumerate(UNITS[1:], 1):
-        text = F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))
+        text = F.concat(F.format_string("%.1f", F.bround(n / float(1024**k), 1)), F.lit(f" {unit}"))
         chain = chain.when(n < 1024 ** (k + 1), text) if k < len(UNITS) - 1 else chain.otherwise(text)
     return chain
 

@@ -149,8 +149,12 @@ def prewarm_targets(path: Column, backend_prefix: str = "backend") -> Column:
     )
 
 
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _lines(source: Column) -> Column:
-    return F.transform(F.split(source, r"\r?\n"), F.trim)
+    return F.transform(F.split(source, r"\r?\n"), lambda x: _bare(x))
 
 
 def _distinct(found: Column) -> Column:
@@ -165,7 +169,7 @@ def rust_imports(source: Column) -> Column:
         extern = F.trim(F.regexp_replace(F.regexp_replace(line, r"^(?:extern crate )+", ""), ";+$", ""))
         return F.when(line.rlike(r"^(?:pub )?use "), F.when(~used.isin("crate", "self", "super", "std", "core", "alloc"), used)).when(line.startswith("extern crate "), F.when(extern != "std", extern))
 
-    return _distinct(F.transform(_lines(source), crate))
+    return _distinct(F.transform(_lines(source), lambda x: crate(x)))
 
 
 def ts_imports(source: Column) -> Column:
@@ -188,7 +192,7 @@ def python_imports(source: Column) -> Column:
 
     def modules(line: Column) -> Column:
         return (
-            F.when(line.startswith("import "), F.transform(F.split(F.regexp_extract(line, r"^import (.*)$", 1), ","), top))
+            F.when(line.startswith("import "), F.transform(F.split(F.regexp_extract(line, r"^import (.*)$", 1), ","), lambda x: top(x)))
             .when(line.startswith("from ") & line.contains(" import "), F.array(top(F.regexp_extract(line, r"^from (.*?) import ", 1)))).otherwise(F.array().cast("array<string>"))
         )
 
@@ -197,9 +201,9 @@ def python_imports(source: Column) -> Column:
 
 def go_imports(source: Column) -> Column:
     """Paths of single imports and of import blocks."""
-    bare = lambda x: F.trim(F.regexp_replace(F.trim(x), '^"+|"+$', ""))
+    bare = lambda x: _bare(F.regexp_replace(_bare(x), '^"+|"+$', ""))
     blocks = F.regexp_extract_all(source, F.lit(r"(?ms)^[ \t]*import \([ \t]*\r?\n(.*?)(?:^[ \t]*\)[ \t]*\r?$|\z)"), F.lit(1))
-    inside = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(b, r"\r?\n"), bare)))
+    inside = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(b, r"\r?\n"), lambda x: bare(x))))
     rest = F.regexp_replace(source, r"(?ms)^[ \t]*import \([ \t]*\r?\n.*?(?:^[ \t]*\)[ \t]*\r?$|\z)", "")
     single = F.transform(F.filter(_lines(rest), lambda x: x.startswith("import ")), lambda x: bare(F.regexp_replace(x, "^import ", "")))
     return _distinct(F.concat(inside, single))

@@ -135,9 +135,9 @@ def cpu_percent(samples: DataFrame, by: str) -> DataFrame:
     w = _series(by, "seq")
     dt = F.greatest(F.col("total") - F.lag("total").over(w), F.lit(0))
     di = F.greatest(F.col("idle") - F.lag("idle").over(w), F.lit(0))
-    d = samples.select(by, "seq", dt.alias("dt"), di.alias("di"))
+    d = samples.select(by, "seq", dt.alias("dt"), di.alias("di"), F.lag("total").over(w).isNotNull().alias("known"))
     pct = F.when(F.col("dt") > 0, F.least(F.lit(100), F.floor(100 * F.greatest(F.col("dt") - F.col("di"), F.lit(0)) / F.col("dt"))).cast("long")).otherwise(F.lit(0).cast("long"))
-    return d.where("dt IS NOT NULL").select(by, "seq", pct.alias("cpu"))
+    return d.where("known").select(by, "seq", pct.alias("cpu"))
 
 
 #: The bars of a sparkline, low to high.

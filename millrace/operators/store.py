@@ -97,8 +97,8 @@ def cut_points(data: bytes, least: int, mean: int, most: int) -> list[int]:
     raw = np.frombuffer(data, np.uint8).astype(np.uint64)
     hashes = np.zeros(n, np.uint64)
     for k in range(8):  # near the end the window holds fewer bytes
-        part = raw[k:]
-        hashes[: n - k] = hashes[: n - k] * np.uint64(0x5BD1E995) + part
+        m = max(n - k, 0)
+        hashes[:m] = hashes[:m] * np.uint64(0x5BD1E995) + raw[k:]
     marks = np.flatnonzero(hashes % np.uint64(max(mean, 1)) == 0)
     out, at = [], 0
     while at < n:

@@ -539,3 +539,808 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     found = v["logs"]().select("event_id", (F.col("kind") % 5).alias("severity")).where("severity >= 2")
     return an.top_k(found, 500, F.desc("severity"), "event_id").groupBy("severity").agg(F.count(F.lit(1)).alias("findings"))
+
+
+# --- ordered histories -----------------------------------------------------------------------------------------
+
+
+@query("win1_flakiness", f"WITH {FLIPS} SELECT test_id, CASE WHEN runs < 2 THEN 0 ELSE flips / (runs - 1)::DOUBLE END >= 0.25 AS quarantined, runs, flips FROM s", "test_runs")
+def _(v: Views) -> DataFrame:
+    h = v["test_runs"]()
+    return ordered.flakiness(h).join(ordered.flips(h), "test_id").select("test_id", "quarantined", "runs", "flips")
+
+
+@query("win2_flaky_candidates", f"WITH {FLIPS} SELECT test_id, flips FROM s WHERE runs >= 3 AND flips >= 20", "test_runs")
+def _(v: Views) -> DataFrame:
+    return ordered.flaky_candidates(v["test_runs"](), 20)
+
+
+@query("win3_is_flaky", "SELECT test_id, bool_or(passed) AND bool_or(NOT passed) AS flaky FROM test_runs GROUP BY 1", "test_runs")
+def _(v: Views) -> DataFrame:
+    return ordered.is_flaky(v["test_runs"]())
+
+
+MOVES = "k AS (SELECT package, lag(package) OVER (PARTITION BY user_id ORDER BY seq) AS frm FROM touches WHERE package IS NOT NULL), m AS (SELECT frm, package AS dst, count(*) AS n FROM k WHERE frm <> package GROUP BY 1, 2)"
+
+
+@query("win4_markov", f'WITH {MOVES} SELECT frm AS "from", dst AS "to", n AS count, round(n / sum(n) OVER (PARTITION BY frm)::DOUBLE, 9) AS probability FROM m', "touches")
+def _(v: Views) -> DataFrame:
+    return ordered.transitions(v["touches"](), "user_id").withColumn("probability", F.round("probability", 9))
+
+
+@query("win4_warmup_candidates", f"WITH {MOVES}, p AS (SELECT frm, dst, n / sum(n) OVER (PARTITION BY frm)::DOUBLE AS p FROM m) SELECT DISTINCT dst AS package FROM p WHERE frm LIKE 'error%' AND p >= 0.05 AND dst NOT LIKE 'error%' AND dst LIKE '%-1'", "touches")
+def _(v: Views) -> DataFrame:
+    t = v["touches"]()
+    names = t.where("package IS NOT NULL").select("package").distinct()
+    return ordered.warmup_candidates(ordered.transitions(t, "user_id"), names.where("package LIKE 'error%'"), names.where("package LIKE '%-1'"), 0.05)
+
+
+@query(
+    "win5_mixed_markov",
+    "WITH k AS (SELECT package AS dst, lag(package, 1) OVER w AS p1, lag(package, 2) OVER w AS p2 FROM touches WHERE package IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY seq)), "
+    "a AS (SELECT dst, count(*) / sum(count(*)) OVER ()::DOUBLE * 0.3 AS s FROM k WHERE p1 = 'click-1' GROUP BY dst), b AS (SELECT dst, count(*) / sum(count(*)) OVER ()::DOUBLE * 0.5 AS s FROM k WHERE p1 = 'click-1' AND p2 = 'view-2' GROUP BY dst), "
+    "c AS (SELECT y.package AS dst, count(*) / sum(count(*)) OVER ()::DOUBLE * 0.2 AS s FROM touches x JOIN touches y ON x.user_id = y.user_id AND x.seq <> y.seq WHERE x.package = 'click-1' AND y.package IS NOT NULL GROUP BY 1) "
+    'SELECT dst AS "to", round(sum(s), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY dst ORDER BY sum(s) DESC, dst LIMIT 5',
+    "touches",
+)
+def _(v: Views) -> DataFrame:
+    t = v["touches"]()
+    co = an.co_occurrence(t.where("package IS NOT NULL"), "user_id", "package")
+    return ordered.mixed_transitions(t, co, "user_id", "click-1", "view-2").withColumn("score", F.round("score", 9))
+
+
+EMA = (
+    "k AS (SELECT task_name, duration_sec / greatest(1, source_bytes) AS r, row_number() OVER (PARTITION BY task_name ORDER BY seq) AS i, row_number() OVER (PARTITION BY task_name ORDER BY seq DESC) - 1 AS age FROM duration_samples), "
+    "e AS (SELECT task_name, sum(r * pow(0.7::DOUBLE, age) * CASE WHEN i = 1 THEN 1 ELSE 0.3::DOUBLE END) AS rate FROM k GROUP BY 1)"
+)
+
+
+@query("win6_ema_rate", f"WITH {EMA} SELECT task_name, round(rate, 6) AS rate FROM e", "duration_samples")
+def _(v: Views) -> DataFrame:
+    return ordered.ema(v["duration_samples"]()).withColumn("rate", F.round("rate", 6))
+
+
+@query("win6_predicted_duration", f"WITH {EMA} SELECT id AS task_name, 2000::BIGINT AS source_bytes, round(CASE WHEN rate IS NULL THEN 2.0 ELSE round(rate, 6) * 2000 END, 3)::DOUBLE AS predicted_sec FROM nodes LEFT JOIN e ON task_name = id", "duration_samples", "nodes")
+def _(v: Views) -> DataFrame:
+    requests = v["nodes"]().select(F.col("id").alias("task_name"), F.lit(2000).cast("long").alias("source_bytes"))
+    return ordered.predict_duration(ordered.ema(v["duration_samples"]()).withColumn("rate", F.round("rate", 6)), requests)
+
+
+@query("win7_integer_ema", "SELECT test_id, list_reduce(list_prepend(100::BIGINT, list(duration_ms ORDER BY seq)), lambda a, x: (a * 8 + x * 2) // 10) AS folded FROM test_runs GROUP BY 1", "test_runs")
+def _(v: Views) -> DataFrame:
+    return ordered.integer_ema(v["test_runs"](), "test_id")
+
+
+@query("win8_interval_ema")
+def _(v: Views) -> DataFrame:
+    return ordered.interval_ema(v["test_runs"]().select("test_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")), "test_id")
+
+
+@query("win9_running_mean")
+def _(v: Views) -> DataFrame:
+    return ordered.running_mean(v["test_runs"](), "test_id")
+
+
+@query("win10_ring_buffer", "SELECT test_id, seq, passed FROM test_runs QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY seq DESC) <= 20", "test_runs")
+def _(v: Views) -> DataFrame:
+    return ordered.last_n(v["test_runs"](), 20, "test_id", "seq").select("test_id", "seq", "passed")
+
+
+@query("win10_recent_builds", "SELECT project AS id, min(seq) AS first_seq, arg_max(status, seq) AS status FROM build_runs GROUP BY 1 ORDER BY first_seq DESC, id LIMIT 50", "build_runs")
+def _(v: Views) -> DataFrame:
+    return ordered.last_n_builds(v["build_runs"]().select(F.col("project").alias("id"), "seq", "status"), 50)
+
+
+@query("win12_cpu_percent", "WITH c AS (SELECT worker_id, event_id AS seq, event_id * 3 + active_jobs AS total, event_id + active_jobs AS idle FROM telemetry), d AS (SELECT worker_id, seq, greatest(total - lag(total) OVER w, 0) AS dt, greatest(idle - lag(idle) OVER w, 0) AS di, lag(total) OVER w AS p FROM c WINDOW w AS (PARTITION BY worker_id ORDER BY seq)) SELECT worker_id, seq, CASE WHEN dt > 0 THEN least(100, 100 * greatest(dt - di, 0) // dt) ELSE 0 END::BIGINT AS cpu FROM d WHERE p IS NOT NULL", "telemetry")
+def _(v: Views) -> DataFrame:
+    t = v["telemetry"]().select("worker_id", F.col("event_id").alias("seq"), (F.col("event_id") * 3 + F.col("active_jobs")).alias("total"), (F.col("event_id") + F.col("active_jobs")).alias("idle"))
+    return ordered.cpu_percent(t, "worker_id")
+
+
+@query("win13_sparkline", "WITH k AS (SELECT worker_id, event_id, active_jobs AS a, max(active_jobs) OVER (PARTITION BY worker_id) AS m FROM (SELECT * FROM telemetry QUALIFY row_number() OVER (PARTITION BY worker_id ORDER BY event_id DESC) <= 20)) SELECT worker_id, string_agg(substr('▁▂▃▄▅▆▇█', CASE WHEN m > 0 THEN least(a * 7 // m, 7) ELSE 0 END::INT + 1, 1), '' ORDER BY event_id) AS line FROM k GROUP BY 1", "telemetry")
+def _(v: Views) -> DataFrame:
+    return ordered.sparkline(v["telemetry"]().select("worker_id", F.col("event_id").alias("seq"), F.col("active_jobs").alias("value")), "worker_id")
+
+
+@query("win13_waterfall", "WITH t AS (SELECT event_id AS id, event_id * 10 AS s, kind * 100 AS d FROM logs), m AS (SELECT greatest(max(s + d), 1) AS e FROM t) SELECT id, (s * 40 // e)::BIGINT AS offset, greatest(d * 40 // e, 1)::BIGINT AS length FROM t, m", "logs")
+def _(v: Views) -> DataFrame:
+    return ordered.waterfall(v["logs"]().select(F.col("event_id").alias("id"), (F.col("event_id") * 10).alias("start_ms"), (F.col("kind") * 100).cast("long").alias("duration_ms")))
+
+
+# --- joins -------------------------------------------------------------------------------------------------------
+
+#: Twenty packages that own folders of the pages' hosts, some inside others.
+OWNERS = "o AS (SELECT DISTINCT regexp_extract(path, '^([^/]*)', 1) AS dir FROM paths WHERE page_id % 3 = 0 UNION SELECT DISTINCT regexp_extract(path, '^([^/]*/[^/]*)', 1) FROM paths WHERE page_id % 5 = 0)"
+
+
+def _owners(v: Views) -> DataFrame:
+    p = v["paths"]()
+    top = p.where("page_id % 3 = 0").select(F.regexp_extract("path", r"^([^/]*)", 1).alias("dir"))
+    sub = p.where("page_id % 5 = 0").select(F.regexp_extract("path", r"^([^/]*/[^/]*)", 1).alias("dir"))
+    return top.union(sub).distinct().select("dir", F.col("dir").alias("package"), F.col("dir").alias("ord"))
+
+
+@query("join1_path_owner", f"WITH {OWNERS} SELECT DISTINCT ON (path) path, dir AS package FROM (SELECT DISTINCT path FROM paths) LEFT JOIN o ON path = dir OR starts_with(path, dir || '/') ORDER BY path, length(dir) DESC NULLS LAST", "paths")
+def _(v: Views) -> DataFrame:
+    return joins.path_owners(v["paths"](), _owners(v))
+
+
+@query("join1_packages_for_paths", f"WITH {OWNERS}, w AS (SELECT path, max(dir) AS d FROM paths LEFT JOIN o ON path = dir OR starts_with(path, dir || '/') GROUP BY path), a AS (SELECT bool_or(d IS NULL) AS e FROM w) SELECT dir AS package, e AS everything FROM o, a WHERE e", "paths")
+def _(v: Views) -> DataFrame:
+    return joins.packages_for_paths(v["paths"](), _owners(v))
+
+
+@query("join2_recommend_tasks", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON contains(path, 'e/' || n.id) WHERE n.id BETWEEN 10 AND 60 UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
+def _(v: Views) -> DataFrame:
+    patterns = v["nodes"]().where("id BETWEEN 10 AND 60").select(F.col("id").alias("package"), F.concat(F.lit("e/"), F.col("id").cast("string")).alias("pattern"))
+    return joins.recommend_tasks(v["paths"]().select(F.col("path").alias("file")), patterns, v["edges"]())
+
+
+@query("join3_dependent_targets", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON starts_with(path, chr((97 + n.id % 26)::INT) || 'l') WHERE n.id < 60 UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
+def _(v: Views) -> DataFrame:
+    deps = v["nodes"]().where("id < 60").select(F.col("id").alias("target"), F.concat(F.chr((F.col("id") % 26 + 97)), F.lit("l")).alias("dep"))
+    return joins.dependent_targets(v["paths"]().select(F.col("path").alias("file")), deps, v["edges"]())
+
+
+@query(
+    "join4_composite_lookup",
+    "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 2 = 0 THEN 'L' WHEN o_orderkey % 2 = 0 THEN 'R' END AS artifact, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 2 = 0 THEN 'local' WHEN o_orderkey % 2 = 0 THEN 'remote' ELSE 'miss' END AS source FROM orders",
+)
+def _(v: Views) -> DataFrame:
+    o = v["table"]("orders").select(F.col("o_orderkey").alias("key"), "o_custkey")
+    local = o.where("key % 3 = 0").select("key", (F.col("o_custkey") % 2).alias("fingerprint"), F.lit("L").alias("artifact"))
+    remote = o.where("key % 2 = 0").select("key", F.lit(0).cast("long").alias("fingerprint"), F.lit("R").alias("artifact"))
+    return joins.composite_lookup(o.select("key", F.lit(0).cast("long").alias("fingerprint")), local, remote).drop("fingerprint")
+
+
+@query("join5_missing_blobs", "SELECT doc_id, sha256(text) AS digest FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def _(v: Views) -> DataFrame:
+    d = v["table"]("documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return joins.missing_blobs(d, d.where("doc_id % 2 = 0"))
+
+
+@query("join6_unreferenced", "SELECT count(*) AS removed, coalesce(sum(size_bytes), 0)::BIGINT AS freed_bytes FROM artifacts WHERE digest NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)", "artifacts")
+def _(v: Views) -> DataFrame:
+    return joins.unreferenced(v["artifacts"](), v["table"]("documents").where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("digest")))
+
+
+@query("join7_cache_hits", "SELECT DISTINCT run_id AS key, toolchain AS fingerprint FROM task_metrics WHERE cached", "task_metrics")
+def _(v: Views) -> DataFrame:
+    t = v["task_metrics"]().select(F.col("run_id").alias("key"), F.col("toolchain").alias("fingerprint"), "cached")
+    return joins.cache_hits(t.select("key", "fingerprint").distinct(), t.where("cached"))
+
+
+SNAPS = "a AS (SELECT page_id AS k, length(url) AS h FROM pages WHERE page_id % 4 <> 0), b AS (SELECT page_id AS k, length(url) + (page_id % 3 = 0)::INT AS h FROM pages WHERE page_id % 5 <> 0)"
+
+
+def _snaps(v: Views) -> tuple[DataFrame, DataFrame]:
+    p = v["table"]("pages").select("page_id", F.length("url").alias("h"))
+    name = F.col("page_id").cast("string")
+    return tuple(
+        df.select(name.alias("path"), F.lit("f").alias("file"), name.alias("symbol"), h.alias("hash"), F.lit(1).alias("size"))
+        for df, h in ((p.where("page_id % 4 <> 0"), F.col("h")), (p.where("page_id % 5 <> 0"), F.col("h") + F.when(F.col("page_id") % 3 == 0, 1).otherwise(0)))
+    )
+
+
+@query("join8_changed_symbols", f"WITH {SNAPS} SELECT 'f' AS file, k::VARCHAR AS symbol, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (k) WHERE a.h IS DISTINCT FROM b.h")
+def _(v: Views) -> DataFrame:
+    return joins.changed_symbols(*_snaps(v))
+
+
+@query("join9_snapshot_states", f"WITH {SNAPS} SELECT k::VARCHAR AS path, CASE WHEN a.h IS NULL THEN 'Created' WHEN b.h IS NULL THEN 'Deleted' WHEN a.h <> b.h THEN 'Modified' ELSE 'Clean' END AS state FROM a FULL JOIN b USING (k)")
+def _(v: Views) -> DataFrame:
+    return joins.snapshot_states(*_snaps(v))
+
+
+@query("join10_impacted_tests", "SELECT DISTINCT user_id AS test FROM logs WHERE event_type IN ('error', 'signup') AND kind = 1", "logs")
+def _(v: Views) -> DataFrame:
+    symbol = F.concat_ws("-", "event_type", F.col("kind").cast("string"))
+    changed = v["logs"]().limit(1).select(F.explode(F.array(F.lit("error-1"), F.lit("signup-1"))).alias("symbol"))
+    return joins.impacted_tests(changed, v["logs"]().select(symbol.alias("symbol"), F.col("user_id").alias("test")))
+
+
+@query(
+    "join11_advisories",
+    "SELECT id AS package, state AS version FROM (SELECT id, (id % 3) || '.' || (id % 7) || '.' || (id % 11) AS state, [id % 3, id % 7, id % 11] AS n FROM nodes WHERE id % 13 <> 0) WHERE n < [1, 4, 5]", "nodes",
+)
+def _(v: Views) -> DataFrame:
+    part = lambda n: (F.col("id") % n).cast("string")
+    text = F.when(F.col("id") % 13 == 0, "unknown").otherwise(F.concat_ws(".", part(3), part(7), part(11)))
+    packages = v["nodes"]().select(F.col("id").alias("package"), text.alias("version"))
+    return joins.vulnerable(packages, v["nodes"]().select(F.col("id").alias("package"), F.lit("1.4.5").alias("fixed_version"))).select("package", "version")
+
+
+@query("join12_pipeline_edges", "SELECT dependency AS dep_package, 'build' AS dep_task, dependent AS package, 'build' AS task FROM edges UNION ALL SELECT id, 'build', id, 'test' FROM nodes", "nodes", "edges")
+def _(v: Views) -> DataFrame:
+    n = v["nodes"]().select(F.col("id").alias("package"))
+    tasks = n.withColumn("t", F.explode(F.array(F.struct(F.lit("build").alias("task"), F.array(F.lit("^build")).alias("depends_on")), F.struct(F.lit("test").alias("task"), F.array(F.lit("build"), F.lit("lint")).alias("depends_on"))))).select("package", "t.*")
+    return joins.pipeline_edges(tasks, v["edges"]())
+
+
+@query("join13_fan_in", "SELECT a.id AS dependency, b.id AS dependent FROM nodes a, nodes b WHERE a.id % 50 <> 0 AND b.id % 50 = 0 AND a.id < 500 AND b.id < 500", "nodes")
+def _(v: Views) -> DataFrame:
+    return joins.fan_in(v["nodes"]().where("id < 500").select("id", F.when(F.col("id") % 50 == 0, "Docker").otherwise("Rust").alias("ecosystem")), "Docker")
+
+
+@query("join14_best_worker", "SELECT id FROM workers WHERE tool IN (1, 2) AND zone % 2 = 0 AND age < 6 ORDER BY active_jobs, id LIMIT 5", "workers")
+def _(v: Views) -> DataFrame:
+    tool = F.when(F.col("tool") == 0, F.array(F.lit("go"))).when(F.col("tool") == 1, F.array(F.lit("rust"), F.lit("cc"))).otherwise(F.array(F.lit("*")))
+    w = v["workers"]().select("id", "active_jobs", tool.alias("supported_toolchains"), F.create_map(F.lit("zone"), (F.col("zone") % 2).cast("string")).alias("tags"), (F.col("age") < 6).alias("healthy"))
+    return joins.eligible_workers(w, "rust", {"zone": "0"}).limit(5).select("id")
+
+
+@query("join15_artifact_peers", "SELECT DISTINCT artifact AS digest, key % 17 AS peer FROM records WHERE artifact < 50", "records")
+def _(v: Views) -> DataFrame:
+    r = v["records"]().select(F.col("artifact").alias("digest"), (F.col("key") % 17).alias("peer"))
+    return joins.artifact_peers(r.where("digest < 50").select("digest").distinct(), r)
+
+
+@query("join15_first_peer", "SELECT artifact AS digest, arg_min(key % 17, rid) AS peer FROM records GROUP BY 1", "records")
+def _(v: Views) -> DataFrame:
+    return joins.first_peer(v["records"]().select(F.col("artifact").alias("digest"), (F.col("key") % 17).alias("peer"), F.col("rid").alias("seq")))
+
+
+@query("join16_first_modified", "SELECT artifact AS target, CASE WHEN min(rid) FILTER (stored_at > 1200000000) IS NULL THEN 'NoPreviousCache' ELSE 'SourceModified' END AS reason, arg_min(key, rid) FILTER (stored_at > 1200000000) AS path FROM records GROUP BY 1", "records")
+def _(v: Views) -> DataFrame:
+    return joins.first_modified(v["records"]().select(F.col("artifact").alias("target"), F.col("rid").alias("pos"), F.col("key").alias("path"), F.col("stored_at").alias("mtime")), F.lit(1200000000))
+
+
+@query("join17_attestation", "SELECT doc_id % 50 AS statement, bool_and(doc_id % 97 <> 0) AS valid FROM documents GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    d = v["table"]("documents").select((F.col("doc_id") % 50).alias("statement"), F.col("doc_id").alias("name"), F.sha2("text", 256).alias("digest"))
+    return joins.verify_attestation(d, d.where("name % 97 <> 0").select("name", "digest"))
+
+
+@query("join18_hermeticity", "SELECT DISTINCT user_id AS task, CASE WHEN kind < 4 THEN 'undeclared input' ELSE 'undeclared output' END AS problem, kind::VARCHAR AS path FROM logs WHERE kind IN (1, 2, 3, 5, 6)", "logs")
+def _(v: Views) -> DataFrame:
+    e = v["logs"]().select(F.col("user_id").alias("task"), F.when(F.col("kind") < 4, "Read").when(F.col("kind") < 7, "Write").otherwise("Execute").alias("kind"), F.col("kind").cast("string").alias("path"))
+    return joins.hermeticity(e, e.where("path = '0'"), e.where("path = '4'"))
+
+
+@query("join19_traced_files", "SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 3 = 0 OR page_id % 2 = 0 OR page_id >= 200 THEN 'output' ELSE 'input' END AS role FROM pages")
+def _(v: Views) -> DataFrame:
+    p = v["table"]("pages").select("page_id")
+    name = F.col("page_id").cast("string").alias("path")
+    return joins.traced_files(p.where("page_id % 3 <> 0").select(name, F.col("page_id").alias("mtime")), p.select(name, (F.col("page_id") + F.when(F.col("page_id") % 2 == 0, 1).otherwise(0)).alias("mtime")), F.lit(200))
+
+
+@query("flt12_permissions", "SELECT s_suppkey AS subject, 'write' AS permission, s_nationkey < 10 AND s_suppkey % 4 <> 0 AS allowed FROM supplier")
+def _(v: Views) -> DataFrame:
+    s = v["table"]("supplier")
+    requests = s.select(F.col("s_suppkey").alias("subject"), F.array(F.lit("guest"), F.concat(F.lit("r"), F.col("s_nationkey").cast("string"))).alias("roles"), (F.col("s_suppkey") % 4).alias("expires_at"), F.lit("write").alias("permission"))
+    grants = v["table"]("nation").where("n_nationkey < 10").select(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("role"), F.lit("write").alias("permission"))
+    return joins.allowed(requests, grants, F.lit(0))
+
+
+@query("flt13_compatible_environments", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey % 3 = b.s_suppkey % 3 AND a.s_suppkey % 2 = b.s_suppkey % 2")
+def _(v: Views) -> DataFrame:
+    env = v["table"]("supplier").select("s_suppkey", F.col("s_nationkey").alias("os"), (F.col("s_suppkey") % 3).alias("arch"), (F.col("s_suppkey") % 2).alias("toolchain_hash"))
+    return joins.compatible_environments(env.withColumnRenamed("s_suppkey", "a"), env.withColumnRenamed("s_suppkey", "b")).select("a", "b")
+
+
+# --- store ---------------------------------------------------------------------------------------------------------
+
+
+def _cache(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Records with unique keys and the objects they refer to, one in eleven records referring to none."""
+    r = v["records"]().select(F.col("rid").alias("key"), "stored_at", "size", F.when(F.col("rid") % 11 != 0, F.concat(F.lit("o"), F.col("artifact").cast("string"))).alias("artifact"))
+    o = v["records"]().groupBy("artifact").agg(F.sum("size").alias("size"), F.min("stored_at").alias("mtime")).select(F.concat(F.lit("o"), F.col("artifact").cast("string")).alias("name"), "mtime", "size")
+    return r, o
+
+
+@query("c3_prune_plan")
+def _(v: Views) -> DataFrame:
+    return store.prune_plan(*_cache(v), as_of=1300000000, max_age=300000000, max_bytes=500000)
+
+
+@query(
+    "c3_prune_by_age",
+    "WITH r AS (SELECT rid AS key, stored_at, size, CASE WHEN rid % 11 <> 0 THEN 'o' || artifact END AS a FROM records), o AS (SELECT 'o' || artifact AS name, sum(size)::BIGINT AS size, min(stored_at) AS mtime FROM records GROUP BY 1), k AS (SELECT a FROM r WHERE 1300000000 - stored_at < 300000000 AND a IS NOT NULL), g AS (SELECT a FROM r WHERE 1300000000 - stored_at >= 300000000 AND a IS NOT NULL) "
+    "SELECT 'record' AS kind, key::VARCHAR AS name, size, 'age' AS phase FROM r WHERE 1300000000 - stored_at >= 300000000 UNION ALL SELECT 'object', name, size, 'age' FROM o WHERE name NOT IN (SELECT a FROM k) AND (name IN (SELECT a FROM g) OR 1300000000 - mtime >= 300000000)",
+    "records",
+)
+def _(v: Views) -> DataFrame:
+    return store.prune_plan(*_cache(v), as_of=1300000000, max_age=300000000, max_bytes=None)
+
+
+@query(
+    "c4_gc_plan",
+    "WITH f AS (SELECT rid AS name, size, stored_at AS mtime FROM records), l AS (SELECT *, sum(size) OVER (ORDER BY mtime, name ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM f WHERE 1300000000 - mtime < 400000000) SELECT name, size, 'ttl' AS reason FROM f WHERE 1300000000 - mtime >= 400000000 UNION ALL SELECT name, size, 'lru' FROM l WHERE total > 90000 AND total - before > 70000",
+    "records",
+)
+def _(v: Views) -> DataFrame:
+    return store.gc_plan(v["records"]().select(F.col("rid").alias("name"), "size", F.col("stored_at").alias("mtime")), as_of=1300000000, ttl=400000000, max_bytes=100000)
+
+
+@query("c5_cleanup_most_recent", "SELECT rid AS hash FROM records QUALIFY row_number() OVER (ORDER BY stored_at DESC, rid) > 1000", "records")
+def _(v: Views) -> DataFrame:
+    return store.cleanup(v["records"]().select(F.col("rid").alias("hash"), F.col("stored_at").alias("timestamp")), "keep_most_recent", keep=1000).select("hash")
+
+
+@query("c5_cleanup_not_accessed", "SELECT rid AS hash FROM records WHERE 1300000000 - CASE WHEN rid % 2 = 0 THEN stored_at + 86400 ELSE stored_at END > 200000000", "records")
+def _(v: Views) -> DataFrame:
+    a = v["records"]().select(F.col("rid").alias("hash"), F.col("stored_at").alias("timestamp"), F.when(F.col("rid") % 2 == 0, F.col("stored_at") + 86400).alias("last_accessed"))
+    return store.cleanup(a, "not_accessed_in", as_of=1300000000, seconds=200000000).select("hash")
+
+
+@query("c5_cleanup_older_than", "SELECT rid AS hash FROM records WHERE 1300000000 - stored_at > 200000000", "records")
+def _(v: Views) -> DataFrame:
+    return store.cleanup(v["records"]().select(F.col("rid").alias("hash"), F.col("stored_at").alias("timestamp")), "older_than", as_of=1300000000, seconds=200000000).select("hash")
+
+
+@query("c5_cleanup_tags", "SELECT rid AS hash FROM records WHERE artifact % 3 IN (0, 2)", "records")
+def _(v: Views) -> DataFrame:
+    a = v["records"]().select(F.col("rid").alias("hash"), F.array((F.col("artifact") % 3).cast("string")).alias("tags"))
+    return store.cleanup(a, "tags", tags=("0", "2", "9")).select("hash")
+
+
+@query("c6_quota", "SELECT rid AS seq, sum(size) OVER (ORDER BY rid ROWS UNBOUNDED PRECEDING) <= 100000 AS accepted FROM records", "records")
+def _(v: Views) -> DataFrame:
+    return store.admitted(v["records"]().select(F.col("rid").alias("seq"), "size"), 100000).select("seq", "accepted")
+
+
+@query("win11_eviction", "SELECT rid FROM (SELECT rid, sum(size) OVER (ORDER BY stored_at, rid ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM records) WHERE total - before > 50000", "records")
+def _(v: Views) -> DataFrame:
+    r = v["records"]().select("rid", "size", "stored_at")
+    total = r.agg(F.sum("size").alias("total"))
+    return ordered.running_total(r, "size", "stored_at", "rid").crossJoin(F.broadcast(total)).where("total - before > 50000").select("rid")
+
+
+@query("c2_directory_hash", "SELECT page_id % 10 AS root, sha256(string_agg(page_id::VARCHAR || ':' || sha256(html), chr(10) ORDER BY page_id::VARCHAR)) AS digest FROM pages GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    return store.directory_hash(v["table"]("pages").select((F.col("page_id") % 10).alias("root"), F.col("page_id").cast("string").alias("rel"), F.col("html").alias("content")))
+
+
+@query("c7_chunks")
+def _(v: Views) -> DataFrame:
+    return store.chunks(v["table"]("documents").select("doc_id", "text"), "doc_id", "text", 512, 1024, 4096)
+
+
+@query("c8_reassemble", "SELECT doc_id::VARCHAR AS path, sha256(text) AS digest FROM documents")
+def _(v: Views) -> DataFrame:
+    d = v["table"]("documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("t"))
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length("t") / 700).cast("int"))
+    parts = d.select("path", F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.col("t").substr(i * 700 + 1, F.lit(700))).alias("parts"))
+    blobs = parts.select(F.explode("parts").alias("data")).select(F.sha2("data", 256).alias("hash"), "data").distinct()
+    manifest = parts.select("path", F.transform("parts", lambda p: F.sha2(p, 256)).alias("hashes"))
+    return store.reassemble(manifest, blobs).select("path", F.sha2("content", 256).alias("digest"))
+
+
+@query("c9_compressed_size")
+def _(v: Views) -> DataFrame:
+    return v["table"]("documents").select("doc_id", store.compressed_size(F.col("text")).alias("bytes"), F.round(store.estimated_ratio(F.col("text")), 6).alias("ratio"))
+
+
+@query("prj2_compression_ratio", "SELECT digest, round(hit_count / nullif(size_bytes, 0)::DOUBLE, 9) AS ratio FROM artifacts", "artifacts")
+def _(v: Views) -> DataFrame:
+    return v["artifacts"]().select("digest", F.round(store.compression_ratio(F.col("size_bytes"), F.col("hit_count")), 9).alias("ratio"))
+
+
+@query("c13_invalidate_directory", f"WITH {FILES} SELECT page_id FROM f WHERE NOT starts_with(path, 'target/')", "paths")
+def _(v: Views) -> DataFrame:
+    return store.invalidate_directory(_files(v), "target").select("page_id")
+
+
+@query("c14_action_cache", "SELECT artifact AS key, arg_max(size, rid) AS result FROM records GROUP BY 1", "records")
+def _(v: Views) -> DataFrame:
+    return store.action_cache(v["records"]().select(F.col("artifact").alias("key"), F.col("rid").alias("seq"), F.col("size").alias("result")))
+
+
+@query("set6_hybrid_listing", "SELECT digest AS hash FROM artifacts WHERE digest < 'a' UNION SELECT digest FROM artifacts WHERE digest > '5'", "artifacts")
+def _(v: Views) -> DataFrame:
+    a = v["artifacts"]().select(F.col("digest").alias("hash"))
+    return store.hybrid_listing(a.where("hash < 'a'"), a.where("hash > '5'"))
+
+
+# --- fleet and streams ------------------------------------------------------------------------------------------------
+
+
+@query("sch1_lpt_buckets")
+def _(v: Views) -> DataFrame:
+    return scheduling.pack_tasks(v["task_metrics"]().select((F.col("worker") % 50).alias("run_id"), F.concat_ws("-", "task_id", "run_id", "line", "seq").alias("task_id"), F.col("duration_ms").alias("duration")), 4)
+
+
+@query("sch2_batches")
+def _(v: Views) -> DataFrame:
+    return scheduling.list_schedule(_packages(v), workers=3, memory_mb=4096)
+
+
+@query("sch4_parallelism", "SELECT event_id, greatest(1, CASE WHEN kind = 0 THEN floor(w / 2) WHEN kind = 1 THEN floor(w * 3 / 4) ELSE w END)::BIGINT AS workers FROM (SELECT event_id, kind, CASE WHEN (event_id % 100) * 100 < 100 * 15 THEN 1 ELSE greatest(1, least(16, floor((event_id % 100) / 4))) END AS w FROM logs)", "logs")
+def _(v: Views) -> DataFrame:
+    free = F.col("event_id") % 100
+    w = scheduling.ram_capped_workers(free, F.lit(100), F.lit(4), F.lit(16))
+    pressure = F.when(F.col("kind") == 0, "critical").when(F.col("kind") == 1, "warning").otherwise("none")
+    return v["logs"]().select("event_id", scheduling.governed_parallelism(w, pressure).alias("workers"))
+
+
+@query("sch5_replicas", "SELECT event_id, least(greatest(ceil(event_id % 200 * (kind + 1) / CASE WHEN kind = 0 THEN 10.0::DOUBLE ELSE kind END), 1), 100)::BIGINT AS replicas FROM logs", "logs")
+def _(v: Views) -> DataFrame:
+    return v["logs"]().select("event_id", scheduling.desired_replicas(F.col("event_id") % 200, F.col("kind") + 1, F.col("kind").cast("double")).alias("replicas"))
+
+
+@query("sch7_evacuated", "SELECT worker, task_id AS task FROM task_metrics WHERE worker % 9 = 4", "task_metrics")
+def _(v: Views) -> DataFrame:
+    t = v["task_metrics"]().select("worker", F.col("task_id").alias("task"))
+    return scheduling.evacuate(t, v["workers"]().where("id % 9 = 4").select(F.col("id").alias("worker")))[0]
+
+
+QUEUE = "q AS (SELECT event_id AS task_id, CASE WHEN kind = 0 THEN '' WHEN kind = 1 THEN '*' WHEN kind < 5 THEN 'rust' ELSE 'go' END AS toolchain, kind AS priority, event_id % 13 AS weight, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id END AS deadline FROM logs)"
+
+
+@query("top6_task_queue", f"WITH {QUEUE} SELECT task_id FROM q WHERE (deadline IS NULL OR deadline >= 50) AND toolchain IN ('', '*', 'rust') ORDER BY priority DESC, weight DESC, task_id LIMIT 100", "logs")
+def _(v: Views) -> DataFrame:
+    tool = F.when(F.col("kind") == 0, "").when(F.col("kind") == 1, "*").when(F.col("kind") < 5, "rust").otherwise("go")
+    q = v["logs"]().select(F.col("event_id").alias("task_id"), tool.alias("toolchain"), F.col("kind").alias("priority"), (F.col("event_id") % 13).alias("weight"), F.when(F.col("event_id") % 4 != 0, F.col("event_id")).alias("deadline"))
+    return scheduling.queue_order(q, F.lit(50), "rust").limit(100).select("task_id")
+
+
+@query("top7_candidates", "SELECT zone AS pool, id AS idx, row_number() OVER (PARTITION BY zone ORDER BY age = 0, active_jobs, tool, id) - 1 AS position FROM workers", "workers")
+def _(v: Views) -> DataFrame:
+    w = v["workers"]().select(F.col("zone").alias("pool"), F.col("id").alias("idx"), F.col("active_jobs").alias("failures"), F.col("tool").alias("load"), (F.col("age") == 0).alias("degraded"))
+    return scheduling.candidate_order(w, "least_failures").select("pool", "idx", F.col("position").cast("long").alias("position"))
+
+
+@query("top8_least_loaded", "SELECT zone AS pool, arg_min(id, (active_jobs, id)) AS id FROM workers WHERE age < 8 GROUP BY 1", "workers")
+def _(v: Views) -> DataFrame:
+    return scheduling.least_loaded(v["workers"]().select(F.col("zone").alias("pool"), "id", F.col("active_jobs").alias("active"), F.col("id").alias("pos"), (F.col("age") < 8).alias("healthy")))
+
+
+@query("top8_round_robin", "WITH h AS (SELECT zone AS pool, id, row_number() OVER (PARTITION BY zone ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY zone) AS s FROM workers WHERE age < 8) SELECT pool, n, id FROM h JOIN (SELECT range AS n FROM range(1, 11)) ON k = n % s", "workers")
+def _(v: Views) -> DataFrame:
+    w = v["workers"]().select(F.col("zone").alias("pool"), "id", F.col("id").alias("pos"), (F.col("age") < 8).alias("healthy"))
+    requests = w.select("pool").distinct().select("pool", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))).alias("n"))
+    return scheduling.round_robin(w, requests)
+
+
+@query("top9_retention", "SELECT artifact, rid FROM records QUALIFY row_number() OVER (PARTITION BY artifact ORDER BY stored_at DESC, rid) > 5", "records")
+def _(v: Views) -> DataFrame:
+    order = Window.partitionBy("artifact").orderBy(F.desc("stored_at"), "rid")
+    return v["records"]().withColumn("k", F.row_number().over(order)).where("k > 5").select("artifact", "rid")
+
+
+@query("top10_migrations", "SELECT kind::BIGINT AS version, arg_max(event_type, event_id) AS up FROM logs GROUP BY 1", "logs")
+def _(v: Views) -> DataFrame:
+    return an.latest_versions(v["logs"]().select(F.col("kind").cast("long").alias("version"), F.col("event_id").alias("seq"), F.col("event_type").alias("up"), F.lit("x").alias("down"))).select("version", "up")
+
+
+@query("snk6_migration_script", "SELECT string_agg('up ' || k, chr(10) ORDER BY k) AS script FROM (SELECT DISTINCT kind AS k FROM logs) WHERE k > 2 AND k <= 6", "logs")
+def _(v: Views) -> DataFrame:
+    m = v["logs"]().select(F.col("kind").alias("version")).distinct().select("version", F.concat(F.lit("up "), F.col("version").cast("string")).alias("up"), F.lit("").alias("down"))
+    return sinks.migration_script(m, 2, 6)
+
+
+@query("snk2_graph_json", "WITH x AS (SELECT e.dependent AS id, list(DISTINCT 'n' || e.dependency ORDER BY 'n' || e.dependency) AS deps FROM edges e GROUP BY 1) SELECT 'n' || n.id AS name, '{\"name\":\"n' || n.id || '\",\"deps\":[' || coalesce(array_to_string(list_transform(deps, lambda d: '\"' || d || '\"'), ','), '') || ']}' AS json FROM nodes n LEFT JOIN x USING (id)", "nodes", "edges")
+def _(v: Views) -> DataFrame:
+    return sinks.graph_json(v["nodes"]().withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))), v["edges"]())
+
+
+@query("snk3_graph_dot", "SELECT DISTINCT '  \"n' || dependency || '\" -> \"n' || dependent || '\";' AS line FROM edges", "edges")
+def _(v: Views) -> DataFrame:
+    return sinks.graph_dot(v["nodes"]().withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))), v["edges"]())
+
+
+@query("snk4_graph_tree", "WITH RECURSIVE r(id, p) AS (SELECT id, 'n' || id FROM nodes WHERE id BETWEEN 20 AND 39 UNION ALL SELECT d, p || '>n' || d FROM r JOIN (SELECT DISTINCT dependency AS d, dependent AS t FROM edges) ON t = r.id) SELECT p AS path FROM r", "nodes", "edges")
+def _(v: Views) -> DataFrame:
+    n = v["nodes"]().where("id < 40").withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string")))
+    return sinks.graph_tree(n, v["edges"]().where("dependent < 40")).select(F.array_join("path", ">").alias("path"))
+
+
+@query("snk1_chrome_trace")
+def _(v: Views) -> DataFrame:
+    return sinks.chrome_trace(v["logs"]().select(F.col("event_id").cast("string").alias("task"), F.col("user_id").alias("worker"), (F.col("event_id") * 10).alias("start_us"), (F.col("kind") * 5).cast("long").alias("duration_us")))
+
+
+def _millis(c: str) -> F.Column:
+    return F.unix_millis(F.col(c).cast("timestamp"))
+
+
+@query("st1_debounce")
+def _(v: Views) -> DataFrame:
+    return state.debounce(v["logs"]().select("user_id", _millis("ts").alias("ts_ms"), F.col("event_type").alias("path")), "user_id", 600000)
+
+
+@query("st2_dirty_set", f"WITH {FILES} SELECT DISTINCT path FROM f WHERE NOT regexp_matches(path, '\\.git|target')", "paths")
+def _(v: Views) -> DataFrame:
+    return state.dirty_set(_files(v))
+
+
+@query("st3_latest_heartbeat", "SELECT worker_id, max(ts) AS ts, arg_max(active_jobs, ts) AS active_jobs FROM telemetry GROUP BY 1", "telemetry")
+def _(v: Views) -> DataFrame:
+    return state.latest(v["telemetry"]().select("worker_id", "ts", "active_jobs"), "worker_id", "ts")
+
+
+@query("st4_healthy_workers", "SELECT worker_id, max(ts) > (SELECT max(ts) FROM telemetry) - INTERVAL 6 HOURS AS healthy FROM telemetry GROUP BY 1", "telemetry")
+def _(v: Views) -> DataFrame:
+    t = v["telemetry"]()
+    last = t.groupBy("worker_id").agg(F.max("ts").alias("last_heartbeat"))
+    return state.healthy(last.crossJoin(F.broadcast(t.agg(F.max("ts").alias("now")))), F.col("now"), "6 HOURS").select("worker_id", "healthy")
+
+
+@query("st5_token_bucket")
+def _(v: Views) -> DataFrame:
+    return state.token_bucket(v["logs"]().select("user_id", (_millis("ts") / 1000).alias("ts_s"), F.col("event_id").alias("seq"), (F.col("kind") % 3 + 1).alias("n")), "user_id", 5, 0.001)
+
+
+@query(
+    "st6_circuit_breaker",
+    "WITH c AS (SELECT test_id, passed, seq, max(seq) FILTER (passed) OVER (PARTITION BY test_id) AS ok FROM test_runs), f AS (SELECT test_id, count(*) AS failures, max(seq) AS last FROM c WHERE NOT passed AND (ok IS NULL OR seq > ok) GROUP BY 1) SELECT DISTINCT t.test_id, coalesce(failures, 0) AS failures, coalesce(failures >= 2 AND 200 - last <= 150, false) AS open FROM test_runs t LEFT JOIN f USING (test_id)",
+    "test_runs",
+)
+def _(v: Views) -> DataFrame:
+    return state.circuit_state(v["test_runs"]().select("test_id", F.col("seq").alias("ts_s"), F.col("passed").alias("ok")), "test_id", F.lit(200), failures=2, seconds=150)
+
+
+@query("st7_active_peers", "SELECT user_id::VARCHAR AS peer_id, max(event_id) AS last_seen, 10000 - max(event_id) < 600 AS active FROM logs WHERE user_id <> 3 AND kind <> 2 GROUP BY 1", "logs")
+def _(v: Views) -> DataFrame:
+    port = F.when(F.col("kind") == 2, "none").otherwise((F.col("kind") + 7000).cast("string"))
+    a = v["logs"]().select(F.concat_ws("|", F.col("user_id").cast("string"), F.lit("host"), port).alias("message"), F.col("event_id").alias("ts_s"))
+    return state.active_peers(a, "3", F.lit(10000), 600).select("peer_id", "last_seen", "active")
+
+
+@query("st8_span_children", "SELECT event_id AS span_id, (SELECT count(*) FROM logs b WHERE b.event_id > 0 AND b.event_id // 4 = a.event_id) AS children FROM logs a", "logs")
+def _(v: Views) -> DataFrame:
+    spans = v["logs"]().select(F.col("event_id").alias("span_id"), F.when(F.col("event_id") > 0, F.expr("event_id div 4")).alias("parent_id"))
+    return state.span_children(spans).select("span_id", "children")
+
+
+@query("st10_progress", "SELECT event_type AS state, count(*) AS tasks FROM logs GROUP BY 1", "logs")
+def _(v: Views) -> DataFrame:
+    return state.progress_stream(v["logs"]().select(F.col("event_type").alias("state")))
+
+
+# --- text ---------------------------------------------------------------------------------------------------------------
+
+#: Logs of eight kinds.
+LOG_TEXTS = (
+    "error[E0425]: cannot find value `x` in this scope\n --> src/main.rs:10:5", "WARNING: DATA RACE\nWrite at 0x00c by goroutine 7\n pool.go:42", "fatal error: runtime: out of memory", "ModuleNotFoundError: No module named 'requests' in app/main.py",
+    "src/index.ts(3,1): error TS2307: Cannot find module 'left-pad' package.json", "Program.cs(4,2): error CS0103: The name does not exist", "FAILED (failures=3) tests/test_api.py", "all is well",
+)
+TEXTS = "x AS (SELECT event_id, [" + ", ".join("'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for s in LOG_TEXTS) + "][kind + 1] AS log, ['rust','go','cc','python','ts','dotnet','python','go'][kind + 1] AS tool FROM logs)"
+
+
+def _texts(v: Views) -> DataFrame:
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), F.col("kind"))
+    return v["logs"]().select("event_id", pick(LOG_TEXTS).alias("log"), pick(("rust", "go", "cc", "python", "ts", "dotnet", "python", "go")).alias("tool"))
+
+
+CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(log, '(?i)(?:{'|'.join(p)})') THEN '{c}'" for c, p in tx.CATEGORY_PATTERNS.items()) + " ELSE 'UNKNOWN_ERROR' END"
+CODE = r"coalesce(nullif(regexp_extract(log, 'error\[(E\d+)\]|CS(\d{4})|TS(\d{4})', 1), ''), nullif(regexp_extract(log, 'error\[(E\d+)\]|CS(\d{4})|TS(\d{4})', 2), ''), nullif(regexp_extract(log, 'error\[(E\d+)\]|CS(\d{4})|TS(\d{4})', 3), ''))"
+
+
+@query("f1_log_category", f"WITH {TEXTS} SELECT event_id, {CATEGORY} AS category FROM x", "logs")
+def _(v: Views) -> DataFrame:
+    return _texts(v).select("event_id", tx.error_category(F.col("log")).alias("category"))
+
+
+@query("f2_error_code", f"WITH {TEXTS} SELECT event_id, {CODE} AS code FROM x", "logs")
+def _(v: Views) -> DataFrame:
+    return _texts(v).select("event_id", tx.error_code(F.col("log")).alias("code"))
+
+
+@query("f3_confidence", f"WITH {TEXTS} SELECT event_id, CASE WHEN {CATEGORY} = 'UNKNOWN_ERROR' THEN 0.5 WHEN {CODE} IS NOT NULL THEN 0.95 ELSE 0.88 END::DOUBLE AS confidence FROM x", "logs")
+def _(v: Views) -> DataFrame:
+    return _texts(v).select("event_id", tx.confidence(F.col("log")).alias("confidence"))
+
+
+@query("f4_affected_files", f"WITH {TEXTS} SELECT event_id, array_to_string(list_sort(list_distinct(regexp_extract_all(log, '(?i){tx.FILE_PATTERN}', 1)))[1:8], ',') AS files FROM x", "logs")
+def _(v: Views) -> DataFrame:
+    return _texts(v).select("event_id", F.array_join(tx.affected_files(F.col("log")), ",").alias("files"))
+
+
+@query("f5_suggestions")
+def _(v: Views) -> DataFrame:
+    return _texts(v).select("event_id", F.array_join(tx.suggestions(F.col("tool"), tx.error_category(F.col("log"))), "|").alias("advice"))
+
+
+@query("f6_diagnosis", f"WITH {TEXTS} SELECT event_id, CASE WHEN log LIKE '%E0425%' THEN 'UNDEFINED_SYMBOL_ERROR' WHEN tool = 'ts' AND log LIKE '%TS2307%' THEN 'MISSING_MODULE_ERROR' WHEN tool = 'cc' AND log LIKE '%fatal error:%' THEN 'MISSING_HEADER_ERROR' ELSE 'BUILD_FAILURE' END AS category FROM x", "logs")
+def _(v: Views) -> DataFrame:
+    return _texts(v).select("event_id", tx.diagnosis(F.col("tool"), F.col("log"), F.lit(1)).alias("category"))
+
+
+@query(
+    "f7_pr_risk",
+    "WITH p AS (SELECT project, count(*) AS n, sum(CASE WHEN ends_with(path, 'Cargo.lock') THEN 1 ELSE 0 END) AS c FROM (SELECT page_id % 23 AS project, CASE WHEN page_id % 10 = 5 THEN 'Cargo.lock' ELSE path END AS path FROM paths) GROUP BY 1), s AS (SELECT project, round(least(1, c * 0.35::DOUBLE + CASE WHEN project * 60 > 1000 THEN 0.30 WHEN project * 60 > 300 THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN n > 15 THEN 0.25 ELSE 0 END::DOUBLE), 6) AS risk FROM p) "
+    "SELECT project, risk, CASE WHEN risk > 0.65 THEN 'HIGH' WHEN risk > 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM s",
+    "paths",
+)
+def _(v: Views) -> DataFrame:
+    files = v["paths"]().select((F.col("page_id") % 23).alias("project"), F.when(F.col("page_id") % 10 == 5, "Cargo.lock").otherwise(F.col("path")).alias("path"))
+    risk = files.groupBy("project").agg(F.collect_list("path").alias("files")).select("project", tx.pr_risk(F.col("files"), F.col("project") * 50, F.col("project") * 10).alias("risk"))
+    return risk.select("project", "risk", tx.risk_severity(F.col("risk")).alias("severity"))
+
+
+@query("f8_import_fix", f"WITH {TEXTS} SELECT event_id, CASE WHEN log LIKE '%cannot find%' THEN 'use std::collections::HashMap;' || chr(10) || log ELSE log END AS fixed FROM x", "logs")
+def _(v: Views) -> DataFrame:
+    return _texts(v).select("event_id", tx.missing_import_fix(F.col("log"), F.concat("log", F.lit(" HashMap"))).alias("fixed"))
+
+
+@query("f9_prewarm_targets", f"WITH {FILES} SELECT page_id, CASE WHEN ends_with(path, '.rs') THEN 'cargo-check,backend-rust' WHEN ends_with(path, '.ts') THEN 'tsc-check,backend-ts' WHEN ends_with(path, '.go') THEN 'go-vet' ELSE '' END AS targets FROM f", "paths")
+def _(v: Views) -> DataFrame:
+    return _files(v).select("page_id", F.array_join(tx.prewarm_targets(F.col("path")), ",").alias("targets"))
+
+
+#: Sources whose imports come from a document's first words.
+SOURCE = "s AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+')[1:4] AS w FROM documents)"
+
+
+def _sources(v: Views) -> DataFrame:
+    words = F.slice(F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1)), 1, 4)
+    return v["table"]("documents").select("doc_id", words.alias("w")).where("size(w) = 4")
+
+
+def _lines(*parts: F.Column | str) -> F.Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+@query("f10_py_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct(w)), ',') AS imports FROM s WHERE len(w) = 4")
+def _(v: Views) -> DataFrame:
+    w = lambda k: F.get("w", F.lit(k))
+    source = _lines("import ", w(0), ".x as y, ", w(1), "\n  from ", w(2), ".z import q\nfrom ", w(3), " import *\nx = 1\n")
+    return _sources(v).select("doc_id", F.array_join(tx.python_imports(source), ",").alias("imports"))
+
+
+@query("f10_rust_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(w[1:3], lambda x: x NOT IN ('crate','self','super','std','core','alloc')))), ',') AS imports FROM s WHERE len(w) = 4")
+def _(v: Views) -> DataFrame:
+    w = lambda k: F.get("w", F.lit(k))
+    source = _lines("use ", w(0), "::a;\npub use ", w(1), ";\nextern crate ", w(2), ";\nuse std::io;\nuse crate::b;\nfn main() {}\n")
+    return _sources(v).select("doc_id", F.array_join(tx.rust_imports(source), ",").alias("imports"))
+
+
+@query("f10_ts_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct([w[1], '@' || w[2] || '/k', w[3] || '/deep'])), ',') AS imports FROM s WHERE len(w) = 4")
+def _(v: Views) -> DataFrame:
+    w = lambda k: F.get("w", F.lit(k))
+    source = _lines("import a from '", w(0), "/sub';\nexport { b } from \"@", w(1), "/k/z\";\nconst c = require('", w(2), "/deep');\nimport d from './local';\n")
+    return _sources(v).select("doc_id", F.array_join(tx.ts_imports(source), ",").alias("imports"))
+
+
+@query("f10_go_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct(['x/' || w[1], w[2], w[3]])), ',') AS imports FROM s WHERE len(w) = 4")
+def _(v: Views) -> DataFrame:
+    w = lambda k: F.get("w", F.lit(k))
+    source = _lines('package main\nimport "x/', w(0), '"\nimport (\n\t"', w(1), '"\n\t"', w(2), '"\n)\nfunc main() {}\n')
+    return _sources(v).select("doc_id", F.array_join(tx.go_imports(source), ",").alias("imports"))
+
+
+@query("f12_python_comments", "SELECT doc_id, trim(split_part(text, chr(10), 1)) || chr(10) || 'x = 1' AS code FROM documents WHERE text NOT LIKE '%#%' AND trim(split_part(text, chr(10), 1)) <> '' AND text NOT LIKE '%' || chr(13) || '%' AND text NOT LIKE '%' || chr(9) || '%'")
+def _(v: Views) -> DataFrame:
+    d = v["table"]("documents").where("text NOT LIKE '%#%'").withColumn("first", F.trim(F.split("text", "\n").getItem(0))).where("first <> '' AND instr(text, char(13)) = 0 AND instr(text, char(9)) = 0")
+    return d.select("doc_id", tx.strip_python_comments(F.concat(F.lit("# head\n\n  "), F.col("first"), F.lit(" # note\n   \nx = 1 # end"))).alias("code"))
+
+
+@query("c10_semantic_hash", "SELECT doc_id, sha256('int x;' || chr(10) || 'char *s = \"// no\";') AS hash FROM documents WHERE text NOT LIKE '%*/%'")
+def _(v: Views) -> DataFrame:
+    source = F.concat(F.lit("int x; // "), F.regexp_replace("text", "\n", " "), F.lit('\n/* '), F.col("text"), F.lit(' */\n  char *s = "// no";\n'))
+    return v["table"]("documents").where("text NOT LIKE '%*/%'").select("doc_id", tx.semantic_hash(F.lit("a.cc"), source).alias("hash"))
+
+
+@query("c11_interface_hash", "SELECT doc_id, sha256('pub fn a(x: i32)' || chr(10) || 'pub struct B') AS hash FROM documents")
+def _(v: Views) -> DataFrame:
+    source = F.concat(F.lit("pub struct B { v: u8 }\npub fn a(x: i32) { "), F.length("text").cast("string"), F.lit(" }\nfn hidden() {}\n  pub struct B { w: u8 }\n"))
+    return v["table"]("documents").select("doc_id", tx.interface_hash(source).alias("hash"))
+
+
+@query("f13_source_language", f"WITH {FILES} SELECT page_id, CASE {EXT} WHEN 'rs' THEN 'Rust' WHEN 'ts' THEN 'TypeScript' WHEN 'go' THEN 'Go' WHEN 'py' THEN 'Python' WHEN 'cpp' THEN 'Cpp' ELSE 'Unknown' END AS language FROM f", "paths")
+def _(v: Views) -> DataFrame:
+    return _files(v).select("page_id", sc.source_language(tx.extension(F.col("path"))).alias("language"))
+
+
+@query("f14_human_bytes", "SELECT rid, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) ELSE printf('%.1f GB', b / 1073741824.0::DOUBLE) END AS text FROM (SELECT rid, rid * size * 97 AS b FROM records)", "records")
+def _(v: Views) -> DataFrame:
+    return v["records"]().select("rid", sc.human_bytes(F.col("rid") * F.col("size") * 97).alias("text"))
+
+
+@query("f15_durations_and_sizes", "SELECT rid, size * CASE (rid % 4)::INT WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 ELSE 86400 END AS seconds, size * CASE (rid % 4)::INT WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS bytes FROM records", "records")
+def _(v: Views) -> DataFrame:
+    unit = lambda xs: F.concat(F.col("size").cast("string"), F.get(F.array(*[F.lit(x) for x in xs]), (F.col("rid") % 4).cast("int")))
+    return v["records"]().select("rid", sc.parse_duration(unit(("", "m", "h", "d"))).alias("seconds"), sc.parse_size(unit(("b", "K", "mb", "GB"))).alias("bytes"))
+
+
+@query("f16_sanitize_path", "SELECT page_id, 'a/' || path || '/z' AS path FROM paths WHERE NOT regexp_matches(path, '//|(?:^|/)\\.\\.?(?:/|$)|^/|/$') AND path <> ''", "paths")
+def _(v: Views) -> DataFrame:
+    clean = v["paths"]().where(~F.col("path").rlike(r"//|(?:^|/)\.\.?(?:/|$)|^/|/$") & (F.col("path") != ""))
+    return clean.select("page_id", sc.sanitize_path(F.concat(F.lit("../a/./b\\..//"), "path", F.lit("/y/../z/"))).alias("path"))
+
+
+@query("f17_command_line", "SELECT event_id, 'cc -c ''a b'' ' || event_id || ' ''x|' || event_type || '''' AS line FROM logs", "logs")
+def _(v: Views) -> DataFrame:
+    args = F.array(F.lit("-c"), F.lit("a b"), F.col("event_id").cast("string"), F.concat(F.lit("x|"), "event_type"))
+    return v["logs"]().select("event_id", sc.command_line(F.lit("cc"), args).alias("line"))
+
+
+@query("f18_namespace", "SELECT page_id, 'k/' || page_id || '/' || substr(sha256(url), 1, 12) AS key FROM pages")
+def _(v: Views) -> DataFrame:
+    return v["table"]("pages").select("page_id", sc.cache_key(F.lit("k"), F.col("page_id").cast("string"), sc.namespace(F.col("url"))).alias("key"))
+
+
+@query("f19_dirty_reason", "SELECT event_id, 'rebuilding `t' || event_id || '`: source `' || event_type || '` was modified ' || kind || 's ago' AS text FROM logs", "logs")
+def _(v: Views) -> DataFrame:
+    return v["logs"]().select("event_id", sc.dirty_reason(F.lit("SourceModified"), F.concat(F.lit("t"), F.col("event_id").cast("string")), F.col("event_type"), F.col("kind").cast("string")).alias("text"))
+
+
+@query("f20_test_list", "SELECT event_id, event_type || '::a,' || event_type || '::b' AS tests FROM logs", "logs")
+def _(v: Views) -> DataFrame:
+    out = F.concat("event_type", F.lit("::a: test\n\n"), "event_type", F.lit("::b: test\nx: benchmark\n2 tests, 1 benchmark\n"))
+    return v["logs"]().select("event_id", F.array_join(tx.test_list(out), ",").alias("tests"))
+
+
+@query("f21_doctor_advice", "SELECT event_id, 2 + 2 * (kind > 0)::INT::BIGINT AS tips FROM logs", "logs")
+def _(v: Views) -> DataFrame:
+    missing = F.slice(F.array(*[F.lit(x) for x in ("go", "rust", "zig", "java", "dart", "swift", "node")]), F.lit(1), F.col("kind"))
+    return v["logs"]().select("event_id", F.size(sc.doctor_advice(missing, 10 - F.col("kind"), F.lit(10))).cast("long").alias("tips"))
+
+
+@query("flt11_validation", "SELECT page_id, NOT regexp_matches(url, '[/\\\\;&|`$()<> ]') AND NOT contains(url, '..') AS filename_ok, regexp_matches(url, '^https?://') AND NOT regexp_matches(split_part(url, '://', 2), '^(?:localhost|127\\.|10\\.|192\\.168\\.)') AS url_ok, regexp_matches(url, '[;&|<>]') AS suspicious FROM pages")
+def _(v: Views) -> DataFrame:
+    u = F.col("url")
+    return v["table"]("pages").select("page_id", sc.valid_filename(u).alias("filename_ok"), sc.valid_url(u).alias("url_ok"), sc.suspicious_argument(u).alias("suspicious"))
+
+
+# --- files ----------------------------------------------------------------------------------------------------------------
+
+
+@query("src6_ecosystems", f"WITH {FILES} SELECT regexp_extract(path, '^(.*)/Cargo\\.lock$', 1) AS dir, 'Rust' AS ecosystem, 'Cargo.toml' AS manifest, 'Cargo.lock' AS lockfile FROM f WHERE path LIKE 'src/%/Cargo.lock' AND NOT regexp_matches(path, '(?:^|/)(?:target|node_modules|\\.git|\\.venv|__pycache__|dist|build|fixtures|editors|\\.github)/') GROUP BY 1", "paths")
+def _(v: Views) -> DataFrame:
+    files = _files(v).where(F.col("path").endswith("/Cargo.lock")).select("path")
+    return readers.ecosystems(files.union(files.select(F.regexp_replace("path", r"Cargo\.lock$", "Cargo.toml"))).distinct())
+
+
+@query("src7_workspace_kind", "SELECT page_id % 23 AS root, CASE WHEN bool_or(page_id % 4 = 0) THEN 'Cargo.toml' WHEN bool_or(page_id % 4 = 1) THEN 'package.json' WHEN bool_or(page_id % 4 = 2) THEN 'go.mod' ELSE 'pyproject.toml' END AS manifest FROM pages GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("Cargo.toml", "package.json", "go.mod", "pyproject.toml")])
+    return readers.workspace_kind(v["table"]("pages").select((F.col("page_id") % 23).alias("root"), F.get(names, (F.col("page_id") % 4).cast("int")).alias("name")))
+
+
+@query("src8_depfiles", "SELECT page_id::VARCHAR AS path, 'out.o' AS target, unnest(['a b.h', 'p' || page_id || '.h', 'c.h']) AS dep FROM pages")
+def _(v: Views) -> DataFrame:
+    source = F.concat(F.lit("out.o: a\\ b.h \\\n  p"), F.col("page_id").cast("string"), F.lit(".h c.h\n\nc.h:\n"))
+    return readers.depfiles(v["table"]("pages").select(F.col("page_id").cast("string").alias("path"), source.alias("source")))
+
+
+@query("src9_cargo_lock", "SELECT page_id::VARCHAR AS path, unnest(['a', 'p' || page_id]) AS package, unnest(['1.0.0', '2.0.' || page_id]) AS version FROM pages")
+def _(v: Views) -> DataFrame:
+    p = F.col("page_id").cast("string")
+    source = F.concat(F.lit('[[package]]\nname = "a"\nversion = "1.0.0"\n\n[[package]]\nname = "p'), p, F.lit('"\nversion = "2.0.'), p, F.lit('"\nsource = "x"\n'))
+    return readers.cargo_lock(v["table"]("pages").select(p.alias("path"), source.alias("source")))
+
+
+@query("src9_npm_lock", "SELECT page_id::VARCHAR AS path, unnest(['a', 'a']) AS package, unnest(['1.' || page_id, '1.0.0']) AS version FROM pages")
+def _(v: Views) -> DataFrame:
+    p = F.col("page_id").cast("string")
+    source = F.concat(F.lit('{"dependencies": {"a": {"version": "1.'), p, F.lit('"}}, "packages": {"": {}, "node_modules/a": {"version": "1.0.0"}}}'))
+    return readers.npm_lock(v["table"]("pages").select(p.alias("path"), source.alias("source")))
+
+
+@query("src9_pom", "SELECT page_id::VARCHAR AS path, 'g:a' || page_id AS package, '3.1' AS version FROM pages")
+def _(v: Views) -> DataFrame:
+    p = F.col("page_id").cast("string")
+    source = F.concat(F.lit("<project><dependency>\n<groupId>g</groupId><artifactId> a"), p, F.lit(" </artifactId><version>3.1</version></dependency></project>"))
+    return readers.pom_dependencies(v["table"]("pages").select(p.alias("path"), source.alias("source")))
+
+
+@query("src10_find_command", "SELECT min(path) AS file FROM paths WHERE path LIKE '%.html'", "paths")
+def _(v: Views) -> DataFrame:
+    return readers.find_command(v["paths"]().select(F.col("path").alias("file")), ".html")
+
+
+@query("src11_rules", "SELECT page_id::VARCHAR AS path, unnest(['r' || page_id, 's']) AS name, unnest(['cp', 'echo']) AS command, unnest(['a.txt,b.txt', '']) AS inputs FROM pages")
+def _(v: Views) -> DataFrame:
+    p = F.col("page_id").cast("string")
+    source = F.concat(F.lit('# rules\ngenrule(\n  name = "r'), p, F.lit('",\n  srcs = ["a.txt", "b.txt"],\n  cmd = "cp",\n)\nrule(\n  name = "s",\n)\n'))
+    found = readers.rules(v["table"]("pages").select(p.alias("path"), source.alias("source")))
+    return found.select("path", "name", "command", F.array_join("inputs", ",").alias("inputs"))
+
+
+@query("src12_upsert", "SELECT user_id AS key, max(event_id) AS seq, arg_max(kind, event_id)::INT AS kind FROM logs GROUP BY 1", "logs")
+def _(v: Views) -> DataFrame:
+    rows = v["logs"]().select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "kind")
+    return readers.upsert(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), "key", "seq")
+
+
+@query("src14_list_directory", "SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE path END AS name, bool_or(contains(path, '/')) AS is_dir, count(*) AS bytes FROM paths WHERE path <> '' GROUP BY 1", "paths")
+def _(v: Views) -> DataFrame:
+    return readers.list_directory(v["paths"]().select("path", F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("size")), "")
+
+
+@query("src4_local_then_remote", "SELECT page_id AS key, CASE WHEN page_id % 2 = 0 THEN 'local' ELSE 'remote' END AS origin FROM pages")
+def _(v: Views) -> DataFrame:
+    p = v["table"]("pages").select(F.col("page_id").alias("key"))
+    return readers.either(p.where("key % 2 = 0").withColumn("origin", F.lit("local")), p.withColumn("origin", F.lit("remote")), "key")
