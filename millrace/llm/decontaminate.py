@@ -84,9 +84,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item, all columns kept."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_id"), "text_hash").distinct()
-    d = docs.alias("d")
-    return d.join(bad.alias("b"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("b._id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("b.text_hash")), "left_anti")
+    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,14 +90,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns kept; of rows that repeat id and text one stays."""
-    stay = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
-    marked = docs.withColumn("_sha", sha).dropDuplicates([id_col, "_sha"])
-    return (
-        marked.alias("d")
-        .join(stay.alias("s"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("s._id")) & (F.col("d._sha") == F.col("s._sha")), "left_semi")
-        .drop("_sha")
-    )
+    stay = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+        F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("sha"),
+    ).dropDuplicates(["id", "sha"])
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha")), "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

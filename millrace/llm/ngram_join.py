@@ -275,11 +275,14 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     texts, key = keyed(docs, id_col, text_col)
     found = similar_groups(texts, k, percent)
     stay = found.where("doc = component").select("doc")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    ident = F.col(f"`{id_col}`").cast("long").alias("row_id")
     if key is None:
-        return docs.join(stay, F.col(f"`{id_col}`").cast("long") == F.col("doc"), "left_semi")
-    hashed = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).dropDuplicates([id_col, "_th"])
-    ids = texts.select("doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).join(stay, "doc", "left_semi").join(key, "doc")
-    return hashed.alias("d").join(ids.alias("s"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("s.id")) & (F.col("d._th") == F.col("s.th")), "left_semi").drop("_th")
+        return docs.select(row, ident).join(stay, F.col("row_id") == F.col("doc"), "left_semi").select("row.*")
+    hashed = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
+    rows = docs.select(row, ident, hashed(F.col(f"`{text_col}`")).alias("row_hash")).dropDuplicates(["row_id", "row_hash"])
+    ids = texts.select("doc", hashed(F.col("text")).alias("th")).join(stay, "doc", "left_semi").join(key, "doc")
+    return rows.join(ids, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("th")), "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
