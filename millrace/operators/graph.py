@@ -148,13 +148,22 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return number_rows(levels, "level", "id").withColumnRenamed("number", "position")
 
 
+def sorted_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """df sorted by ranges and written, with _part (the range) and _row (rising in the order)."""
+    return settle(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_row", 33))
+
+
+def range_offsets(ranged: DataFrame, value: Column) -> DataFrame:
+    """(_part, _before): the sum of value in all ranges before; one row a range, as many as shuffle partitions at most."""
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_n"))
+    return sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+
+
 def number_rows(df: DataFrame, *order: str) -> DataFrame:
     """Adds number: 0, 1, ... in the order of the columns, by a range sort and an offset for each sorted range."""
-    ranged = settle(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
-    part = F.shiftright("_row", 33)
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before")
-    return ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("number", F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_part", "_row", "_before")
+    ranged = sorted_ranges(df, *order)
+    numbered = ranged.join(F.broadcast(range_offsets(ranged, F.lit(1))), "_part")
+    return numbered.withColumn("number", F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_part", "_row", "_before")
 
 
 def all_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:

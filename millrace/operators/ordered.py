@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.graph import number_rows, range_offsets, sorted_ranges
+
 
 def _series(by: str, *order: str) -> Window:
     return Window.partitionBy(by).orderBy(*order)
@@ -48,8 +50,12 @@ def transitions(touches: DataFrame, by: str | None = None) -> DataFrame:
     Null packages are skipped and do not interrupt; staying on a package is no change.
     """
     known = touches.where(F.col("package").isNotNull())
-    order = Window.partitionBy(by).orderBy("seq") if by else Window.partitionBy(F.lit(0)).orderBy("seq")
-    moves = known.withColumn("from", F.lag("package").over(order)).where(F.col("from") != F.col("package"))
+    if by:
+        moves = known.withColumn("from", F.lag("package").over(_series(by, "seq")))
+    else:  # one history of all rows: each row meets the one numbered before it
+        numbered = number_rows(known.select("seq", "package"), "seq")
+        moves = numbered.join(numbered.select((F.col("number") + 1).alias("number"), F.col("package").alias("from")), "number")
+    moves = moves.where(F.col("from") != F.col("package"))
     counts = moves.groupBy("from", F.col("package").alias("to")).agg(F.count(F.lit(1)).alias("count"))
     total = counts.groupBy("from").agg(F.sum("count").alias("total"))
     return counts.join(total, "from").select("from", "to", "count", (F.col("count") / F.col("total")).alias("probability"))
@@ -160,14 +166,8 @@ def waterfall(tasks: DataFrame, width: int = 40) -> DataFrame:
 
 
 def running_total(df: DataFrame, value: str, *order: str) -> DataFrame:
-    """Adds before: the sum of value over all rows that come earlier, with one task a sorted range and one small offset each."""
-    from millrace.operators.graph import number_rows
-
-    numbered = number_rows(df, *order)
-    size = 100_000
-    block = F.floor(F.col("number") / size).cast("long")
-    in_block = Window.partitionBy("_b").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    local = numbered.withColumn("_b", block).withColumn("_in", F.coalesce(F.sum(value).over(in_block), F.lit(0)))
-    sums = local.groupBy("_b").agg(F.sum(value).alias("_s"))
-    offsets = sums.withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_o")
-    return local.join(offsets, "_b").withColumn("before", F.col("_in") + F.col("_o")).drop("_b", "_in", "_o", "number")
+    """Adds before: the sum of value over all rows that come earlier, within each sorted range and plus one offset a range."""
+    ranged = sorted_ranges(df, *order)
+    within = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(range_offsets(ranged, F.col(value))), "_part")
+    return joined.withColumn("before", F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_part", "_row", "_before")

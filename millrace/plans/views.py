@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.graph import number_rows
+
 #: The same derivations for DuckDB, as common table expressions.
 SQL_VIEWS = {
     "nodes": "SELECT p_partkey AS id, p_name AS name, p_size::BIGINT AS weight, ['Pending','Running','Succeeded','Failed','Cached','Cancelled','Skipped','Pending'][(p_partkey % 8)::INT + 1] AS state FROM part",
@@ -76,10 +78,10 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]
         return t("supplier").selectExpr("s_suppkey AS id", "s_suppkey % 7 AS active_jobs", "s_nationkey AS zone", "s_suppkey % 3 AS tool", "s_suppkey % 10 AS age")
 
     def records() -> DataFrame:
-        order = Window.orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-        return t("lineitem").select(
+        order = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        return number_rows(t("lineitem").select(*order, "l_quantity"), *order).select(
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), (F.col("l_partkey") % 997).alias("artifact"), F.floor("l_quantity").cast("long").alias("size"),
-            F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("stored_at"), F.row_number().over(order).cast("long").alias("rid"),
+            F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("stored_at"), (F.col("number") + 1).alias("rid"),
         )
 
     def logs() -> DataFrame:
