@@ -46,5 +46,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as texts are long: the buffers of both sides grow with the largest batch.
+
+    The setting is the session's, is only ever lowered, and changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = "".join(c for c in (spark.conf.get(key, None) or "") if c.isdigit())
+    if not now or int(now) > BATCH_BYTES or not int(now):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -90,12 +90,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns kept; of rows that repeat id and text one stays."""
-    stay = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
-        F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("sha"),
-    ).dropDuplicates(["id", "sha"])
-    return rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha")), "left_semi").select("row.*")
+    groups = exact_groups(docs, id_col, text_col)
+    row, ident = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id")
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col(f"`{id_col}`"))).first()
+    if rows == ids:
+        gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("gone_id"))
+        return docs.select(row, ident).join(gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
+    stay = groups.where("kept").select(F.col(id_col).alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
+    marked = docs.select(row, ident, F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("sha")).dropDuplicates(["id", "sha"])
+    return marked.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha")), "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .durable import small_batches
+
 # Fixed values of the HTML standard: element groups that steer tree building and rendering.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -336,6 +338,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     Null and empty pages give an empty text; broken markup gives what a lenient tree holds. Repeated rows are
     rendered each. Other columns are not read. An empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{html_col}`").alias("html"))
     return rows.mapInArrow(_rendered, "id long, text string").withColumnRenamed("id", id_col)
 

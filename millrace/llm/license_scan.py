@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .durable import small_batches
+
 # Public licence texts and the notices that name them.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
@@ -154,6 +156,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several copies. Null and empty texts have none; repeated rows are scanned each; other columns are not read; an
     empty table gives no rows. One pass, no shuffle; the templates travel with the tasks.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(_scanned(Scanner(templates, min_coverage)), "id long, license string, start long, stop long, coverage double").withColumnRenamed("id", id_col)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import as_blob, mix, text_chunks, words
-from .durable import durable, shuffle_partitions
+from .durable import durable, shuffle_partitions, small_batches
 from .rowkeys import keyed
 
 #: Bytes of text whose n-grams are counted together before they are dealt out.
@@ -264,6 +264,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids count as an empty text in the crc32. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts, key = keyed(docs, id_col, text_col)
     if key is not None:
         texts = texts.join(key, "doc")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bytesets import as_blob, mix, text_chunks, words
-from .durable import durable, shuffle_partitions
+from .durable import durable, shuffle_partitions, small_batches
 from .rowkeys import keyed
 
 #: Share of a set's least shingles that go to the fragments beyond the prefix that any partner must meet.
@@ -199,6 +199,7 @@ def similar_groups(texts: DataFrame, k: int, percent: int, fragments: int | None
     input is the plan for a large one.
     """
     spark = texts.sparkSession
+    small_batches(spark)
     parts = shuffle_partitions(spark)
     deal = texts.mapInArrow(_deal(k, percent, f := fragments or 4 * parts), "fragment int, payload binary")
     counts = durable(

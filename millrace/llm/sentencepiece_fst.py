@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .durable import small_batches
 from .rowkeys import keyed
 
 SPACE = "▁"
@@ -260,6 +261,7 @@ def encode_texts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     Null and empty texts have no ids and decode to the empty text. A text decodes to itself, except that the
     mark U+2581 becomes a space. Rows that repeat an id with the same text are one row. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     texts, key = keyed(docs, id_col, text_col)
     out = texts.select("doc", "text").mapInArrow(_coded(model, with_text), _RESULT)
     if key is not None:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bytesets import mix, powers, prefix_hashes, span_hashes, text_chunks
-from .durable import durable
+from .durable import durable, small_batches
 from .rowkeys import keyed
 
 LENGTH, GRAM = 100, 32
@@ -311,6 +311,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
     A gram with more than hot_segments segments is not indexed in one task: its windows are compared one
     by one, as hashes, which gives the same spans.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select("doc", "text")
     by_gram = Window.partitionBy("gram")
     placed = (
