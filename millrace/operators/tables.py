@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: set[str] = set()
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df below spark.checkpoint.dir (a temporary folder only where that is unset) and reads it back: lineage ends there."""
-    spark = df.sparkSession
+
+def _root(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/millrace-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    root = f"{folder}/millrace-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, spark, root)
+    return root
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    """Deletes the tables when the driver's Python ends, if its JVM is still there."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone already
+        return
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet and reads it back: lineage ends there, and a lost executor takes nothing with it."""
+    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
