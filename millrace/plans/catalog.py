@@ -262,7 +262,7 @@ def _(v: Views) -> DataFrame:
 # --- run analytics -------------------------------------------------------------------------------------------
 
 RUNS = (
-    "r AS (SELECT run_id, run_id AS seq, count(*) AS tasks_count, count_if(cached) AS cache_hits, count_if(NOT cached) AS cache_misses, count_if(failed) AS failed_count, "
+    "r AS (SELECT run_id, run_id AS seq, count(*) AS tasks_count, count(*) FILTER (cached) AS cache_hits, count(*) FILTER (NOT cached) AS cache_misses, count(*) FILTER (failed) AS failed_count, "
     "list(toolchain ORDER BY line, task_id, worker, duration_ms) FILTER (duration_ms > 60000) AS bottleneck_tasks FROM task_metrics GROUP BY run_id)"
 )
 
@@ -316,26 +316,26 @@ def _(v: Views) -> DataFrame:
     return an.run_summary(_runs(v)).withColumn("bottlenecks", F.array_join("bottlenecks", ","))
 
 
-@query("agg7_state_summary", "SELECT count(*) AS total, count_if(state = 'Succeeded') AS succeeded, count_if(state = 'Cached') AS cached, count_if(state = 'Failed') AS failed, count_if(state = 'Cancelled') AS cancelled FROM nodes", "nodes")
+@query("agg7_state_summary", "SELECT count(*) AS total, count(*) FILTER (state = 'Succeeded') AS succeeded, count(*) FILTER (state = 'Cached') AS cached, count(*) FILTER (state = 'Failed') AS failed, count(*) FILTER (state = 'Cancelled') AS cancelled FROM nodes", "nodes")
 def _(v: Views) -> DataFrame:
     return an.state_summary(v["nodes"]())
 
 
-@query("agg8_profile", "SELECT count(*) AS tasks, sum(duration_ms)::BIGINT AS total_ms, (sum(duration_ms) // count(*))::BIGINT AS avg_ms, max(duration_ms) AS max_ms, count_if(cached) / count(*)::DOUBLE AS hit_rate, 1 - count_if(cached) / count(*)::DOUBLE AS miss_rate FROM task_metrics", "task_metrics")
+@query("agg8_profile", "SELECT count(*) AS tasks, sum(duration_ms)::BIGINT AS total_ms, (sum(duration_ms) // count(*))::BIGINT AS avg_ms, max(duration_ms) AS max_ms, count(*) FILTER (cached) / count(*)::DOUBLE AS hit_rate, 1 - count(*) FILTER (cached) / count(*)::DOUBLE AS miss_rate FROM task_metrics", "task_metrics")
 def _(v: Views) -> DataFrame:
     return an.profile(v["task_metrics"]())
 
 
 @query(
     "agg9_op_metrics",
-    "SELECT toolchain, count(*) AS calls, sum(duration_ms)::BIGINT AS total_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, count_if(NOT failed) AS successes, count_if(failed) AS failures, (sum(duration_ms) // count(*))::BIGINT AS avg_ms, count_if(NOT failed) / count(*)::DOUBLE AS success_rate FROM task_metrics GROUP BY toolchain",
+    "SELECT toolchain, count(*) AS calls, sum(duration_ms)::BIGINT AS total_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, count(*) FILTER (NOT failed) AS successes, count(*) FILTER (failed) AS failures, (sum(duration_ms) // count(*))::BIGINT AS avg_ms, count(*) FILTER (NOT failed) / count(*)::DOUBLE AS success_rate FROM task_metrics GROUP BY toolchain",
     "task_metrics",
 )
 def _(v: Views) -> DataFrame:
     return an.operation_metrics(v["task_metrics"](), "toolchain")
 
 
-@query("agg10_health_report", "SELECT 0::BIGINT AS debug, count_if(event_type = 'view') AS info, count_if(event_type = 'click') AS warning, count_if(event_type = 'error') AS error, 0::BIGINT AS critical, CASE WHEN bool_or(kind = 7 AND event_id < 100) THEN 'Degraded' ELSE 'Healthy' END AS overall_health FROM logs", "logs")
+@query("agg10_health_report", "SELECT 0::BIGINT AS debug, count(*) FILTER (event_type = 'view') AS info, count(*) FILTER (event_type = 'click') AS warning, count(*) FILTER (event_type = 'error') AS error, 0::BIGINT AS critical, CASE WHEN bool_or(kind = 7 AND event_id < 100) THEN 'Degraded' ELSE 'Healthy' END AS overall_health FROM logs", "logs")
 def _(v: Views) -> DataFrame:
     logs = v["logs"]()
     level = F.when(F.col("event_type") == "view", "Info").when(F.col("event_type") == "click", "Warning").when(F.col("event_type") == "error", "Error").otherwise("Other")
@@ -359,7 +359,7 @@ def _(v: Views) -> DataFrame:
     return an.access_stats(_runs(v).select(F.col("cache_hits").alias("hits"), F.col("cache_misses").alias("misses"))).withColumns({c: F.round(c, 9) for c in ("hit_rate", "avg_accesses")})
 
 
-FLIPS = "f AS (SELECT test_id, passed, seq, (passed <> lag(passed) OVER (PARTITION BY test_id ORDER BY seq))::INT AS flip FROM test_runs), s AS (SELECT test_id, count(*) AS runs, count_if(NOT passed) AS failures, coalesce(sum(flip), 0)::BIGINT AS flips FROM f GROUP BY 1)"
+FLIPS = "f AS (SELECT test_id, passed, seq, (passed <> lag(passed) OVER (PARTITION BY test_id ORDER BY seq))::INT AS flip FROM test_runs), s AS (SELECT test_id, count(*) AS runs, count(*) FILTER (NOT passed) AS failures, coalesce(sum(flip), 0)::BIGINT AS flips FROM f GROUP BY 1)"
 
 
 @query("agg14_flaky_report", f"WITH {FLIPS} SELECT test_id, runs, failures, failures / runs::DOUBLE AS failure_rate, flips FROM s", "test_runs")
@@ -367,14 +367,14 @@ def _(v: Views) -> DataFrame:
     return ordered.flaky_report(v["test_runs"]())
 
 
-@query("agg15_status_pivot", "SELECT user_id, count_if(event_type = 'click') AS n_click, count_if(event_type = 'error') AS n_error, count_if(event_type = 'purchase') AS n_purchase, count_if(event_type = 'view') AS n_view, count(*) AS total FROM logs GROUP BY user_id", "logs")
+@query("agg15_status_pivot", "SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'view') AS n_view, count(*) AS total FROM logs GROUP BY user_id", "logs")
 def _(v: Views) -> DataFrame:
     return an.status_pivot(v["logs"](), "user_id", "event_type", ("click", "error", "purchase", "view"))
 
 
 @query(
     "agg16_progress",
-    "WITH l AS (SELECT user_id AS id, arg_max(event_type, event_id) AS s FROM logs GROUP BY 1), t AS (SELECT n.id, l.s FROM nodes n LEFT JOIN l USING (id)) SELECT count(*) AS total, count_if(s = 'view') AS completed, count_if(s = 'error') AS failed, round(count_if(s IN ('view', 'error')) / count(*)::DOUBLE, 9) AS progress FROM t",
+    "WITH l AS (SELECT user_id AS id, arg_max(event_type, event_id) AS s FROM logs GROUP BY 1), t AS (SELECT n.id, l.s FROM nodes n LEFT JOIN l USING (id)) SELECT count(*) AS total, count(*) FILTER (s = 'view') AS completed, count(*) FILTER (s = 'error') AS failed, round(count(*) FILTER (s IN ('view', 'error')) / count(*)::DOUBLE, 9) AS progress FROM t",
     "logs", "nodes",
 )
 def _(v: Views) -> DataFrame:
@@ -382,7 +382,7 @@ def _(v: Views) -> DataFrame:
     return an.progress(v["nodes"](), v["logs"]().select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), state_.alias("state"))).withColumn("progress", F.round("progress", 9))
 
 
-@query("agg17_suite_summary", "SELECT count(*) AS total, count_if(passed) AS passed, count_if(NOT passed) AS failed, round(count_if(passed) / count(*)::DOUBLE, 9) AS success_rate, count(DISTINCT test_id) AS suites FROM test_runs", "test_runs")
+@query("agg17_suite_summary", "SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, round(count(*) FILTER (passed) / count(*)::DOUBLE, 9) AS success_rate, count(DISTINCT test_id) AS suites FROM test_runs", "test_runs")
 def _(v: Views) -> DataFrame:
     return an.suite_summary(v["test_runs"]().withColumnRenamed("test_id", "suite")).withColumn("success_rate", F.round("success_rate", 9))
 
@@ -432,14 +432,14 @@ def _(v: Views) -> DataFrame:
 @query(
     "flt6_change_impact",
     f"WITH {FILES}, m AS (SELECT project, path, {RELEVANT} AS r, CASE {EXT} WHEN 'rs' THEN 'Rust' WHEN 'ts' THEN 'TypeScript' WHEN 'go' THEN 'Go' WHEN 'py' THEN 'Python' WHEN 'cpp' THEN 'Cpp' END AS e, {BASE} AS b FROM f) "
-    "SELECT project, count(*) AS total, count_if(r) AS meaningful, count_if(NOT r) AS ignored, coalesce(string_agg(DISTINCT e, ',' ORDER BY e) FILTER (r), '') AS ecosystems, bool_or(r AND b = 'Cargo.lock') AS full_rebuild FROM m GROUP BY project",
+    "SELECT project, count(*) AS total, count(*) FILTER (r) AS meaningful, count(*) FILTER (NOT r) AS ignored, coalesce(string_agg(DISTINCT e, ',' ORDER BY e) FILTER (r), '') AS ecosystems, bool_or(r AND b = 'Cargo.lock') AS full_rebuild FROM m GROUP BY project",
     "paths",
 )
 def _(v: Views) -> DataFrame:
     return tx.change_impact(_files(v), "project").withColumn("ecosystems", F.array_join("ecosystems", ","))
 
 
-@query("agg19_rebuild_frequency", f"WITH {FILES} SELECT project, round(count_if({RELEVANT}) / count(*)::DOUBLE, 9) AS rebuild_frequency FROM f GROUP BY project", "paths")
+@query("agg19_rebuild_frequency", f"WITH {FILES} SELECT project, round(count(*) FILTER ({RELEVANT}) / count(*)::DOUBLE, 9) AS rebuild_frequency FROM f GROUP BY project", "paths")
 def _(v: Views) -> DataFrame:
     return tx.change_impact(_files(v), "project").select("project", F.round(an.ratio(F.col("meaningful"), F.col("total")), 9).alias("rebuild_frequency"))
 
@@ -497,7 +497,7 @@ def _(v: Views) -> DataFrame:
     return an.top_k(v["task_metrics"](), 10, F.desc("duration_ms"), "run_id", "task_id", "line").select("run_id", "task_id", "duration_ms")
 
 
-META = "t AS (SELECT test_id AS name, count_if(NOT passed) AS fails, (sum(duration_ms) // count(*))::BIGINT AS ms FROM test_runs GROUP BY 1)"
+META = "t AS (SELECT test_id AS name, count(*) FILTER (NOT passed) AS fails, (sum(duration_ms) // count(*))::BIGINT AS ms FROM test_runs GROUP BY 1)"
 
 
 def _meta(v: Views) -> DataFrame:
