@@ -18,6 +18,8 @@ from .rowkeys import keyed
 EXTRA = 0.15
 #: Fragments in which the overlaps of a pair are counted.
 VERTICAL = 4
+#: Words of 64 bits of a set's sketch: a bit that only one of two sets has stands for a shingle that the other lacks.
+SKETCH = 32
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,9 +147,12 @@ def _sets(k: int):
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s)))
                 other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s + np.uint64(0x632BE59BD9B4E019)))))
                 tokens = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(s.view(np.int64)))
+                bits = np.zeros((hi - lo, SKETCH), np.uint64)
+                np.bitwise_or.at(bits, (r, s >> np.uint64(59)), np.uint64(1) << ((s >> np.uint64(53)) & np.uint64(63)))
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, SKETCH, dtype=np.int32)), pa.array(bits.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), *(pa.array((x[first[1:]] - x[first[:-1]]).view(np.int64)) for x in (total, other)), tokens],
-                    names=["doc", "n", "sum_a", "sum_b", "tokens"],
+                    [batch.column("doc").slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), *(pa.array((x[first[1:]] - x[first[:-1]]).view(np.int64)) for x in (total, other)), tokens, sketch],
+                    names=["doc", "n", "sum_a", "sum_b", "tokens", "bits"],
                 )
 
     return run
@@ -193,7 +198,8 @@ def similar_groups(texts: DataFrame, k: int, percent: int, fragments: int | None
     3. Per shingle, the document whose prefix has it first is the leader; each document is compared with the
        two leaders it meets most, which joins the bulk of a large group at linear cost.
     4. Wherever a shingle still sees documents of different groups, all their pairs that pass the size and
-       position bounds are compared, leaving out pairs already in one group: no link is lost.
+       position bounds and whose sketches leave the overlap possible are compared, leaving out pairs already in one
+       group: all bounds are lossless, so no link is lost, and members that are only nearly alike make no pairs.
     A pair's overlap is counted in each fragment of the order by itself and summed.
     The joins whose sides grow with the input merge sorted sides at every size, so that the plan for a small
     input is the plan for a large one.
@@ -207,7 +213,7 @@ def similar_groups(texts: DataFrame, k: int, percent: int, fragments: int | None
         .groupBy("doc").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.sum("met").alias("met"))
     )
     near = texts.join(counts.where("n > 0 AND met >= need").select("doc").hint("merge"), "doc", "left_semi")
-    sets = durable(near.mapInArrow(_sets(k), "doc long, n long, sum_a long, sum_b long, tokens array<long>"))
+    sets = durable(near.mapInArrow(_sets(k), "doc long, n long, sum_a long, sum_b long, tokens array<long>, bits array<long>"))
     alike = durable(sets.groupBy("n", "sum_a", "sum_b").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")))
     one = sets.join(alike.select("rep"), F.col("doc") == F.col("rep"), "left_semi").select("doc", "n", "tokens")
     cut = lambda p: F.filter("tokens", lambda t: F.pmod(F.shiftright(t, 40), F.lit(VERTICAL)) == p)
@@ -235,13 +241,16 @@ def similar_groups(texts: DataFrame, k: int, percent: int, fragments: int | None
     placed = prefix.join(of, "doc", "left").withColumn("g", F.coalesce("g", "doc"))
     by_group = placed.groupBy("token", "g").agg(F.count(F.lit(1)).alias("c"))
     main = by_group.groupBy("token").agg(F.max(F.struct("c", "g")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token", F.col("main.g").alias("main"))
-    open_lists = durable(placed.join(main, "token"))
-    a = open_lists.where("g <> main").select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("g").alias("gx"))
-    b = open_lists.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("g").alias("gy"), (F.col("g") == F.col("main")).alias("my"))
+    open_lists = durable(placed.join(main, "token").join(sets.select("doc", "bits"), "doc"))
+    a = open_lists.where("g <> main").select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("g").alias("gx"), F.col("bits").alias("bx"))
+    b = open_lists.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("g").alias("gy"), F.col("bits").alias("by"), (F.col("g") == F.col("main")).alias("my"))
     room = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     bound = ((100 + percent) * room) >= (percent * (F.col("nx") + F.col("ny")))
+    lacks = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, c: n + c)
+    common = F.least(F.col("nx") - lacks("bx", "by"), F.col("ny") - lacks("by", "bx"))
+    alike_bits = ((100 + percent) * common) >= (percent * (F.col("nx") + F.col("ny")))
     rest = (
-        a.join(b, (a["token"] == b["token"]) & (F.col("gx") != F.col("gy")) & fit("nx", "ny") & bound & (F.col("my") | (F.col("x") < F.col("y"))))
+        a.join(b, (a["token"] == b["token"]) & (F.col("gx") != F.col("gy")) & fit("nx", "ny") & bound & (F.col("my") | (F.col("x") < F.col("y"))) & alike_bits)
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     )
     links = led.unionByName(_overlapping(durable(rest), vertical, percent))
