@@ -249,11 +249,18 @@ def similar_groups(texts: DataFrame, k: int, percent: int, fragments: int | None
     lacks = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, c: n + c)
     common = F.least(F.col("nx") - lacks("bx", "by"), F.col("ny") - lacks("by", "bx"))
     alike_bits = ((100 + percent) * common) >= (percent * (F.col("nx") + F.col("ny")))
-    rest = (
+    rest = durable(
         a.join(b, (a["token"] == b["token"]) & (F.col("gx") != F.col("gy")) & fit("nx", "ny") & bound & (F.col("my") | (F.col("x") < F.col("y"))) & alike_bits)
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        .groupBy("x", "y").agg(F.first("gx").alias("gx"), F.first("gy").alias("gy"), F.min("py").alias("py"))
     )
-    links = led.unionByName(_overlapping(durable(rest), vertical, percent))
+    # one link joins a document to a group: the pair most likely to link first, and the others only if groups still differ
+    first = rest.groupBy("x", "gy").agg(F.min(F.struct("py", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    pair = lambda df: df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    early = durable(led.unionByName(_overlapping(durable(pair(first)), vertical, percent)))
+    half = components(early)
+    side = lambda c: half.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    apart = rest.join(side("x"), "x", "left").join(side("y"), "y", "left").where(F.coalesce("cx", "x") != F.coalesce("cy", "y"))
+    links = early.unionByName(_overlapping(durable(pair(apart)), vertical, percent))
     joined = components(links)
     placed_sets = (
         sets.select("doc", "n", "sum_a", "sum_b").join(alike, ["n", "sum_a", "sum_b"])
