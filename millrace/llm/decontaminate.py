@@ -12,6 +12,8 @@ MASKS = ((0, 1, 3, 4, 7, 8, 10), (0, 1, 2, 5, 7, 9, 10))
 SPAN = 11
 #: A document holds an item if at least this share of the item's tokens, and so many tokens, agree on its diagonals.
 MIN_SHARE, MIN_TOKENS = 0.5, 10
+#: It also holds a passage of an item, however long the item, where a stretch of one diagonal has so many more agreeing than other tokens.
+MIN_STRETCH = 20
 #: Seeds that one pass broadcasts at most; a larger benchmark is searched in several passes.
 MAX_SEEDS = 1_000_000
 
@@ -43,14 +45,28 @@ def _located(df: DataFrame, keep: list[str], tokens: str, at: str) -> DataFrame:
     return df.select(*keep, tokens, F.posexplode_outer("seeds").alias("k", "seed")).select(*keep, tokens, "seed", F.pmod(F.col("k"), n).alias(at))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS, max_seeds: int = MAX_SEEDS) -> DataFrame:
-    """Rows (id, text_hash, item_id, doc_pos, item_tokens, matched, share) for each document that holds a benchmark item.
+def _stretch(agree: Column) -> Column:
+    """The most that agreeing tokens outnumber the others in any stretch, from the sorted positions that agree."""
+    start = F.struct(F.lit(0).alias("now"), F.lit(-1).alias("last"), F.lit(0).alias("best"))
+
+    def step(s: Column, k: Column) -> Column:
+        now = F.greatest(F.lit(0), s["now"] - (k - s["last"] - 1)) + 1
+        return F.struct(now.alias("now"), k.alias("last"), F.greatest(s["best"], now).alias("best"))
+
+    return F.aggregate(agree, start, step, lambda s: s["best"])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS, min_stretch: int = MIN_STRETCH, max_seeds: int = MAX_SEEDS) -> DataFrame:
+    """Rows (id, text_hash, item_id, doc_pos, item_tokens, matched, share) for each document that holds a benchmark item or a long passage of one.
 
     Every position of every document and item is hashed under every mask. A hit fixes a diagonal (document
     position less item position); there all tokens of the item are compared, so substituted words cost only
     themselves. The diagonals of a pair add up, up to the item's length, which also bears inserted words.
     doc_pos is the token where the item would begin on its best diagonal, below 0 if its start is cut off.
 
+    A pair counts with min_share of the item's tokens, or with a stretch of one diagonal whose agreeing tokens
+    outnumber the others by min_stretch: 20 words copied verbatim, 40 with every fourth one substituted.
+
     Documents are not shuffled: the item seeds are counted and broadcast in blocks of at most max_seeds, one
     pass each. Only verified diagonals are shuffled, after a partial aggregation.
     Items of fewer than 11 tokens have no seed and never match; null and empty texts never match. Repeated rows
@@ -68,16 +84,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = spread.join(F.broadcast(part), "seed")
         size = F.size("item")
         same = F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.get("doc", F.col("pos") - F.col("item_pos") + k) == F.get("item", k))
-        return hits.select("id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("doc_pos"), size.alias("item_tokens"), F.size(same).alias("matched"))
+        return hits.select("id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("doc_pos"), size.alias("item_tokens"), same.alias("agree"))
 
-    diagonals = reduce(DataFrame.unionByName, [one_pass(b) for b in range(blocks)]).groupBy("id", "text_hash", "item_id", "doc_pos").agg(F.max("item_tokens").alias("item_tokens"), F.max("matched").alias("matched"))
+    diagonals = reduce(DataFrame.unionByName, [one_pass(b) for b in range(blocks)]).distinct().withColumn("matched", F.size("agree")).withColumn("stretch", _stretch(F.col("agree")))
     best = F.max(F.struct("matched", (-F.col("doc_pos")).alias("later")))
     return (
         diagonals.groupBy("id", "text_hash", "item_id")
-        .agg((-best["later"]).alias("doc_pos"), F.max("item_tokens").alias("item_tokens"), F.sum("matched").alias("all"))
+        .agg((-best["later"]).alias("doc_pos"), F.max("item_tokens").alias("item_tokens"), F.sum("matched").alias("all"), F.max("stretch").alias("stretch"))
         .withColumn("matched", F.least(F.col("all"), F.col("item_tokens").cast("long")))
         .withColumn("share", F.col("matched") / F.col("item_tokens"))
-        .where((F.col("share") >= min_share) & (F.col("matched") >= min_tokens))
+        .where(((F.col("share") >= min_share) & (F.col("matched") >= min_tokens)) | (F.col("stretch") >= min_stretch))
         .select(F.col("id").alias(id_col), "text_hash", "item_id", F.col("doc_pos").cast("long").alias("doc_pos"), F.col("item_tokens").cast("long").alias("item_tokens"), "matched", "share")
     )
 

@@ -222,6 +222,20 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_passages_of_long_items(spark):
+    """A long passage counts however long the item is, also with substituted words; a short one does not."""
+    rng = random.Random(12)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(n))) for k, n in enumerate((200, 1000))]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        for j, passage in enumerate((w[60:150], w[100:120], w[100:119], [x if p % 4 else "changed" for p, x in enumerate(w[20:70])])):
+            docs.append((10 * k + j, " ".join([words(rng, 40), *passage, words(rng, 40)])))
+    got = decontaminate.contaminated(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.matched) for r in got} >= {(0, 0, 90), (1, 0, 20), (10, 1, 90), (11, 1, 20)}
+    assert not {r.doc_id for r in got} & {2, 12}
+
+
 # --- html
 
 
