@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Token offsets that a mask looks at; the others may differ.
@@ -14,6 +14,8 @@ SPAN = 11
 MIN_SHARE, MIN_TOKENS = 0.5, 10
 #: It also holds a passage of an item, however long the item, where a stretch of one diagonal has so many more agreeing than other tokens.
 MIN_STRETCH = 20
+#: Diagonals so far from another one add the item tokens that only they hold, for inserted or left out words.
+BAND = 16
 #: Seeds that one pass broadcasts at most; a larger benchmark is searched in several passes.
 MAX_SEEDS = 1_000_000
 
@@ -56,13 +58,15 @@ def _stretch(agree: Column) -> Column:
     return F.aggregate(agree, start, step, lambda s: s["best"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS, min_stretch: int = MIN_STRETCH, max_seeds: int = MAX_SEEDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE, min_tokens: int = MIN_TOKENS, min_stretch: int = MIN_STRETCH, band: int = BAND, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """Rows (id, text_hash, item_id, doc_pos, item_tokens, matched, share) for each document that holds a benchmark item or a long passage of one.
 
     Every position of every document and item is hashed under every mask. A hit fixes a diagonal (document
     position less item position); there all tokens of the item are compared, so substituted words cost only
-    themselves. The diagonals of a pair add up, up to the item's length, which also bears inserted words.
-    doc_pos is the token where the item would begin on its best diagonal, below 0 if its start is cut off.
+    themselves. matched counts the distinct item tokens that agree on a diagonal or on those at most band beside it,
+    which also bears inserted words; the diagonal with the most stands for the pair, so a phrase that stands twice
+    counts once and phrases far apart do not add up. doc_pos is the token where the item would begin on that
+    diagonal, below 0 if its start is cut off.
 
     A pair counts with min_share of the item's tokens, or with a stretch of one diagonal whose agreeing tokens
     outnumber the others by min_stretch: 20 words copied verbatim, 40 with every fourth one substituted.
@@ -86,12 +90,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         same = F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.get("doc", F.col("pos") - F.col("item_pos") + k) == F.get("item", k))
         return hits.select("id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("doc_pos"), size.alias("item_tokens"), same.alias("agree"))
 
-    diagonals = reduce(DataFrame.unionByName, [one_pass(b) for b in range(blocks)]).distinct().withColumn("matched", F.size("agree")).withColumn("stretch", _stretch(F.col("agree")))
-    best = F.max(F.struct("matched", (-F.col("doc_pos")).alias("later")))
+    diagonals = reduce(DataFrame.unionByName, [one_pass(b) for b in range(blocks)]).distinct().withColumn("stretch", _stretch(F.col("agree")))
+    beside = Window.partitionBy("id", "text_hash", "item_id").orderBy("doc_pos").rangeBetween(-band, band)
+    centres = diagonals.withColumn("matched", F.size(F.array_distinct(F.flatten(F.collect_list("agree").over(beside)))))
+    best = F.max(F.struct("matched", F.size("agree").alias("own"), (-F.col("doc_pos")).alias("later")))
     return (
-        diagonals.groupBy("id", "text_hash", "item_id")
-        .agg((-best["later"]).alias("doc_pos"), F.max("item_tokens").alias("item_tokens"), F.sum("matched").alias("all"), F.max("stretch").alias("stretch"))
-        .withColumn("matched", F.least(F.col("all"), F.col("item_tokens").cast("long")))
+        centres.groupBy("id", "text_hash", "item_id")
+        .agg((-best["later"]).alias("doc_pos"), best["matched"].cast("long").alias("matched"), F.max("item_tokens").alias("item_tokens"), F.max("stretch").alias("stretch"))
         .withColumn("share", F.col("matched") / F.col("item_tokens"))
         .where(((F.col("share") >= min_share) & (F.col("matched") >= min_tokens)) | (F.col("stretch") >= min_stretch))
         .select(F.col("id").alias(id_col), "text_hash", "item_id", F.col("doc_pos").cast("long").alias("doc_pos"), F.col("item_tokens").cast("long").alias("item_tokens"), "matched", "share")

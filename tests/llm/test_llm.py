@@ -236,6 +236,18 @@ def test_passages_of_long_items(spark):
     assert not {r.doc_id for r in got} & {2, 12}
 
 
+def test_repeated_stock_phrase_is_no_copy(spark):
+    """A phrase of an item counts once, phrases far apart do not add up, inserted words cost little."""
+    rng = random.Random(13)
+    item = [f"i{j}" for j in range(30)]
+    a, b, fill = " ".join(item[:11]), " ".join(item[15:26]), words(rng, 100)
+    texts = [f"{a} {words(rng, 9)} {a}", " ".join([a] * 50), f"{a} {fill} {b}", f"{a} {' '.join(item[11:15])} {words(rng, 5)} {' '.join(item[15:])}", f"{b} {fill} {a} more words {b}"]
+    df, bench = table(spark, list(enumerate(texts))), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.item_tokens, r.matched) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {3: (30, 30), 4: (30, 22)}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [0, 1, 2]
+
+
 # --- html
 
 
