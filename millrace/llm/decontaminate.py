@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Token offsets that a mask looks at; the others may differ.
-MASKS = ((0, 1, 3, 4, 7, 8, 10), (0, 1, 2, 5, 7, 9, 10))
-SPAN = 11
+#: Token offsets that a mask looks at; the others may differ. Each period of substitution leaves one mask whole.
+MASKS = ((0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 4, 6), (0, 1, 2, 6), (0, 3, 5, 6))
+#: Tokens that any mask needs; a wider one that runs over the end looks at what is there.
+SPAN = 5
+#: Items below MIN_TOKENS count only as a whole, and from so many tokens on.
+MIN_ITEM = 6
 #: A document holds an item if at least this share of the item's tokens, and so many tokens, agree on its diagonals.
 MIN_SHARE, MIN_TOKENS = 0.5, 10
 #: It also holds a passage of an item, however long the item, where a stretch of one diagonal has so many more agreeing than other tokens.
@@ -73,10 +76,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Documents are not shuffled: the item seeds are counted and broadcast in blocks of at most max_seeds, one
     pass each. Only verified diagonals are shuffled, after a partial aggregation.
-    Items of fewer than 11 tokens have no seed and never match; null and empty texts never match. Repeated rows
+    Items of fewer than min_tokens tokens count where all tokens agree on one diagonal; those of fewer than
+    MIN_ITEM, and null and empty texts, never match. Repeated rows
     and repeated items give one row for each distinct (id, text, item_id). An empty side gives no rows.
     """
-    items = benchmark.select("item_id", _tokens(F.col("text")).alias("item")).withColumn("seeds", _seeds("item", MASKS))
+    items = benchmark.select("item_id", _tokens(F.col("text")).alias("item")).where(F.size("item") >= MIN_ITEM).withColumn("seeds", _seeds("item", MASKS))
     sown = _located(items, ["item_id"], "item", "item_pos").select("item_id", "seed", "item_pos", "item").where("seed IS NOT NULL").distinct()
     n = sown.count()
     blocks = max(1, -(-n // max_seeds))
@@ -96,9 +100,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     best = F.max(F.struct("matched", F.size("agree").alias("own"), (-F.col("doc_pos")).alias("later")))
     return (
         centres.groupBy("id", "text_hash", "item_id")
-        .agg((-best["later"]).alias("doc_pos"), best["matched"].cast("long").alias("matched"), F.max("item_tokens").alias("item_tokens"), F.max("stretch").alias("stretch"))
+        .agg(F.max(F.size("agree")).alias("own"), (-best["later"]).alias("doc_pos"), best["matched"].cast("long").alias("matched"), F.max("item_tokens").alias("item_tokens"), F.max("stretch").alias("stretch"))
         .withColumn("share", F.col("matched") / F.col("item_tokens"))
-        .where(((F.col("share") >= min_share) & (F.col("matched") >= min_tokens)) | (F.col("stretch") >= min_stretch))
+        .where(((F.col("item_tokens") < min_tokens) & (F.col("own") == F.col("item_tokens"))) | ((F.col("share") >= min_share) & (F.col("matched") >= min_tokens)) | (F.col("stretch") >= min_stretch))
         .select(F.col("id").alias(id_col), "text_hash", "item_id", F.col("doc_pos").cast("long").alias("doc_pos"), F.col("item_tokens").cast("long").alias("item_tokens"), "matched", "share")
     )
 

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -248,6 +249,31 @@ def test_repeated_stock_phrase_is_no_copy(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [0, 1, 2]
 
 
+def test_seeds_hit_short_and_regularly_substituted_items(spark):
+    """Every copy above the threshold of items of 10 to 15 tokens, every period of substitution, and whole shorter items."""
+    items, docs = [], []
+
+    def plant(n, patterns):
+        k = len(items)
+        w = [f"i{k}x{j}" for j in range(n)]
+        items.append((k, " ".join(w)))
+        for p in patterns:
+            docs.append((k, len(docs), " ".join(["before", *[x if keep else "changed" for x, keep in zip(w, p)], "after"])))
+
+    for n in range(10, 16):
+        plant(n, [[j not in out for j in range(n)] for m in range(n - 9) for out in itertools.combinations(range(n), m)])
+    for period in range(2, 12):
+        for n in (20, 25, 40, 57):
+            plant(n, [p for shift in range(period) if sum(p := [j % period != shift for j in range(n)]) >= max(10, n / 2)])
+    for n in range(6, 10):
+        plant(n, [[True] * n])
+    df, bench = table(spark, [(i, t) for _, i, t in docs]), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert {(r.item_id, r.doc_id) for r in got} == {(k, i) for k, i, _ in docs} and len(got) == len(docs)
+    near = [(k, " ".join(t.split()[:-1])) for k, t in items[-4:]]
+    assert decontaminate.contaminated(table(spark, near), bench).count() == 0
+
+
 # --- html
 
 
