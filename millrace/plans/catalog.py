@@ -676,12 +676,24 @@ def _(v: Views) -> DataFrame:
     return joins.recommend_tasks(v["paths"]().select(F.col("path").alias("file")), patterns, v["edges"]())
 
 
+@query("join2_recommend_tasks_all", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON contains(path, 'e/' || n.id) UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
+def _(v: Views) -> DataFrame:
+    patterns = v["nodes"]().select(F.col("id").alias("package"), F.concat(F.lit("e/"), F.col("id").cast("string")).alias("pattern"))
+    return joins.recommend_tasks(v["paths"]().select(F.col("path").alias("file")), patterns, v["edges"]())
+
+
 @query("join3_dependent_targets", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON starts_with(path, chr((97 + n.id % 26)::INT) || 'l') WHERE n.id < 60 UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
 def _(v: Views) -> DataFrame:
     deps = v["nodes"]().where("id < 60").select(F.col("id").alias("target"), F.concat(F.chr((F.col("id") % 26 + 97)), F.lit("l")).alias("dep"))
     return joins.dependent_targets(v["paths"]().select(F.col("path").alias("file")), deps, v["edges"]())
 
 
+@query("join3_dependent_targets_all", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON starts_with(path, chr((97 + n.id % 26)::INT) || 'l') UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
+def _(v: Views) -> DataFrame:
+    deps = v["nodes"]().select(F.col("id").alias("target"), F.concat(F.chr((F.col("id") % 26 + 97)), F.lit("l")).alias("dep"))
+    return joins.dependent_targets(v["paths"]().select(F.col("path").alias("file")), deps, v["edges"]())
+
+
 @query(
     "join4_composite_lookup",
     "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 2 = 0 THEN 'L' WHEN o_orderkey % 2 = 0 THEN 'R' END AS artifact, CASE WHEN o_orderkey % 3 = 0 AND o_custkey % 2 = 0 THEN 'local' WHEN o_orderkey % 2 = 0 THEN 'remote' ELSE 'miss' END AS source FROM orders",
@@ -762,6 +774,11 @@ def _(v: Views) -> DataFrame:
     return joins.fan_in(v["nodes"]().where("id < 500").select("id", F.when(F.col("id") % 50 == 0, "Docker").otherwise("Rust").alias("ecosystem")), "Docker")
 
 
+@query("join13_fan_in_all", "SELECT a.id AS dependency, b.id AS dependent FROM nodes a, nodes b WHERE a.id % 50 <> 0 AND b.id % 50 = 0", "nodes")
+def _(v: Views) -> DataFrame:
+    return joins.fan_in(v["nodes"]().select("id", F.when(F.col("id") % 50 == 0, "Docker").otherwise("Rust").alias("ecosystem")), "Docker")
+
+
 @query("join14_best_worker", "SELECT id FROM workers WHERE tool IN (1, 2) AND zone % 2 = 0 AND age < 6 ORDER BY active_jobs, id LIMIT 5", "workers")
 def _(v: Views) -> DataFrame:
     tool = F.when(F.col("tool") == 0, F.array(F.lit("go"))).when(F.col("tool") == 1, F.array(F.lit("rust"), F.lit("cc"))).otherwise(F.array(F.lit("*")))
@@ -775,6 +792,12 @@ def _(v: Views) -> DataFrame:
     return joins.artifact_peers(r.where("digest < 50").select("digest").distinct(), r)
 
 
+@query("join15_artifact_peers_all", "SELECT DISTINCT artifact AS digest, key % 17 AS peer FROM records", "records")
+def _(v: Views) -> DataFrame:
+    r = v["records"]().select(F.col("artifact").alias("digest"), (F.col("key") % 17).alias("peer"))
+    return joins.artifact_peers(r.select("digest").distinct(), r)
+
+
 @query("join15_first_peer", "SELECT artifact AS digest, arg_min(key % 17, rid) AS peer FROM records GROUP BY 1", "records")
 def _(v: Views) -> DataFrame:
     return joins.first_peer(v["records"]().select(F.col("artifact").alias("digest"), (F.col("key") % 17).alias("peer"), F.col("rid").alias("seq")))
@@ -1025,6 +1048,12 @@ def _(v: Views) -> DataFrame:
     return sinks.graph_tree(n, v["edges"]().where("dependent < 40")).select(F.array_join("path", ">").alias("path"))
 
 
+@query("snk4_graph_tree_all", "WITH RECURSIVE r(id, p) AS (SELECT id, 'n' || id FROM nodes WHERE id NOT IN (SELECT dependency FROM edges) UNION ALL SELECT d, p || '>n' || d FROM r JOIN (SELECT DISTINCT dependency AS d, dependent AS t FROM edges) ON t = r.id JOIN nodes ON nodes.id = d) SELECT p AS path FROM r", "nodes", "edges")
+def _(v: Views) -> DataFrame:
+    n = v["nodes"]().withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string")))
+    return sinks.graph_tree(n, v["edges"]()).select(F.array_join("path", ">").alias("path"))
+
+
 @query("snk1_chrome_trace")
 def _(v: Views) -> DataFrame:
     return sinks.chrome_trace(v["logs"]().select(F.col("event_id").cast("string").alias("task"), F.col("user_id").alias("worker"), (F.col("event_id") * 10).alias("start_us"), (F.col("kind") * 5).cast("long").alias("duration_us")))

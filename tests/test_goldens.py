@@ -308,6 +308,15 @@ def test_renderings(spark, tmp_path):
     assert sinks.migration_script(m, 1, 3).first().script == "b\nc" and sinks.migration_script(m, 3, 1).first().script == "-c\n-b"
 
 
+def test_graph_tree_is_followed_to_its_end(spark):
+    names = [f"n{k:02}" for k in range(68)]
+    nodes, edges = graph_of(spark, names, list(zip(names, names[1:])))
+    assert [r.line for r in sinks.graph_tree(nodes, edges).collect()] == ["  " * k + n for k, n in enumerate(reversed(names))]
+    nodes, edges = graph_of(spark, ["top", "a", "b"], [("a", "top"), ("b", "a"), ("a", "b")])
+    with pytest.raises(ValueError, match="cycle"):
+        sinks.graph_tree(nodes, edges)
+
+
 def test_readers(spark, tmp_path):
     folder = tmp_path / "records" / "ab"
     folder.mkdir(parents=True)
