@@ -20,11 +20,36 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "GPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "GPL-2.0 notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1 notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0 notice": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
     "MIT line": "Released under the MIT License.",
+    "BSD line": "Released under the BSD License.",
+    "CC-BY-4.0 line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 line": "Licensed under CC BY-SA 4.0.",
+    "GPL-2.0 line": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1 line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0 line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "MPL-2.0 line": "Licensed under the Mozilla Public License, Version 2.0.",
 }
+_GPL, _LGPL, _TWO, _THREE = ("gnu general public",), ("lesser general public",), ("license 2", "version 2", "2 of the license"), ("license 3", "version 3", "3 of the license")
+_LESSER_TWO = ("license 2 1", "version 2 1", "2 1 of the license")
+#: Name and version of the licences that share their other words: of each group one phrase must stand in the place found.
+TELLING = {
+    "Apache-2.0 notice": (("apache",), ("2 0",)), "Apache-2.0 line": (("apache",), ("2 0",)),
+    "GPL-2.0 notice": (_GPL, _TWO), "GPL-2.0 line": (_GPL, _TWO), "GPL-3.0 notice": (_GPL, _THREE), "GPL-3.0 line": (_GPL, _THREE),
+    "LGPL-2.1 notice": (_LGPL, _LESSER_TWO), "LGPL-2.1 line": (_LGPL, _LESSER_TWO), "LGPL-3.0 notice": (_LGPL, _THREE), "LGPL-3.0 line": (_LGPL, _THREE),
+    "MPL-2.0 notice": (("mozilla public", "the mpl"), ("2 0",)), "MPL-2.0 line": (("mozilla public",), ("2 0",)),
+    "CC-BY-4.0 line": (("cc by 4 0",),), "CC-BY-SA-4.0 line": (("cc by sa 4 0",),), "CC-BY-NC-4.0 line": (("cc by nc 4 0",),),
+    "MIT line": (("mit",),), "BSD line": (("bsd",),),
+}
+#: Templates that are the beginning of another: no place of their own where the other stands.
+PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Words too common to show where a template stands.
 COMMON = frozenset("a all an and any are as at be by for from in is it may no not of on or other that the this to use under with without you".split())
 MIN_COVERAGE = 0.75
@@ -83,6 +108,7 @@ class Scanner:
         self.counts = {name: Counter(words) for name, words in self.templates.items()}
         self.vocabulary = frozenset(w for words in self.templates.values() for w in words)
         self.min_coverage = min_coverage
+        self.telling = {name: [[f" {phrase} " for phrase in group] for group in TELLING.get(name, ())] for name in self.templates}
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """(template, first character, character after the last, covered share of the template's words) of each place found."""
@@ -90,7 +116,7 @@ class Scanner:
         if len(low) != len(text):  # a letter whose lower case is longer
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         seen = self.vocabulary.intersection(_WORD.findall(low))
-        likely = [n for n, c in self.counts.items() if sum(k for w, k in c.items() if w in seen) >= self.min_coverage * len(self.templates[n])]
+        likely = [n for n, c in self.counts.items() if sum(k for w, k in c.items() if w in seen) >= self.min_coverage * len(self.templates[n]) and all(any(seen.issuperset(p.split()) for p in group) for group in self.telling[n])]
         if not likely:
             return []
         spans = [m.span() for m in _WORD.finditer(low)]
@@ -98,11 +124,18 @@ class Scanner:
         found = []
         for name in likely:
             template = self.templates[name]
-            for first, last, covered in self._places(template, words):
+            for first, last, covered in self._places(template, words, self.telling[name]):
                 found.append((name, spans[first][0], spans[last][1], covered))
+        found = [x for x in found if not any(y[0] == PART_OF.get(x[0]) and y[1] < x[2] and x[1] < y[2] for y in found)]
         return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 
-    def _places(self, template: list[str], words: list[str]) -> list[tuple[int, int, float]]:
+    @staticmethod
+    def _told(needed: list[list[str]], words: list[str]) -> bool:
+        """Whether the words hold a phrase of each group."""
+        text = f" {' '.join(words)} " if needed else ""
+        return all(any(phrase in text for phrase in group) for group in needed)
+
+    def _places(self, template: list[str], words: list[str], needed: list[list[str]]) -> list[tuple[int, int, float]]:
         size = len(template)
         telling = frozenset(template) - COMMON or frozenset(template)
         at = [k for k, w in enumerate(words) if w in telling]
@@ -124,7 +157,7 @@ class Scanner:
                     window = words[begin : min(hi, begin + size + size // 2 + 2)]
                     pairs = align(template, window)
                     covered = len(pairs) / size
-                    if covered >= self.min_coverage and (best is None or covered > best[2]):
+                    if covered >= self.min_coverage and (best is None or covered > best[2]) and self._told(needed, window[pairs[0][1] : pairs[-1][1] + 1]):
                         best = (begin + pairs[0][1], begin + pairs[-1][1], covered)
                 if best:
                     out.append(best)
@@ -150,6 +183,7 @@ def _scanned(scanner: Scanner):
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Rows (id, license, start, stop, coverage), one for each place in a text where a template is covered by min_coverage.
 
+    Where licences share their words, the name and version must stand in the place too.
     start and stop count characters. Words are runs of ASCII letters and digits in lower case. A text is
     aligned only if its words could cover the template, and only near words that tell the template; windows
     over half a template's length apart keep repeated copies apart. A text may hold several templates and

@@ -332,6 +332,21 @@ def test_licenses(spark):
     assert license_scan.find_licenses(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Released under the BSD License.", {"BSD line"}), ("Released under the MIT License.", {"MIT line"}), ("Released under the Zlib License.", set()),
+        ("Licensed under CC BY 4.0.", {"CC-BY-4.0 line"}), ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0 line"}), ("Licensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0 line"}), ("Licensed under CC BY-NC-SA 4.0.", set()),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0 line"}), ("Licensed under the GNU General Public License, version 3.", {"GPL-3.0 line"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", {"LGPL-2.1 line"}), ("This work is licensed under the GNU Lesser General Public License, version 3.", {"LGPL-3.0 line"}),
+        ("Licensed under the Apache License, Version 1.1.", set()), ("Licensed under the Apache License 2.0.", {"Apache-2.0 line"}), ("Licensed under the Mozilla Public License, Version 2.0.", {"MPL-2.0 line"}),
+        *[(license_scan.TEMPLATES[n], {n}) for n in ("BSD-2-Clause", "BSD-3-Clause", "GPL-2.0 notice", "GPL-3.0 notice", "LGPL-2.1 notice", "LGPL-3.0 notice", "MPL-2.0 notice")],
+    ],
+)
+def test_neighbouring_licenses_are_told_apart(text, names):
+    assert {n for n, *_ in license_scan.Scanner().scan(f"some words before {text} and some after")} == names
+
+
 # --- language model
 
 
