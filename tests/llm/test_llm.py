@@ -459,6 +459,23 @@ def test_toxicity_held_out(spark):
     assert {r.doc_id for r in clean.select("doc_id").collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+@pytest.mark.parametrize("per_class", [40, 150, 4000])
+def test_toxicity_weights_follow_the_labels(spark, monkeypatch, per_class):
+    """Sampled texts stand for all learning labels of their class, however many of them the sample holds."""
+    labels = [(i, int(i % 10 == 0)) for i in range(1000)]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, langs, ratio: seen.append((y, ratio)))
+    toxicity.fit(table(spark, [(i, f"text {i}") for i, _ in labels]), spark.createDataFrame([*labels, *labels], "doc_id long, toxic int"), per_class=per_class)
+    learn = [t for i, t in labels if zlib.crc32(str(i).encode()) % 5]
+    y, ratio = seen[0]
+    assert sum(y) == min(per_class, sum(learn)) and ratio * (len(y) - sum(y)) / sum(y) == pytest.approx((len(learn) - sum(learn)) / sum(learn))
+
+
+def test_threshold_counts_errors_by_weight():
+    logits, labels = np.array([0.0, 1.0, 2.0, 3.0, 4.0]), np.array([0, 1, 1, 0, 1])
+    assert toxicity._threshold(logits, labels, 1.0) == 0.5 and toxicity._threshold(logits, labels, 9.0) == 3.5
+
+
 def test_toxicity_awkward(spark):
     none = toxicity.fit(table(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score_toxicity(table(spark, []), none).count() == 0
