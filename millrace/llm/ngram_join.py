@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,8 +18,10 @@ from .rowkeys import keyed
 EXTRA = 0.15
 #: Fragments in which the overlaps of a pair are counted.
 VERTICAL = 4
-#: Words of 64 bits of a set's sketch: a bit that only one of two sets has stands for a shingle that the other lacks.
-SKETCH = 32
+#: Classes of frequency for each doubling, in which shingles are ordered before their hash.
+CLASSES = 16
+#: Blocks of sizes for each e-fold, in which partners of a given size are looked up.
+BLOCKS = 50
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,29 +145,76 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column("text")):
-                s, r, first = shingles(data, offsets, k)
+                s, _, first = shingles(data, offsets, k)
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s)))
                 other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s + np.uint64(0x632BE59BD9B4E019)))))
                 tokens = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(s.view(np.int64)))
-                bits = np.zeros((hi - lo, SKETCH), np.uint64)
-                np.bitwise_or.at(bits, (r, s >> np.uint64(59)), np.uint64(1) << ((s >> np.uint64(53)) & np.uint64(63)))
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, SKETCH, dtype=np.int32)), pa.array(bits.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), *(pa.array((x[first[1:]] - x[first[:-1]]).view(np.int64)) for x in (total, other)), tokens, sketch],
-                    names=["doc", "n", "sum_a", "sum_b", "tokens", "bits"],
+                    [batch.column("doc").slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), *(pa.array((x[first[1:]] - x[first[:-1]]).view(np.int64)) for x in (total, other)), tokens],
+                    names=["doc", "n", "sum_a", "sum_b", "tokens"],
                 )
 
     return run
 
 
+def fragment_borders(occurrences: dict[int, int], fragments: int) -> list[tuple[int, int]]:
+    """Where (class, shingle) order is cut into ranges of about equal occurrences: classes by their counts, inside a class by the hash."""
+    total, borders, past = sum(occurrences.values()), [], 0
+    for c in sorted(occurrences):
+        here = occurrences[c]
+        while len(borders) < fragments - 1 and past + here >= (goal := total * (len(borders) + 1) / fragments):
+            borders.append((c, min((1 << 63) - 1, int((goal - past) / here * (1 << 64)) - (1 << 63))))
+        past += here
+    return borders
+
+
+def _fragments(ranked: DataFrame, borders: list[tuple[int, int]]) -> DataFrame:
+    """Rows (doc, n, alone, part, start, tokens): each set's ordered shingles cut at the borders; start counts those in earlier parts."""
+    beyond = lambda t, b: (t["c"] > b[0]) | ((t["c"] == b[0]) & (t["token"] >= b[1]))
+
+    def inside(low: tuple[int, int] | None, high: tuple[int, int] | None) -> Callable[[Column], Column]:
+        return lambda t: (beyond(t, low) if low else F.lit(True)) & (~beyond(t, high) if high else F.lit(True))
+
+    cut = [F.transform(F.filter("order", inside(*ends)), lambda t: t["token"]) for ends in zip([None, *borders], [*borders, None], strict=True)]
+    parts = ranked.select("doc", "n", "alone", F.array(*cut).alias("parts"))
+    starts = parts.select("doc", "n", "alone", "parts", F.posexplode("parts").alias("part", "tokens"))
+    before = F.aggregate(F.slice("parts", F.lit(1), F.col("part")), F.lit(0), lambda n, p: n + F.size(p))
+    return starts.select("doc", "n", "alone", "part", before.alias("start"), "tokens")
+
+
+def _partial(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """For each pair (x, y) and fragment: the shingles of x there, and those that y lacks. The plan is the same at every size."""
+    side = lambda c: parts.select(F.col("doc").alias(c), "part", F.col("tokens").alias(f"t{c}"), F.col("n").alias(f"n{c}"))
+    met = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), ["y", "part"])
+    return met.withColumn("left", F.array_except("tx", "ty")).withColumn("c", F.size("tx") - F.size("left"))
+
+
 def _overlapping(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that link: overlaps are counted in each fragment by itself and summed for each pair."""
-    side = lambda c: parts.select(F.col("doc").alias(c), "part", F.col("tokens").alias(f"t{c}"), F.col("n").alias(f"n{c}"))
-    counted = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), ["y", "part"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("tx", "ty")).alias("c"))
-    return (
-        counted.groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.sum("c").alias("c"))
-        .where((100 * F.col("c")) >= percent * (F.col("nx") + F.col("ny") - F.col("c"))).select("x", "y")
-    )
+    summed = _partial(pairs, parts).groupBy("x", "y").agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.sum("c").alias("c"))
+    return summed.where(_enough("c", percent)).select("x", "y")
+
+
+def _enough(overlap: str | Column, percent: int) -> Column:
+    """Whether an overlap of sets of nx and ny shingles links them."""
+    overlap = F.col(overlap) if isinstance(overlap, str) else overlap
+    return ((100 + percent) * overlap) >= (percent * (F.col("nx") + F.col("ny")))
+
+
+def _fit(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
+
+
+def _side(lists: DataFrame, c: str, keys: list[str]) -> DataFrame:
+    """A list's entries with their columns named for one side of a pair."""
+    return lists.select(*keys, F.col("doc").alias(c), *[F.col(name).alias(name + c) for name in ("n", "pos", "g", "pv", "o")], (F.col("g") == F.col("main")).alias(f"m{c}"))
+
+
+def _open(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """The lists that see more than one group, each entry with the group that has most of the list."""
+    by_group = lists.groupBy(*keys, "g").agg(F.count(F.lit(1)).alias("c"))
+    main = by_group.groupBy(*keys).agg(F.max(F.struct("c", "g")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    return durable(lists.join(main.select(*keys, F.col("main.g").alias("main")).hint("merge"), keys))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,16 +240,21 @@ def similar_groups(texts: DataFrame, k: int, percent: int, fragments: int | None
     """Rows (doc, n_shingles, component) for texts (doc long, unique; text), two linked if 100 x overlap >= percent x union.
 
     1. Each set's least shingles (its prefix, and as many more as EXTRA says) are dealt to the fragments of the
-       global hash order. A fragment counts, for each document, the shingles that another document has too; the
+       hash order. A fragment counts, for each document, the shingles that another document has too; the
        partial counts are summed per document. Whoever shares fewer than any partner would demand has no link.
-    2. The others' sets are built whole; equal sets become one. Now shingles are ordered by their frequency
-       among all these sets, rarest first. Partners meet in a shingle of both prefixes.
-    3. Per shingle, the document whose prefix has it first is the leader; each document is compared with the
-       two leaders it meets most, which joins the bulk of a large group at linear cost.
-    4. Wherever a shingle still sees documents of different groups, all their pairs that pass the size and
-       position bounds and whose sketches leave the overlap possible are compared, leaving out pairs already in one
-       group: all bounds are lossless, so no link is lost, and members that are only nearly alike make no pairs.
-    A pair's overlap is counted in each fragment of the order by itself and summed.
+    2. The others' sets are built whole; equal sets become one. Shingles are ordered by their frequency among all
+       these sets, rarest first, and the order is cut into VERTICAL ranges of about equal occurrences. All overlaps
+       below are counted in each of these fragments by itself and summed for each pair.
+    3. Partners meet in a shingle of both prefixes. Per shingle, the document with the fewest shingles of its own is
+       the leader; each document is compared with the two leaders it meets most and with its pivot, the favourite of
+       its favourite. This joins the bulk of a large group at linear cost and gives each document its overlap with
+       its pivot and the shingles that its pivot lacks.
+    4. Wherever a list still sees documents of different groups, their pairs are candidates, in three joins:
+       - alike pivots, and both overlaps with the pivot leave room for a link: by the prefixes and the size;
+       - alike pivots otherwise: the two must also share shingles that the pivot lacks, so they meet in the prefixes
+         of what the pivot lacks. Members of a large group that are only nearly alike have little in common there;
+       - unlike pivots: by the prefixes, for each two pivots that a shingle sees.
+       All bounds are lossless, so no link is lost.
     The joins whose sides grow with the input merge sorted sides at every size, so that the plan for a small
     input is the plan for a large one.
     """
@@ -213,50 +267,87 @@ def similar_groups(texts: DataFrame, k: int, percent: int, fragments: int | None
         .groupBy("doc").agg(F.max("n").alias("n"), F.max("need").alias("need"), F.sum("met").alias("met"))
     )
     near = texts.join(counts.where("n > 0 AND met >= need").select("doc").hint("merge"), "doc", "left_semi")
-    sets = durable(near.mapInArrow(_sets(k), "doc long, n long, sum_a long, sum_b long, tokens array<long>, bits array<long>"))
+    sets = durable(near.mapInArrow(_sets(k), "doc long, n long, sum_a long, sum_b long, tokens array<long>"))
     alike = durable(sets.groupBy("n", "sum_a", "sum_b").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    one = sets.join(alike.select("rep"), F.col("doc") == F.col("rep"), "left_semi").select("doc", "n", "tokens")
-    cut = lambda p: F.filter("tokens", lambda t: F.pmod(F.shiftright(t, 40), F.lit(VERTICAL)) == p)
-    vertical = durable(one.select("doc", "n", F.posexplode(F.array(*[cut(p) for p in range(VERTICAL)])).alias("part", "tokens")))
-    entries = vertical.select("doc", "n", F.explode("tokens").alias("token"))
-    shared = durable(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    ranked = entries.join(shared.hint("merge"), "token").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
-    alone = F.col("n") - F.size("order")
+    entries = sets.join(alike.select("rep").hint("merge"), F.col("doc") == F.col("rep"), "left_semi").select("doc", "n", F.explode("tokens").alias("token"))
+    shared = durable(entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").withColumn("c", F.floor(CLASSES * F.log2("df")).cast("int")))
+    borders = fragment_borders({r.c: r.n for r in shared.groupBy("c").agg(F.sum("df").alias("n")).collect()}, VERTICAL)
     longest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ranked = (
+        entries.join(shared.select("token", "c").hint("merge"), "token").groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("order"))
+        .withColumn("alone", F.col("n") - F.size("order")).where(F.col("alone") < longest)
+    )
+    vertical = durable(_fragments(ranked, borders))
+    room = longest - F.col("alone") - F.col("start")
     prefix = durable(
-        ranked.where(alone < longest)
-        .select("doc", "n", F.posexplode(F.slice("order", F.lit(1), (longest - alone).cast("int"))).alias("p", "t"), alone.alias("alone"))
-        .select("doc", "n", F.col("t.token").alias("token"), (F.col("p") + F.col("alone")).alias("pos"))
+        vertical.where(room > 0).select("doc", "n", "alone", "start", F.posexplode(F.slice("tokens", F.lit(1), room.cast("int"))).alias("i", "token"))
+        .select("token", "doc", "n", "alone", (F.col("alone") + F.col("start") + F.col("i")).alias("pos"))
     )
-    fit = lambda a, b: 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
-    leaders = prefix.groupBy("token").agg(F.min(F.struct("pos", "doc", "n")).alias("lead"))
+
+    # leaders, pivots and first links
+    leaders = prefix.groupBy("token").agg(F.min(F.struct("alone", "doc", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     votes = (
-        prefix.join(leaders, "token").select(F.col("doc").alias("x"), F.col("lead.doc").alias("y"), "n", F.col("lead.n").alias("m"))
-        .where((F.col("x") != F.col("y")) & fit("n", "m")).groupBy("x", "y").count()
+        prefix.join(leaders.hint("merge"), "token").select(F.col("doc").alias("x"), F.col("lead.doc").alias("y"), "n", F.col("lead.n").alias("m"))
+        .where(_fit("n", "m", percent)).groupBy("x", "y").count()
     )
-    chosen = votes.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("count"), "y"))).where("k <= 2").select("x", "y")
-    led = durable(_overlapping(chosen, vertical, percent))
+    chosen = durable(votes.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("count"), "y"))).where("k <= 2").select("x", "k", "y"))
+    first = chosen.where("k = 1")
+    pivot = first.alias("a").join(first.alias("b"), F.col("a.y") == F.col("b.x"), "left").select(F.col("a.x").alias("x"), F.coalesce("b.y", "a.y").alias("y"))
+    asked = pivot.withColumn("home", F.lit(True)).unionByName(chosen.select("x", "y", F.lit(False).alias("home"))).groupBy("x", "y").agg(F.max("home").alias("home"))
+    measured = durable(
+        _partial(asked, vertical).groupBy("x", "y", "home")
+        .agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.sum("c").alias("o"), F.collect_list(F.when(F.col("home"), F.struct("part", "left"))).alias("left"))
+    )
+    led = durable(measured.where((F.col("x") != F.col("y")) & _enough("o", percent)).select("x", "y"))
     group = durable(led.groupBy("x").agg(F.min("y").alias("g")))
     of = group.alias("a").join(group.alias("b"), F.col("a.g") == F.col("b.x"), "left").select(F.col("a.x").alias("doc"), F.coalesce("b.g", "a.g").alias("g"))
-    placed = prefix.join(of, "doc", "left").withColumn("g", F.coalesce("g", "doc"))
-    by_group = placed.groupBy("token", "g").agg(F.count(F.lit(1)).alias("c"))
-    main = by_group.groupBy("token").agg(F.max(F.struct("c", "g")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token", F.col("main.g").alias("main"))
-    open_lists = durable(placed.join(main, "token").join(sets.select("doc", "bits"), "doc"))
-    a = open_lists.where("g <> main").select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("g").alias("gx"), F.col("bits").alias("bx"))
-    b = open_lists.select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("g").alias("gy"), F.col("bits").alias("by"), (F.col("g") == F.col("main")).alias("my"))
-    room = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    bound = ((100 + percent) * room) >= (percent * (F.col("nx") + F.col("ny")))
-    lacks = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, c: n + c)
-    common = F.least(F.col("nx") - lacks("bx", "by"), F.col("ny") - lacks("by", "bx"))
-    alike_bits = ((100 + percent) * common) >= (percent * (F.col("nx") + F.col("ny")))
-    rest = durable(
-        a.join(b, (a["token"] == b["token"]) & (F.col("gx") != F.col("gy")) & fit("nx", "ny") & bound & (F.col("my") | (F.col("x") < F.col("y"))) & alike_bits)
-        .groupBy("x", "y").agg(F.first("gx").alias("gx"), F.first("gy").alias("gy"), F.min("py").alias("py"))
+    home = measured.where("home").select(F.col("x").alias("doc"), F.col("y").alias("pv"), "o", F.flatten(F.transform(F.sort_array("left"), lambda p: p["left"])).alias("left"))
+    known = durable(
+        prefix.groupBy("doc").agg(F.first("n").alias("n"), F.first("alone").alias("alone")).join(home.hint("merge"), "doc", "left").join(of.hint("merge"), "doc", "left")
+        .select("doc", "n", "alone", F.coalesce("g", "doc").alias("g"), F.coalesce("pv", "doc").alias("pv"), F.coalesce("o", "n").alias("o"), "left")
+    )
+
+    # candidates
+    by_prefix = prefix.select("token", "doc", "pos").join(known.drop("left", "alone").hint("merge"), "doc").select("token", "pv", "doc", "n", "pos", "g", "o")
+    lists = _open(by_prefix, ["token"])
+    lacking = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("o"))
+    by_left = (
+        known.where("o < n").select("pv", "doc", "n", "g", "o", F.posexplode(F.slice("left", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("o") - lacking + 1 - F.col("alone")).cast("int"))).alias("i", "token"), "alone")
+        .select("token", "pv", "doc", "n", (F.col("alone") + F.col("i")).alias("pos"), "g", "o")
+    )
+    apart_lists = _open(by_left, ["token", "pv"])
+    differ = (F.col("gx") != F.col("gy")) & _fit("nx", "ny", percent) & (F.col("my") | (F.col("x") < F.col("y")))
+    ahead = F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy"))
+    both = F.least("ox", "oy")
+    block = lambda n: F.floor(F.log(n) * BLOCKS)
+    most = F.floor((100 + percent) * F.col("o") / percent) - F.col("n")  # a partner's size that the overlap with the pivot allows
+    least = F.ceil(F.col("n") * percent / 100)
+    sized = lists.where((F.col("g") != F.col("main")) & (most >= least)).withColumn("block", F.explode(F.sequence(block(least), block(F.least(most, F.floor(F.col("n") * 100 / percent))))))
+    near_pivot = (
+        _side(sized, "x", ["token", "pv", "block"]).join(_side(lists.withColumn("block", block(F.col("n"))), "y", ["token", "pv", "block"]).hint("merge"), ["token", "pv", "block"])
+        .where(differ & _enough(both, percent) & _enough(ahead, percent))
+    )
+    beside = F.least(F.col("nx") - F.col("ox") - F.col("posx"), F.col("ny") - F.col("oy") - F.col("posy"))
+    off_pivot = (
+        _side(apart_lists.where("g <> main"), "x", ["token", "pv"]).join(_side(apart_lists, "y", ["token", "pv"]).hint("merge"), ["token", "pv"])
+        .where(differ & ~_enough(both, percent) & _enough(both + beside, percent))
+    )
+    seen = lists.groupBy("token", "pv").agg(F.max(F.col("g") != F.col("main")).alias("any"), F.min("n").alias("low"), F.max("n").alias("high"))
+    two = (
+        seen.where("any").select("token", F.col("pv").alias("pvx"), F.col("low").alias("lx"), F.col("high").alias("hx"))
+        .join(seen.select("token", F.col("pv").alias("pvy"), F.col("low").alias("ly"), F.col("high").alias("hy")).hint("merge"), "token")
+        .where((F.col("pvx") != F.col("pvy")) & (100 * F.col("hx") >= percent * F.col("ly")) & (100 * F.col("hy") >= percent * F.col("lx"))).select("token", "pvx", "pvy")
+    )
+    cross = (
+        two.join(_side(lists.where("g <> main"), "x", ["token"]).hint("merge"), ["token", "pvx"]).join(_side(lists, "y", ["token"]).hint("merge"), ["token", "pvy"])
+        .where(differ & _enough(ahead, percent))
     )
+    found = [df.select("x", "y", "gx", "gy", "posy") for df in (near_pivot, off_pivot, cross)]
+    rest = durable(found[0].unionByName(found[1]).unionByName(found[2]).groupBy("x", "y").agg(F.first("gx").alias("gx"), F.first("gy").alias("gy"), F.min("posy").alias("py")))
     # one link joins a document to a group: the pair most likely to link first, and the others only if groups still differ
-    first = rest.groupBy("x", "gy").agg(F.min(F.struct("py", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    best = rest.groupBy("x", "gy").agg(F.min(F.struct("py", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
     pair = lambda df: df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    early = durable(led.unionByName(_overlapping(durable(pair(first)), vertical, percent)))
+    early = durable(led.unionByName(_overlapping(durable(pair(best)), vertical, percent)))
     half = components(early)
     side = lambda c: half.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     apart = rest.join(side("x"), "x", "left").join(side("y"), "y", "left").where(F.coalesce("cx", "x") != F.coalesce("cy", "y"))

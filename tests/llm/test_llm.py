@@ -178,6 +178,46 @@ def test_similarity_of_many_borderline_copies(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_candidates_of_a_group_grow_with_its_size(spark, monkeypatch):
+    """A thousand near copies, half of them beyond reach of the text they come from: no link is lost, and candidates stay few."""
+    rng = random.Random(19)
+    base = words(rng, 130, 5000).split()
+    rows = []
+    for i in range(1000):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(60)}"
+        if i % 7 == 0:
+            del w[rng.randrange(len(w)) :][:3]
+        rows.append((i, " ".join(w)))
+    written, kept = [], ngram_join.durable
+
+    def noted(df):
+        out = kept(df)
+        written.append((tuple(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "durable", noted)
+    got = {r.doc_id: tuple(r)[1:] for r in ngram_join.similarity_components(table(spark, rows), 5, 80).collect()}
+    want = brute_components(rows, 5, 80)
+    assert got == want and 100 < len({c for _, c in want.values()}) < 900
+    assert 0 < dict(written)["x", "y", "gx", "gy", "py"] < 5 * len(rows)
+
+
+def test_similarity_awkward(spark):
+    got = sorted(ngram_join.similarity_components(table(spark, AWKWARD), 2, 80).collect(), key=str)
+    same = [r for r in got if r.n_shingles == 2 and r.doc_id is None or r.doc_id == 3]
+    assert len(got) == 7  # the repeated row is one document
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in same} == {(3, 2, None), (None, 2, None), (3, 1, 3)}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id in (7, 8, 9)} == {(7, 0, 7), (8, 0, 8), (9, 1, 9)}
+    assert ngram_join.similarity_components(table(spark, AWKWARD).limit(0)).count() == 0
+
+
+def test_fragment_borders_share_the_occurrences_out():
+    assert ngram_join.fragment_borders({16: 300, 32: 100}, 4) == [(16, int(1 / 3 * 2**64) - 2**63), (16, int(2 / 3 * 2**64) - 2**63), (16, 2**63 - 1)]
+    assert ngram_join.fragment_borders({}, 4) == []
+
+
 def test_near_dedup_awkward(spark):
     df = table(spark, AWKWARD)
     stay = ngram_join.drop_near_duplicates(df, 2, 80)
