@@ -15,8 +15,10 @@ from .bytesets import as_blob, mix, text_chunks, words
 from .durable import durable, shuffle_partitions, small_batches
 from .rowkeys import keyed
 
-#: Bytes of text whose n-grams are counted together before they are dealt out.
-BLOCK_BYTES = 1 << 23
+#: Bytes of text whose n-grams are counted together before they are dealt out, and bytes of text for each fragment that sums them.
+BLOCK_BYTES = FRAGMENT_BYTES = 1 << 23
+#: Bytes of text for each task of a shuffle, beyond what the session's number of partitions gives.
+TASK_BYTES = 1 << 26
 #: Folds of the ids: 0 is held out from everything, 1 is deleted from the counts while the weights are learned.
 FOLDS, OUTSIDE, DELETED = 10, 0, 1
 BUCKETS, ROUNDS = 48, 60
@@ -47,19 +49,9 @@ def _sequence(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return token, mix(context * np.uint64(0x9FB21C651E98DF25) + token), edges
 
 
-def _pack(low: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(low).view(np.uint8).reshape(-1, 8)[:, :5].T
-
-
-def _unpack(blob: bytes, count: int, offset: int) -> np.ndarray:
-    raw = np.zeros((count, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(blob, np.uint8, 5 * count, offset).reshape(5, -1).T
-    return raw.view(np.uint64).ravel()
-
-
-def _fragment_edges(hashes: np.ndarray, fragments: int) -> np.ndarray:
-    f = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-    return np.searchsorted(f, np.arange(fragments + 1))
+def _gaps(types: np.ndarray) -> bytes:
+    """Hashes in order, whole, as compressed differences."""
+    return _squeezed(np.diff(types, prepend=np.uint64(0)))
 
 
 def _emit(fragments: int):
@@ -71,18 +63,18 @@ def _emit(fragments: int):
         kinds = []
         for h in (token, bigram):
             types, at = np.unique(h, return_inverse=True)
-            kinds.append((types, *(np.bincount(at[m], minlength=len(types)).astype(np.uint32) for m in (fold != OUTSIDE, fold == DELETED)), _fragment_edges(types, fragments)))
+            kinds.append((types, *(np.bincount(at[m], minlength=len(types)).astype(np.uint32) for m in (fold != OUTSIDE, fold == DELETED)), ((types >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)))
+        used = np.unique(np.concatenate([f for *_, f in kinds]))
+        cuts = [np.append(np.searchsorted(f, used), len(f)) for *_, f in kinds]
         payloads = []
-        for f in range(fragments):
-            sizes, counts, lows = [], [], []
-            for types, train, deleted, cut in kinds:
-                s = slice(cut[f], cut[f + 1])
-                sizes.append(cut[f + 1] - cut[f])
+        for i in range(len(used)):
+            counts, lows = [], []
+            for (types, train, deleted, _), cut in zip(kinds, cuts, strict=True):
+                s = slice(cut[i], cut[i + 1])
                 counts.append(_squeezed(np.concatenate((train[s], deleted[s]))))
-                lows.append(_pack(types[s] & np.uint64((1 << 40) - 1)).tobytes())
-            payloads.append(as_blob(np.array([*sizes, *map(len, counts)], np.int64)) + b"".join(counts) + b"".join(lows))
-        n = len(payloads)
-        return pa.table({"fragment": pa.array(np.arange(n, dtype=np.int32)), "block": pa.array(np.full(n, key[0].as_py(), np.int64)), "payload": pa.array(payloads, pa.binary())})
+                lows.append(_gaps(types[s]))
+            payloads.append(_joined([*counts, *lows]))
+        return pa.table({"fragment": pa.array(used.astype(np.int32)), "block": pa.array(np.full(len(used), key[0].as_py(), np.int64)), "payload": pa.array(payloads, pa.binary())})
 
     return run
 
@@ -91,27 +83,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each fragment: sums the counts over all blocks and returns them to each block in its own order."""
 
     def summed(rows: list[tuple[int, bytes]], fragment: int) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([np.frombuffer(b, np.int64, 4) for _, b in rows])
+        sent = [_parted(b) for _, b in rows]
         back: list[list[bytes]] = [[] for _ in rows]
         totals = (0, 0, 0)
         for kind in (0, 1):
-            n = sizes[:, kind]
-            at_counts, at_low = 32 + kind * sizes[:, 2], 32 + sizes[:, 2] + sizes[:, 3] + kind * 5 * sizes[:, 0]
-            low = np.concatenate([_unpack(b, n[i], at_low[i]) for i, (_, b) in enumerate(rows)])
-            types, at = np.unique(low, return_inverse=True)
-            cut = np.concatenate(([0], np.cumsum(n)))
-            sent = [_loosened(b[at_counts[i] : at_counts[i] + sizes[i, 2 + kind]], np.uint32) for i, (_, b) in enumerate(rows)]
-            sums = [np.bincount(at, weights=np.concatenate([c[k * m : (k + 1) * m] for c, m in zip(sent, n, strict=True)]), minlength=len(types)).astype(np.int64) for k in (0, 1)]
-            kept = [np.minimum(c, 0xFFFFFFFF).astype(np.uint32) for c in sums]
+            low = [np.cumsum(_loosened(p[2 + kind], np.uint64)) for p in sent]
+            cut = np.concatenate(([0], np.cumsum([len(x) for x in low])))
+            types, at = np.unique(np.concatenate(low), return_inverse=True)
+            counts = [_loosened(p[kind], np.uint32).reshape(2, -1) for p in sent]
+            sums = [np.bincount(at, weights=np.concatenate([c[k] for c in counts]), minlength=len(types)).astype(np.int64) for k in (0, 1)]
             for i in range(len(rows)):
                 here = at[cut[i] : cut[i + 1]]
-                back[i].append(_squeezed(np.concatenate([c[here] for c in kept])))
+                back[i].append(_squeezed(np.concatenate([c[here] for c in sums])))
             if kind == 0:
                 totals = (int(sums[0].sum()), int((sums[0] > 0).sum()), int(sums[1].sum()))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([b for b, _ in rows] + [-1], pa.int64()), pa.array([fragment] * (len(rows) + 1), pa.int32()),
-                pa.array([as_blob(np.array([*sizes[i, :2], *map(len, back[i])], np.int64)) + b"".join(back[i]) for i in range(len(rows))] + [as_blob(np.array(totals, np.int64))], pa.binary()),
+                pa.array([*map(_joined, back), as_blob(np.array(totals, np.int64))], pa.binary()),
             ],
             names=["block", "fragment", "payload"],
         )
@@ -141,6 +130,17 @@ def _loosened(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
+def _joined(blobs: list[bytes]) -> bytes:
+    """Blobs behind their number and lengths."""
+    return as_blob(np.array([len(blobs), *map(len, blobs)], np.int64)) + b"".join(blobs)
+
+
+def _parted(blob: bytes) -> list[bytes]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    edges = 8 * (n + 1) + np.concatenate(([0], np.cumsum(np.frombuffer(blob, np.int64, n, 8)))).astype(np.int64)
+    return [blob[a:b] for a, b in zip(edges, edges[1:])]
+
+
 _FACTS = "doc binary, fold binary, edges binary, unigram binary, bigram binary, left_unigram binary, left_bigram binary, totals binary"
 
 
@@ -153,13 +153,12 @@ def _facts(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
     token, bigram, edges = _sequence(texts.column("text"))
     fold = texts.column("fold").to_numpy().astype(np.int8)
     blobs = [b for _, b in sorted(zip(counts.column("fragment").to_pylist(), counts.column("payload").to_pylist(), strict=True))]
-    sizes = [np.frombuffer(b, np.int64, 4) for b in blobs]
+    parts = [_parted(b) for b in blobs]
     deleted = np.repeat(fold == DELETED, np.diff(edges))
     full, left = [], []
     for kind, h in enumerate((token, bigram)):
         _, at = np.unique(h, return_inverse=True)
-        both = [_loosened(b[32 + kind * n[2] : 32 + n[2] + kind * n[3]], np.uint32).reshape(2, -1) for n, b in zip(sizes, blobs, strict=True)]
-        all_c, del_c = np.concatenate(both, axis=1)
+        all_c, del_c = np.concatenate([_loosened(p[kind], np.int64).reshape(2, -1) for p in parts], axis=1)
         full.append(_squeezed(all_c[at]))
         left.append(_squeezed((all_c - del_c)[at[deleted]]))
     row = [_squeezed(texts.column("doc").to_numpy()), _squeezed(fold), _squeezed(edges), *full, *left, None]
@@ -189,7 +188,7 @@ def _held_out(tokens: int):
                 sizes = np.diff(edges)[fold == DELETED]
                 if not len(sizes):
                     continue
-                c, both = _loosened(row["left_unigram"], np.uint32), _loosened(row["left_bigram"], np.uint32)
+                c, both = _loosened(row["left_unigram"], np.int64), _loosened(row["left_bigram"], np.int64)
                 context = _contexts(c, np.concatenate(([0], np.cumsum(sizes))))
                 steps = lambda part, whole: np.where(part > 0, 1 + np.rint(-2 * np.log2(np.maximum(part, 1) / np.maximum(whole, 1))), 0).astype(np.int64)
                 cell = (_bucket(context).astype(np.int64) << 32) | (steps(both, context) << 16) | steps(c, tokens)
@@ -230,7 +229,7 @@ def _scored(model: Interpolation):
         for batch in batches:
             for row in batch.to_pylist():
                 edges = _loosened(row["edges"], np.int64)
-                c, both = _loosened(row["unigram"], np.uint32), _loosened(row["bigram"], np.uint32)
+                c, both = _loosened(row["unigram"], np.int64), _loosened(row["bigram"], np.int64)
                 context = _contexts(c, edges)
                 w = model.weights[_bucket(context)]
                 p = w[:, 0] * (both / np.maximum(context, 1)) + w[:, 1] * (c / max(model.tokens, 1)) + w[:, 2] / (model.types + 1)
@@ -256,8 +255,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     expectation-maximisation over all their tokens finds the weights that predict them best from the rest.
 
     Texts are dealt to blocks of block_bytes by a hash of the id. A block sends each distinct n-gram once, as a
-    hash, to the fragment that sums it (pre-aggregated, so a frequent word is one entry a block), and gets the
-    sums back. Nothing of the corpus goes to the driver but the totals and the held-out counts in cells of half
+    hash of 64 bits, to the fragment that sums it (pre-aggregated, so a frequent word is one entry a block), and gets
+    the sums back. The numbers of blocks and fragments follow the bytes of text, and no result depends on them or on
+    the number of partitions. Nothing of the corpus goes to the driver but the totals and the held-out counts in cells of half
     a bit, whose number has a fixed bound.
 
     Null texts are empty: one token, the end. Rows that repeat an id with the same text are one document; null
@@ -270,15 +270,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         texts = texts.join(key, "doc")
     name = F.coalesce((F.col("doc") if key is None else F.col("id")).cast("string"), F.lit(""))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = max(1, -(-size // block_bytes)), shuffle_partitions(spark)
+    blocks, fragments = max(1, -(-size // block_bytes)), fragments or max(1, -(-size // FRAGMENT_BYTES))
+    parts = max(shuffle_partitions(spark), -(-size // TASK_BYTES))
     base = texts.select("doc", F.pmod(F.crc32(name.cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"), "text", F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block")).repartition(parts, "block")
-    sent = base.groupBy("block").applyInArrow(_emit(fragments or 4 * parts), "fragment int, block long, payload binary")
+    sent = base.groupBy("block").applyInArrow(_emit(fragments), "fragment int, block long, payload binary")
     counted = sent.repartition(parts, "fragment").sortWithinPartitions("fragment").mapInArrow(_count, "block long, fragment int, payload binary")
     facts = durable(base.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_facts, _FACTS))
     totals = facts.where("totals IS NOT NULL").select("totals").first()
     tokens, types, deleted = (int(x) for x in np.frombuffer(totals[0], np.int64)) if totals else (0, 0, 0)
     tokens_facts = facts.where("totals IS NULL")
     cells = tokens_facts.select("fold", "edges", "left_unigram", "left_bigram").mapInArrow(_held_out(tokens - deleted), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells.sort(key=lambda r: r.cell)
     weights = learn_weights(np.array([r.cell for r in cells], np.int64), np.array([r.n for r in cells], np.float64), types)
     model = Interpolation(tokens, types, weights)
     scored = tokens_facts.select("doc", "edges", "unigram", "bigram").mapInArrow(_scored(model), "doc long, n_tokens long, n_known long, base_score double, score double")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import decontaminate, exact_dedup, html_text, license_scan, lm_score, ngram_join, sentencepiece_fst, suffix_dedup, toxicity, url_filter
@@ -420,6 +421,26 @@ def test_weights_rise_in_likelihood():
     assert w[5, 0] > 0.7 and w[2, 2] > w[5, 2] and w[0, 0] == 0
 
 
+def test_lm_scores_depend_on_no_partitions(spark, corpus):
+    found = []
+    for parts, blocks, fragments in ((2, 3000, 5), (17, 3000, 5), (3, 1 << 23, None)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        scored, model = lm_score.score_texts(table(spark, corpus), block_bytes=blocks, fragments=fragments)
+        found.append((sorted(map(tuple, scored.collect())), model.weights.tolist()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2]
+
+
+def test_lm_counts_beyond_32_bits():
+    """Sums and hashes travel whole."""
+    block = lambda i: (i, lm_score._joined([lm_score._squeezed(np.full(4, 0xFFFFFFFF, np.uint32)), lm_score._squeezed(np.zeros(2, np.uint32)), lm_score._gaps(np.array([7, 7 + (1 << 41)], np.uint64)), lm_score._gaps(np.array([1 << 63], np.uint64))]))
+    rows = [block(i) for i in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 3, pa.int32()), pa.array([i for i, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["fragment", "block", "payload"])
+    out = next(lm_score._count(iter([batch]))).to_pydict()
+    assert lm_score._loosened(lm_score._parted(out["payload"][0])[0], np.int64).tolist() == [3 * 0xFFFFFFFF] * 4
+    assert np.frombuffer(out["payload"][-1], np.int64).tolist() == [6 * 0xFFFFFFFF, 2, 6 * 0xFFFFFFFF]
+
+
 def test_lm_awkward(spark):
     got = lm_score.score_texts(table(spark, AWKWARD))[0].collect()
     assert len(got) == 7  # the repeated row is one document
