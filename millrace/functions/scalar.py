@@ -57,6 +57,7 @@ def namespace(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 12)
 
 
+# The messages of the next function.
 def dirty_reason(kind: Column, target: Column, detail: Column, extra: Column) -> Column:
     """Why a target is rebuilt, or that it is clean."""
     rebuilt = F.concat(F.lit("rebuilding `"), target, F.lit("`: "))
@@ -70,6 +71,7 @@ def dirty_reason(kind: Column, target: Column, detail: Column, extra: Column) ->
     )
 
 
+# The tips of the next function.
 def doctor_advice(missing: Column, installed: Column, total: Column, tool: str = "the build tool") -> Column:
     """Tips from what is missing; the first six names are listed."""
     few = F.concat(F.lit("Install missing toolchains to unlock polyglot builds: "), F.array_join(F.slice(missing, 1, 6), ", "))
@@ -85,7 +87,7 @@ def doctor_advice(missing: Column, installed: Column, total: Column, tool: str =
 
 def valid_filename(name: Column) -> Column:
     """No folders and no shell characters."""
-    return ~name.contains("..") & ~name.rlike(r"[/\;&|`$()<> ]")
+    return ~name.contains("..") & ~name.rlike(r"[/\\;&|`$()<> ]")
 
 
 #: Hosts that are never fetched.

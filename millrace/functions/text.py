@@ -57,6 +57,7 @@ CATEGORY_ADVICE = {
     "TEST_FAILURE": ("Run failing test locally in isolation with verbose logging.",),
 }
 OTHER_ADVICE = ("Inspect full execution logs with --verbose.",)
+# What counts as a file and as an error code in a log.
 FILE_PATTERN = r"([a-zA-Z0-9_\-./\\]+\.(?:rs|go|ts|js|py|cpp|c|h|hpp|java|cs|swift|dart|zig|dockerfile|toml|json))"
 CODE_PATTERN = r"error\[(E\d+)\]|CS(\d{4})|TS(\d{4})"
 
@@ -294,8 +295,9 @@ def interface_hash(source: Column) -> Column:
 
 def strip_python_comments(source: Column) -> Column:
     """Lines without what follows the first #, even in strings, and without blank lines and comments."""
-    kept = F.filter(F.split(source, r"\r?\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
-    return F.array_join(F.transform(kept, lambda x: F.trim(F.split(x, "#").getItem(0))), "\n")
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    kept = F.filter(F.transform(F.split(source, r"\r?\n"), bare), lambda x: (x != "") & ~x.startswith("#"))
+    return F.array_join(F.transform(kept, lambda x: bare(F.split(x, "#").getItem(0))), "\n")
 
 
 _C_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|(\"(?:\\.|[^\"\\])*(?:\"|\\?\Z)|'(?:\\.|[^'\\])*(?:'|\\?\Z)|`(?:\\.|[^`\\])*(?:`|\\?\Z))", re.S)
@@ -322,32 +324,44 @@ def test_list(output: Column) -> Column:
     return F.transform(F.filter(_lines(output), lambda x: x.endswith(": test")), lambda x: F.regexp_replace(x, ": test$", ""))
 
 
-def parse_rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rule blocks of whole files: mapInPandas over (path, source), one row per rule; a rule without a name raises."""
-    start = re.compile(r"^(?:\w*_)?(?:rule|genrule|binary)\(|^genrule\(")
-    keys = {"name": "name", "cmd": "command", "command": "command", "executable": "command", "args": "args", "arguments": "args", "srcs": "inputs", "inputs": "inputs", "sources": "inputs", "outs": "outputs", "outputs": "outputs", "deps": "depends_on", "depends_on": "depends_on"}
-    fields = ["name", "command", "args", "inputs", "outputs", "depends_on"]
-    for pdf in batches:
-        rows = []
-        for path, source in zip(pdf["path"], pdf["source"], strict=True):
-            rule: dict | None = None
-            for line in [*(source or "").splitlines(), ")"]:
-                line = line.strip()
-                opened = bool(start.match(line))
-                if (opened or line in (")", "),")) and rule is not None:
-                    if "name" not in rule:
-                        raise ValueError(f"rule without a name in {path}")
-                    rows.append([path, *[rule.get(f, "echo" if f == "command" else []) for f in fields]])
-                    rule = None
-                if opened:
-                    rule = {}
-                elif rule is not None and "=" in line and not line.startswith("#"):
-                    key, value = (x.strip() for x in line.split("=", 1))
-                    if key in keys:
-                        texts = re.findall(r"\"([^\"]*)\"|'([^']*)'", value)
-                        flat = [a or b for a, b in texts]
-                        rule[keys[key]] = flat if keys[key] not in ("name", "command") else (flat[0] if flat else value.rstrip(","))
-        yield pd.DataFrame(rows, columns=["path", *fields])
-
-
-RULE_SCHEMA = "path string, name string, command string, args array<string>, inputs array<string>, outputs array<string>, depends_on array<string>"
+# Which names open a rule, and the fields that its keys set.
+RULE_OPENS = r"(?:genrule|rule|[A-Za-z0-9_]+_(?:rule|binary))"
+RULE_KEYS = {
+    "name": ("name",), "command": ("cmd", "command", "executable"), "args": ("args", "arguments"), "inputs": ("srcs", "inputs", "sources"), "outputs": ("outs", "outputs"), "depends_on": ("deps", "depends_on"),
+}
+
+
+def rule_blocks(source: Column) -> Column:
+    """The bodies of a build file's rules: from a line that opens one to the line that closes it, comments left out."""
+    plain = F.regexp_replace(F.regexp_replace(source, r"\r\n?", "\n"), r"(?m)^[ \t]*#.*$", "")
+    return F.regexp_extract_all(plain, F.lit(rf"(?ms)^[ \t]*{RULE_OPENS}\([^\n]*\n(.*?)(?=^[ \t]*\),?[ \t]*$|^[ \t]*{RULE_OPENS}\(|\z)"), F.lit(1))
+
+
+def _unquoted(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), r"""^(["'])(.*)\1$""", "$2")
+
+
+def rule_fields(block: Column) -> Column:
+    """name, command, args, inputs, outputs, depends_on and env of a rule's body; the last line that sets a field counts.
+
+    Items of a list may stand without quotes. The default command is echo; env is a map from an env = {"K": "v"}
+    line. A rule without a name is an error.
+    """
+    lines = F.transform(F.split(block, "\n"), lambda x: F.regexp_replace(F.trim(x), r",$", ""))
+
+    def value(field: str) -> Column:
+        keys = "|".join(RULE_KEYS.get(field, (field,)))
+        hits = F.filter(lines, lambda x: x.rlike(rf"^(?:{keys})\s*="))
+        return F.regexp_replace(F.try_element_at(hits, F.lit(-1)), r"^\w+\s*=\s*", "")
+
+    def items(field: str) -> Column:
+        inner = F.regexp_replace(value(field), r"^\[|\]$", "")
+        return F.coalesce(F.filter(F.transform(F.split(inner, ","), _unquoted), lambda x: x != ""), F.array().cast("array<string>"))
+
+    pairs = F.filter(F.split(F.regexp_replace(value("env"), r"^\{|\}$", ""), ","), lambda x: x.contains(":"))
+    env = F.map_from_entries(F.transform(pairs, lambda x: F.struct(_unquoted(F.split(x, ":", 2).getItem(0)).alias("key"), _unquoted(F.split(x, ":", 2).getItem(1)).alias("value"))))
+    name = F.coalesce(_unquoted(value("name")), F.raise_error(F.lit("a rule without a name")).cast("string"))
+    return F.struct(
+        name.alias("name"), F.coalesce(_unquoted(value("command")), F.lit("echo")).alias("command"), *[items(f).alias(f) for f in ("args", "inputs", "outputs", "depends_on")],
+        F.coalesce(env, F.create_map().cast("map<string,string>")).alias("env"),
+    )

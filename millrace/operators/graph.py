@@ -27,20 +27,19 @@ def _directed(edges: DataFrame, reverse: bool) -> DataFrame:
     return edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, reverse: bool = False, small: int = SMALL_GRAPH) -> DataFrame:
     """(id, level): shortest distance of every node reached from seeds(id), the seeds at 0.
 
-    Null seeds are ignored; seeds without edges reach themselves; cycles end. A graph of up to SMALL_GRAPH edges is
-    walked on the driver, as is proven by counting at most that many, larger ones by rounds of joins.
+    Null seeds are ignored; seeds without edges reach themselves; cycles end. A graph of up to `small` edges is
+    walked on the driver, as is proven by counting at most that many, larger ones by rounds of joins; 0 always takes rounds.
     """
     spark = edges.sparkSession
     step = _directed(edges, reverse).where("src IS NOT NULL AND dst IS NOT NULL")
     start = seeds.select(F.col("id").cast("long").alias("id")).where("id IS NOT NULL").distinct()
-    small = step.limit(SMALL_GRAPH + 1).toArrow()
-    few = start.limit(SMALL_GRAPH + 1).toArrow()
-    if small.num_rows <= SMALL_GRAPH and few.num_rows <= SMALL_GRAPH:
+    links, few = step.limit(small + 1).toArrow(), start.limit(small + 1).toArrow()
+    if links.num_rows <= small and few.num_rows <= small:
         follow: dict[int, list[int]] = {}
-        for a, b in zip(small.column(0).to_pylist(), small.column(1).to_pylist()):
+        for a, b in zip(links.column(0).to_pylist(), links.column(1).to_pylist()):
             follow.setdefault(a, []).append(b)
         level = dict.fromkeys(few.column(0).to_pylist(), 0)
         front = list(level)
@@ -80,18 +79,19 @@ def closure(edges: DataFrame, seeds: DataFrame, reverse: bool = False, reflexive
     return bfs(edges, first, reverse).select("id")
 
 
-def longest_levels(nodes: DataFrame, edges: DataFrame, weight: Column | None = None, reverse: bool = False) -> DataFrame:
+def longest_levels(nodes: DataFrame, edges: DataFrame, weight: Column | None = None, reverse: bool = False, small: int = SMALL_GRAPH) -> DataFrame:
     """(id, level, cost) of acyclic nodes, source by source: level is the longest path in edges, cost the greatest sum of weights up to and with the node.
 
     Kahn's rounds: the nodes whose dependencies are all done are done next. Nodes on or behind a cycle have no row.
-    With reverse, levels count from the leaves.
+    With reverse, levels count from the leaves. Graphs of up to `small` nodes and edges are walked on the driver.
     """
     a, b = ("dependent", "dependency") if reverse else ("dependency", "dependent")
     ids = nodes.select(F.col("id").cast("long").alias("id"), (weight if weight is not None else F.lit(1)).cast("double").alias("w"))
     links = edges.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst"))
-    few, small = ids.limit(SMALL_GRAPH + 1).toArrow(), links.limit(SMALL_GRAPH + 1).toArrow()
-    if few.num_rows <= SMALL_GRAPH and small.num_rows <= SMALL_GRAPH:
-        return _walked_levels(nodes.sparkSession, few, small)
+    if small:
+        few, some = ids.limit(small + 1).toArrow(), links.limit(small + 1).toArrow()
+        if few.num_rows <= small and some.num_rows <= small:
+            return _walked_levels(nodes.sparkSession, few, some)
     return longest_level_rounds(ids, links)
 
 
@@ -117,26 +117,22 @@ def _walked_levels(spark: SparkSession, ids: pa.Table, links: pa.Table) -> DataF
 
 
 def longest_level_rounds(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """longest_levels() by rounds of joins, for graphs of any size: ids(id, w), links(src, dst)."""
+    """longest_levels() by rounds of joins, for graphs of any size: ids(id, w), links(src, dst).
+
+    A round writes only the nodes that it finishes and those that still wait for another dependency.
+    """
     links = settle(links.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").distinct())
-    state = settle(
-        ids.join(links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("waits")), "id", "left")
-        .select("id", "w", F.coalesce("waits", F.lit(0)).cast("long").alias("waits"), F.lit(0).cast("long").alias("level"), F.lit(0.0).alias("above"))
-    )
-    done: list[DataFrame] = []
-    while True:
-        ready = settle(state.where("waits = 0").select("id", "level", (F.col("above") + F.col("w")).alias("cost")))
-        if ready.isEmpty():
-            break
-        done.append(ready)
-        told = ready.join(links, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("l"), F.max("cost").alias("c"))
-        state = settle(
-            state.where("waits > 0").join(told, "id", "left")
-            .select("id", "w", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), F.greatest("level", F.col("l") + 1).alias("level"), F.greatest("above", "c").alias("above"))
-        )
-        if len(done) > 8:
-            done = [settle(reduce(DataFrame.unionByName, done))]
-    return reduce(DataFrame.unionByName, done) if done else ids.limit(0).select("id", F.lit(0).cast("long").alias("level"), F.col("w").alias("cost"))
+    asked = settle(ids.join(links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("waits")), "id", "left"))
+    done = [settle(asked.where("waits IS NULL").select("id", F.lit(0).cast("long").alias("level"), F.col("w").alias("cost")))]
+    front, open_ = done[0], None
+    while not front.isEmpty():
+        told = front.join(links, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), (F.max("level") + 1).alias("level"), F.max("cost").alias("above"))
+        met = told if open_ is None else open_.unionByName(told).groupBy("id").agg(F.sum("n").alias("n"), F.max("level").alias("level"), F.max("above").alias("above"))
+        state = settle(met.join(asked, "id").select("id", "n", "level", "above", (F.col("n") == F.col("waits")).alias("ready"), "w"), "ready")
+        open_ = state.where(~F.col("ready")).select("id", "n", "level", "above")
+        front = state.where("ready").select("id", "level", (F.col("above") + F.col("w")).alias("cost"))
+        done.append(front)
+    return reduce(DataFrame.unionByName, done)
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -181,11 +177,21 @@ def some_path(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataF
     end = reached.join(targets.select("id").distinct(), "id", "left_semi").orderBy("level", "id").first()
     if end is None:
         return spark.createDataFrame([], "step long, id long")
-    path, step = [end["id"]], _directed(edges, False)
-    for level in range(end["level"] - 1, -1, -1):
-        before = step.where(F.col("dst") == path[-1]).join(reached.where(F.col("level") == level), F.col("src") == F.col("id")).agg(F.min("src")).first()[0]
-        path.append(before)
-    return spark.createDataFrame([(k, x) for k, x in enumerate(reversed(path))], "step long, id long")
+    shorter = reached.select(F.col("id").alias("before"), (F.col("level") + 1).alias("level"))
+    before = _directed(edges, False).join(shorter, F.col("src") == F.col("before")).join(reached.select(F.col("id").alias("dst"), "level"), ["dst", "level"]).groupBy(F.col("dst").alias("id")).agg(F.min("before").alias("before"))
+    return walk_back(before, end["id"]).select((F.lit(end["level"]) - F.col("back")).alias("step"), "id")
+
+
+def walk_back(before: DataFrame, end: int) -> DataFrame:
+    """(back, id): end at 0 and what before(id, before) leads to from it, by pointers that double: as many rounds as the length has bits."""
+    spark, jump, step = before.sparkSession, settle(before), 1
+    found = spark.createDataFrame([(0, end)], "back long, id long")
+    while True:
+        more = settle(found.join(jump, "id").select((F.col("back") + step).alias("back"), F.col("before").alias("id")))
+        if more.isEmpty():
+            return found
+        found, step = found.unionByName(more), 2 * step
+        jump = settle(jump.join(jump.select(F.col("id").alias("before"), F.col("before").alias("far")), "before").select("id", F.col("far").alias("before")))
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,25 +277,25 @@ def upsert_nodes(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return last.select("name", "weight"), last.select(F.explode(F.array_distinct("deps")).alias("dependency"), F.col("name").alias("dependent"))
 
 
-def critical_path(nodes: DataFrame, edges: DataFrame, tie: str = "first", weight: str = "weight") -> DataFrame:
+def critical_path(nodes: DataFrame, edges: DataFrame, tie: str = "first", weight: str = "weight", small: int = SMALL_GRAPH) -> DataFrame:
     """(step, id) of the costliest path, dependency first, and its cumulated cost.
 
     tie names which of equally costly dependencies stands: first (the least id) or last (the greatest); of
-    equally costly ends the least id stands. Missing weights are 0. The path is read back from the written
-    costs, one small join a step.
+    equally costly ends the least id stands. Missing weights are 0. A cycle is an error. The chosen dependency of
+    every node is one join; the path is walked back over them by doubling pointers.
     """
     spark = nodes.sparkSession
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
-    costs = settle(longest_levels(nodes, edges, w).join(nodes.select("id", w.alias("w")), "id"))
+    costs = settle(longest_levels(nodes, edges, w, small=small))
+    if costs.count() < nodes.count():
+        raise ValueError("the graph has a cycle")
     end = costs.orderBy(F.desc("cost"), "id").first()
     if end is None:
         return spark.createDataFrame([], "step long, id long, cost double")
-    path, now, step = [(end["id"], end["cost"])], end, _directed(edges, False)
-    while now["level"] > 0:
-        above = step.where(F.col("src") == now["id"]).join(costs, F.col("dst") == F.col("id"))
-        now = above.orderBy(F.desc("cost"), F.asc("id") if tie == "first" else F.desc("id")).first()
-        path.append((now["id"], now["cost"]))
-    return spark.createDataFrame([(k, i, c) for k, (i, c) in enumerate(reversed(path))], "step long, id long, cost double")
+    choice = F.struct(F.col("cost"), (-F.col("dst") if tie == "first" else F.col("dst")).alias("tie"), F.col("dst").alias("before"))
+    chosen = _directed(edges, False).join(costs, F.col("dst") == F.col("id")).groupBy(F.col("src").alias("id")).agg(F.max(choice).alias("c")).select("id", "c.before")
+    path = settle(walk_back(chosen, end["id"]))
+    return path.join(costs, "id").select(((path.count() - 1) - F.col("back")).alias("step"), "id", "cost")
 
 
 def downstream_weights(nodes: DataFrame, edges: DataFrame, default: float = 100.0, weight: str = "weight") -> DataFrame:
@@ -297,25 +303,31 @@ def downstream_weights(nodes: DataFrame, edges: DataFrame, default: float = 100.
     return longest_levels(nodes, edges, F.coalesce(F.col(weight).cast("double"), F.lit(default)), reverse=True).select("id", F.col("cost").alias("critical_weight"))
 
 
-def tails(nodes: DataFrame, edges: DataFrame, leaf: int = 1) -> DataFrame:
+def tails(nodes: DataFrame, edges: DataFrame, leaf: int = 1, small: int = SMALL_GRAPH) -> DataFrame:
     """(id, tail): longest chain of dependents; a node without any counts leaf."""
-    return longest_levels(nodes, edges, reverse=True).select("id", (F.col("level") + leaf).alias("tail"))
+    return longest_levels(nodes, edges, reverse=True, small=small).select("id", (F.col("level") + leaf).alias("tail"))
 
 
-def merkle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, fingerprint): own fingerprint combined with the sorted combined fingerprints of the dependencies, level by level."""
-    levels = settle(longest_levels(nodes, edges).join(nodes.select("id", F.col("fingerprint").alias("own")), "id").select("id", "level", "own"))
-    links = settle(_directed(edges, False))
-    done: DataFrame | None = None
+def merkle(nodes: DataFrame, edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """(id, fingerprint): own fingerprint combined with the sorted combined fingerprints of the dependencies, level by level.
+
+    A level writes its fingerprints and what it tells its dependents, in folders by their level, so nothing is written twice.
+    Nodes on or behind a cycle have no row.
+    """
+    levels = settle(longest_levels(nodes, edges, small=small).join(nodes.select("id", F.col("fingerprint").alias("own")), "id").select("id", "level", "own"), "level")
+    above = settle(_directed(edges, False).join(levels.select(F.col("id").alias("src"), "level"), "src"))
+    done, told = [], []
     for k in range((levels.agg(F.max("level")).first()[0] or 0) + 1):
         now = levels.where(F.col("level") == k)
-        if done is None:
-            fresh = now.select("id", combine_fingerprints(F.col("own"), F.array().cast("array<string>")).alias("fingerprint"))
+        if told:
+            fs = reduce(DataFrame.unionByName, [t.where(F.col("level") == k) for t in told]).groupBy("id").agg(F.collect_list("f").alias("fs"))
+            now = now.join(fs, "id", "left")
         else:
-            below = links.join(done.withColumnsRenamed({"id": "dst", "fingerprint": "f"}), "dst").groupBy(F.col("src").alias("id")).agg(F.collect_list("f").alias("fs"))
-            fresh = now.join(below, "id", "left").select("id", combine_fingerprints(F.col("own"), F.coalesce("fs", F.array().cast("array<string>"))).alias("fingerprint"))
-        done = settle(fresh if done is None else done.unionByName(fresh))
-    return done if done is not None else levels.select("id", F.col("own").alias("fingerprint"))
+            now = now.withColumn("fs", F.lit(None).cast("array<string>"))
+        fresh = settle(now.select("id", combine_fingerprints(F.col("own"), F.coalesce("fs", F.array().cast("array<string>"))).alias("fingerprint")))
+        done.append(fresh)
+        told.append(settle(above.join(fresh.select(F.col("id").alias("dst"), F.col("fingerprint").alias("f")), "dst").select(F.col("src").alias("id"), "f", "level"), "level"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def combine_fingerprints(prefix: Column, fingerprints: Column) -> Column:

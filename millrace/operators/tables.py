@@ -9,14 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOTS: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def _root(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """This application's folder below spark.checkpoint.dir. Where that is unset: below the warehouse, or on a local master a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
+    elif not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/.millrace"
     root = f"{folder}/millrace-{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
@@ -33,8 +35,8 @@ def _remove(spark: SparkSession, root: str) -> None:
         return
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet and reads it back: lineage ends there, and a lost executor takes nothing with it."""
+def settle(df: DataFrame, *folders: str) -> DataFrame:
+    """Writes df as Parquet, in folders of the columns named, and reads it back: lineage ends there, and a lost executor takes nothing with it."""
     path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,10 +12,10 @@ from millrace.functions import scalar as sc
 from millrace.functions import text as tx
 from millrace.operators import analytics as an
 from millrace.operators import graph, joins, ordered, scheduling, store
-from millrace.plans import algebra
+from millrace.plans import algebra, extension
 from millrace.plans.views import sql, views
 from millrace.sources import readers, sinks
-from millrace.streaming import state
+from millrace.streaming import rpc, state
 
 Views = dict[str, Callable[[], DataFrame]]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def _(v: Views) -> DataFrame:
     return graph.bfs(v["edges"](), ids(v, 7), reverse=True)
 
 
+@query("g3_rdeps_affected_rounds", "WITH RECURSIVE u(id, level) AS (SELECT id, 0::BIGINT FROM nodes WHERE id = 7 UNION SELECT e.dependent, u.level + 1 FROM u JOIN edges e ON e.dependency = u.id) SELECT id, min(level) AS level FROM u GROUP BY id", "nodes", "edges")
+def _(v: Views) -> DataFrame:
+    return graph.bfs(v["edges"](), ids(v, 7), reverse=True, small=0)
+
+
 @query("g4_transitive_dependencies", f"WITH RECURSIVE {DOWN.format(seeds='150')} SELECT id FROM c WHERE id <> 150", "nodes", "edges")
 def _(v: Views) -> DataFrame:
     return graph.closure(v["edges"](), ids(v, 150), reflexive=False)
@@ -85,6 +90,11 @@ def _(v: Views) -> DataFrame:
     return graph.longest_levels(v["nodes"](), v["edges"]()).select("id", "level")
 
 
+@query("g8_levels_rounds", f"WITH RECURSIVE {LEVELS} SELECT id, max(level) AS level FROM l GROUP BY id", "nodes", "edges")
+def _(v: Views) -> DataFrame:
+    return graph.longest_levels(v["nodes"](), v["edges"](), small=0).select("id", "level")
+
+
 @query(
     "g9_validate",
     "SELECT 'missing node' AS problem, 1000000000::BIGINT AS dependency, 1::BIGINT AS dependent UNION ALL SELECT 'self dependency', 5, 5",
@@ -131,12 +141,20 @@ def _(v: Views) -> DataFrame:
     return graph.critical_path(v["nodes"](), v["edges"](), tie="last").agg(F.max("cost").alias("cost"))
 
 
-@query("g14_critical_path")
+@query("g13_critical_path_cost_rounds", f"WITH RECURSIVE {COSTS} SELECT max(cost) AS cost FROM p", "nodes", "edges")
+def _(v: Views) -> DataFrame:
+    return graph.critical_path(v["nodes"](), v["edges"](), tie="last", small=0).agg(F.max("cost").alias("cost"))
+
+
+WALK = f"WITH RECURSIVE {COSTS}, c AS (SELECT id, max(cost) AS cost FROM p GROUP BY id), b AS (SELECT e.dependent AS id, min_by(e.dependency, (-c.cost, e.dependency)) AS before FROM edges e JOIN c ON c.id = e.dependency GROUP BY 1), w(back, id) AS (SELECT 0::BIGINT, min_by(id, (-cost, id)) FROM c UNION ALL SELECT back + 1, b.before FROM w JOIN b USING (id))"
+
+
+@query("g14_critical_path", f"{WALK} SELECT (SELECT max(back) FROM w) - back AS step, id, cost FROM w JOIN c USING (id)", "nodes", "edges")
 def _(v: Views) -> DataFrame:
     return graph.critical_path(v["nodes"](), v["edges"]())
 
 
-@query("g15_critical_path_dependent_first")
+@query("g15_critical_path_dependent_first", f"{WALK} SELECT back - (SELECT max(back) FROM w) AS step, id, cost FROM w JOIN c USING (id)", "nodes", "edges")
 def _(v: Views) -> DataFrame:
     return graph.critical_path(v["nodes"](), v["edges"]()).select((-F.col("step")).alias("step"), "id", "cost")
 
@@ -155,6 +173,11 @@ def _(v: Views) -> DataFrame:
     return graph.tails(v["nodes"](), v["edges"]())
 
 
+@query("g17_tails_rounds", "WITH RECURSIVE l(id, t) AS (SELECT id, 1::BIGINT FROM nodes UNION SELECT e.dependency, l.t + 1 FROM l JOIN edges e ON e.dependent = l.id) SELECT id, max(t) AS tail FROM l GROUP BY id", "nodes", "edges")
+def _(v: Views) -> DataFrame:
+    return graph.tails(v["nodes"](), v["edges"](), small=0)
+
+
 def _packages(v: Views) -> DataFrame:
     """Graphs of eight packages each, every one dependent on the half of its number."""
     p = v["nodes"]().select((F.col("id") / 8).cast("long").alias("graph"), (F.col("id") % 8).alias("k"), F.col("weight").cast("double").alias("weight"), F.lit(1024).cast("long").alias("memory"))
@@ -162,14 +185,14 @@ def _packages(v: Views) -> DataFrame:
     return p.select("graph", F.concat(F.lit("p"), F.col("k").cast("string")).alias("name"), deps.alias("deps"), "weight", "memory")
 
 
-@query("g18_build_order")
+@query("g18_build_order", "SELECT id // 8 AS graph, 'p' || id % 8 AS name, row_number() OVER (PARTITION BY id // 8 ORDER BY id) - 1 AS position FROM nodes", "nodes")
 def _(v: Views) -> DataFrame:
     return scheduling.build_order(_packages(v))
 
 
-@query("g20_task_order")
+@query("g20_task_order", "SELECT id // 8 AS graph, 'p' || id % 8 AS name, row_number() OVER (PARTITION BY id // 8 ORDER BY CASE WHEN id % 8 = 0 THEN 0 WHEN id % 8 = 1 THEN 1 WHEN id % 8 < 4 THEN 2 ELSE 3 END, -id) - 1 AS position FROM nodes", "nodes")
 def _(v: Views) -> DataFrame:
-    return scheduling.build_order(_packages(v), strict=True)
+    return scheduling.task_order(_packages(v).withColumn("position", 8 - F.substring("name", 2, 1).cast("long")))
 
 
 @query(
@@ -249,6 +272,11 @@ def _(v: Views) -> DataFrame:
     return graph.merkle(v["nodes"]().select("id", F.sha2("name", 256).alias("fingerprint")), v["edges"]())
 
 
+@query("c1b_merkle_rounds")
+def _(v: Views) -> DataFrame:
+    return graph.merkle(v["nodes"]().select("id", F.sha2("name", 256).alias("fingerprint")), v["edges"](), small=0)
+
+
 @query("c1_combine_fingerprints", "SELECT task_name, sha256(len(task_name::VARCHAR) || ':' || task_name || string_agg(len(source_bytes::VARCHAR) || ':' || source_bytes, '' ORDER BY source_bytes::VARCHAR)) AS fingerprint FROM duration_samples GROUP BY task_name", "duration_samples")
 def _(v: Views) -> DataFrame:
     return v["duration_samples"]().groupBy("task_name").agg(F.collect_list(F.col("source_bytes").cast("string")).alias("f")).select("task_name", graph.combine_fingerprints(F.col("task_name").cast("string"), F.col("f")).alias("fingerprint"))
@@ -670,25 +698,13 @@ def _(v: Views) -> DataFrame:
     return joins.packages_for_paths(v["paths"](), _owners(v))
 
 
-@query("join2_recommend_tasks", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON contains(path, 'e/' || n.id) WHERE n.id BETWEEN 10 AND 60 UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
-def _(v: Views) -> DataFrame:
-    patterns = v["nodes"]().where("id BETWEEN 10 AND 60").select(F.col("id").alias("package"), F.concat(F.lit("e/"), F.col("id").cast("string")).alias("pattern"))
-    return joins.recommend_tasks(v["paths"]().select(F.col("path").alias("file")), patterns, v["edges"]())
-
-
-@query("join2_recommend_tasks_all", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON contains(path, 'e/' || n.id) UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
+@query("join2_recommend_tasks", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON contains(path, 'e/' || n.id) UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
 def _(v: Views) -> DataFrame:
     patterns = v["nodes"]().select(F.col("id").alias("package"), F.concat(F.lit("e/"), F.col("id").cast("string")).alias("pattern"))
     return joins.recommend_tasks(v["paths"]().select(F.col("path").alias("file")), patterns, v["edges"]())
 
 
-@query("join3_dependent_targets", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON starts_with(path, chr((97 + n.id % 26)::INT) || 'l') WHERE n.id < 60 UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
-def _(v: Views) -> DataFrame:
-    deps = v["nodes"]().where("id < 60").select(F.col("id").alias("target"), F.concat(F.chr((F.col("id") % 26 + 97)), F.lit("l")).alias("dep"))
-    return joins.dependent_targets(v["paths"]().select(F.col("path").alias("file")), deps, v["edges"]())
-
-
-@query("join3_dependent_targets_all", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON starts_with(path, chr((97 + n.id % 26)::INT) || 'l') UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
+@query("join3_dependent_targets", "WITH RECURSIVE u(id) AS (SELECT DISTINCT n.id FROM nodes n JOIN paths ON starts_with(path, chr((97 + n.id % 26)::INT) || 'l') UNION SELECT e.dependent FROM u JOIN edges e ON e.dependency = u.id) SELECT id FROM u", "nodes", "edges", "paths")
 def _(v: Views) -> DataFrame:
     deps = v["nodes"]().select(F.col("id").alias("target"), F.concat(F.chr((F.col("id") % 26 + 97)), F.lit("l")).alias("dep"))
     return joins.dependent_targets(v["paths"]().select(F.col("path").alias("file")), deps, v["edges"]())
@@ -769,12 +785,7 @@ def _(v: Views) -> DataFrame:
     return joins.pipeline_edges(tasks, v["edges"]())
 
 
-@query("join13_fan_in", "SELECT a.id AS dependency, b.id AS dependent FROM nodes a, nodes b WHERE a.id % 50 <> 0 AND b.id % 50 = 0 AND a.id < 500 AND b.id < 500", "nodes")
-def _(v: Views) -> DataFrame:
-    return joins.fan_in(v["nodes"]().where("id < 500").select("id", F.when(F.col("id") % 50 == 0, "Docker").otherwise("Rust").alias("ecosystem")), "Docker")
-
-
-@query("join13_fan_in_all", "SELECT a.id AS dependency, b.id AS dependent FROM nodes a, nodes b WHERE a.id % 50 <> 0 AND b.id % 50 = 0", "nodes")
+@query("join13_fan_in", "SELECT a.id AS dependency, b.id AS dependent FROM nodes a, nodes b WHERE a.id % 50 <> 0 AND b.id % 50 = 0", "nodes")
 def _(v: Views) -> DataFrame:
     return joins.fan_in(v["nodes"]().select("id", F.when(F.col("id") % 50 == 0, "Docker").otherwise("Rust").alias("ecosystem")), "Docker")
 
@@ -786,13 +797,7 @@ def _(v: Views) -> DataFrame:
     return joins.eligible_workers(w, "rust", {"zone": "0"}).limit(5).select("id")
 
 
-@query("join15_artifact_peers", "SELECT DISTINCT artifact AS digest, key % 17 AS peer FROM records WHERE artifact < 50", "records")
-def _(v: Views) -> DataFrame:
-    r = v["records"]().select(F.col("artifact").alias("digest"), (F.col("key") % 17).alias("peer"))
-    return joins.artifact_peers(r.where("digest < 50").select("digest").distinct(), r)
-
-
-@query("join15_artifact_peers_all", "SELECT DISTINCT artifact AS digest, key % 17 AS peer FROM records", "records")
+@query("join15_artifact_peers", "SELECT DISTINCT artifact AS digest, key % 17 AS peer FROM records", "records")
 def _(v: Views) -> DataFrame:
     r = v["records"]().select(F.col("artifact").alias("digest"), (F.col("key") % 17).alias("peer"))
     return joins.artifact_peers(r.select("digest").distinct(), r)
@@ -1037,18 +1042,17 @@ def _(v: Views) -> DataFrame:
     return sinks.graph_json(v["nodes"]().withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))), v["edges"]())
 
 
-@query("snk3_graph_dot", "SELECT DISTINCT '  \"n' || dependency || '\" -> \"n' || dependent || '\";' AS line FROM edges", "edges")
+@query("snk2_graph_levels", f"WITH RECURSIVE {LEVELS} SELECT max(level) AS level, 'n' || id AS name FROM l GROUP BY id", "nodes", "edges")
 def _(v: Views) -> DataFrame:
-    return sinks.graph_dot(v["nodes"]().withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))), v["edges"]())
+    return sinks.graph_levels(v["nodes"]().withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))), v["edges"]())
 
 
-@query("snk4_graph_tree", "WITH RECURSIVE r(id, p) AS (SELECT id, 'n' || id FROM nodes WHERE id BETWEEN 20 AND 39 UNION ALL SELECT d, p || '>n' || d FROM r JOIN (SELECT DISTINCT dependency AS d, dependent AS t FROM edges) ON t = r.id) SELECT p AS path FROM r", "nodes", "edges")
+@query("snk3_graph_dot", "SELECT DISTINCT '  \"n' || dependency || '\" -> \"n' || dependent || '\";' AS line FROM edges", "edges")
 def _(v: Views) -> DataFrame:
-    n = v["nodes"]().where("id < 40").withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string")))
-    return sinks.graph_tree(n, v["edges"]().where("dependent < 40")).select(F.array_join("path", ">").alias("path"))
+    return sinks.graph_dot(v["nodes"]().withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string"))), v["edges"]())
 
 
-@query("snk4_graph_tree_all", "WITH RECURSIVE r(id, p) AS (SELECT id, 'n' || id FROM nodes WHERE id NOT IN (SELECT dependency FROM edges) UNION ALL SELECT d, p || '>n' || d FROM r JOIN (SELECT DISTINCT dependency AS d, dependent AS t FROM edges) ON t = r.id JOIN nodes ON nodes.id = d) SELECT p AS path FROM r", "nodes", "edges")
+@query("snk4_graph_tree", "WITH RECURSIVE r(id, p) AS (SELECT id, 'n' || id FROM nodes WHERE id NOT IN (SELECT dependency FROM edges) UNION ALL SELECT d, p || '>n' || d FROM r JOIN (SELECT DISTINCT dependency AS d, dependent AS t FROM edges) ON t = r.id JOIN nodes ON nodes.id = d) SELECT p AS path FROM r", "nodes", "edges")
 def _(v: Views) -> DataFrame:
     n = v["nodes"]().withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string")))
     return sinks.graph_tree(n, v["edges"]()).select(F.array_join("path", ">").alias("path"))
@@ -1188,63 +1192,77 @@ def _(v: Views) -> DataFrame:
     return _files(v).select("page_id", F.array_join(tx.prewarm_targets(F.col("path")), ",").alias("targets"))
 
 
-#: Sources whose imports come from a document's first words.
-SOURCE = "s AS (SELECT doc_id, regexp_extract_all(text, '[a-z]+')[1:4] AS w FROM documents)"
+#: A header with one import of each form, then the whole text of the document.
+SOURCE = "s AS (SELECT doc_id, CASE WHEN regexp_matches(text, '^[a-z]+') THEN regexp_extract(text, '^([a-z]+)', 1) ELSE 'd' || doc_id END AS w FROM documents)"
 
 
 def _sources(v: Views) -> DataFrame:
-    words = F.slice(F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1)), 1, 4)
-    return v["table"]("documents").select("doc_id", words.alias("w")).where("size(w) = 4")
+    d = v["table"]("documents")
+    return d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("text").rlike("^[a-z]+"), F.regexp_extract("text", "^([a-z]+)", 1)).otherwise(F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("w"))
 
 
 def _lines(*parts: F.Column | str) -> F.Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-@query("f10_py_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct(w)), ',') AS imports FROM s WHERE len(w) = 4")
+@query("f10_py_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct([w, 'p', 'q', 'r'])), ',') AS imports FROM s")
 def _(v: Views) -> DataFrame:
-    w = lambda k: F.get("w", F.lit(k))
-    source = _lines("import ", w(0), ".x as y, ", w(1), "\n  from ", w(2), ".z import q\nfrom ", w(3), " import *\nx = 1\n")
+    source = _lines("import ", F.col("w"), ".x as y, p\n  from q.z import k\nfrom r import *\nx = 1\n", F.col("text"))
     return _sources(v).select("doc_id", F.array_join(tx.python_imports(source), ",").alias("imports"))
 
 
-@query("f10_rust_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(w[1:3], lambda x: x NOT IN ('crate','self','super','std','core','alloc')))), ',') AS imports FROM s WHERE len(w) = 4")
+@query("f10_rust_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([w, 'p', 'q'], lambda x: x NOT IN ('crate','self','super','std','core','alloc')))), ',') AS imports FROM s")
 def _(v: Views) -> DataFrame:
-    w = lambda k: F.get("w", F.lit(k))
-    source = _lines("use ", w(0), "::a;\npub use ", w(1), ";\nextern crate ", w(2), ";\nuse std::io;\nuse crate::b;\nfn main() {}\n")
+    source = _lines("use ", F.col("w"), "::a;\npub use p;\nextern crate q;\nuse std::io;\nuse crate::b;\nfn main() {}\n", F.col("text"))
     return _sources(v).select("doc_id", F.array_join(tx.rust_imports(source), ",").alias("imports"))
 
 
-@query("f10_ts_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct([w[1], '@' || w[2] || '/k', w[3] || '/deep'])), ',') AS imports FROM s WHERE len(w) = 4")
+@query("f10_ts_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct([w, '@p/k', 'q/deep'])), ',') AS imports FROM s")
 def _(v: Views) -> DataFrame:
-    w = lambda k: F.get("w", F.lit(k))
-    source = _lines("import a from '", w(0), "/sub';\nexport { b } from \"@", w(1), "/k/z\";\nconst c = require('", w(2), "/deep');\nimport d from './local';\n")
+    source = _lines("import a from '", F.col("w"), "/sub';\nexport { b } from \"@p/k/z\";\nconst c = require('q/deep');\nimport d from './local';\n", F.col("text"))
     return _sources(v).select("doc_id", F.array_join(tx.ts_imports(source), ",").alias("imports"))
 
 
-@query("f10_go_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct(['x/' || w[1], w[2], w[3]])), ',') AS imports FROM s WHERE len(w) = 4")
+@query("f10_go_imports", f"WITH {SOURCE} SELECT doc_id, array_to_string(list_sort(list_distinct(['x/' || w, 'p', 'q'])), ',') AS imports FROM s")
 def _(v: Views) -> DataFrame:
-    w = lambda k: F.get("w", F.lit(k))
-    source = _lines('package main\nimport "x/', w(0), '"\nimport (\n\t"', w(1), '"\n\t"', w(2), '"\n)\nfunc main() {}\n')
+    source = _lines('package main\nimport "x/', F.col("w"), '"\nimport (\n\t"p"\n\t"q"\n)\nfunc main() {}\n', F.col("text"))
     return _sources(v).select("doc_id", F.array_join(tx.go_imports(source), ",").alias("imports"))
 
 
-@query("f12_python_comments", "SELECT doc_id, trim(split_part(text, chr(10), 1)) || chr(10) || 'x = 1' AS code FROM documents WHERE text NOT LIKE '%#%' AND trim(split_part(text, chr(10), 1)) <> '' AND text NOT LIKE '%' || chr(13) || '%' AND text NOT LIKE '%' || chr(9) || '%'")
+@query("f11_inferred_imports", f"WITH {SOURCE} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN w WHEN 1 THEN 'p' ELSE '' END AS imports FROM s")
 def _(v: Views) -> DataFrame:
-    d = v["table"]("documents").where("text NOT LIKE '%#%'").withColumn("first", F.trim(F.split("text", "\n").getItem(0))).where("first <> '' AND instr(text, char(13)) = 0 AND instr(text, char(9)) = 0")
-    return d.select("doc_id", tx.strip_python_comments(F.concat(F.lit("# head\n\n  "), F.col("first"), F.lit(" # note\n   \nx = 1 # end"))).alias("code"))
+    d = _sources(v)
+    path = F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.get(F.array(*[F.lit(x) for x in (".py", ".rs", ".md")]), (F.col("doc_id") % 3).cast("int")))
+    return d.select("doc_id", F.array_join(tx.inferred_imports(path, _lines("import ", F.col("w"), "\nuse p::k;\n", F.col("text"))), ",").alias("imports"))
+
 
+BARE = "regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+STRIPPED = f"array_to_string(list_transform(list_filter(list_transform(string_split_regex({{source}}, '\\r?\\n'), lambda x: {BARE.format(x='x')}), lambda x: x <> '' AND NOT starts_with(x, '#')), lambda x: {BARE.format(x=chr(39).join(['split_part(x, ', '#', ', 1)']))}), chr(10))"
+COMMENTED = "'# head' || chr(10) || chr(10) || '  x = 1 # end' || chr(10) || coalesce(text, '')"
 
-@query("c10_semantic_hash", "SELECT doc_id, sha256('int x;' || chr(10) || 'char *s = \"// no\";') AS hash FROM documents WHERE text NOT LIKE '%*/%'")
+
+@query("f12_python_comments", f"SELECT doc_id, {STRIPPED.format(source=COMMENTED)} AS code FROM documents")
 def _(v: Views) -> DataFrame:
-    source = F.concat(F.lit("int x; // "), F.regexp_replace("text", "\n", " "), F.lit('\n/* '), F.col("text"), F.lit(' */\n  char *s = "// no";\n'))
-    return v["table"]("documents").where("text NOT LIKE '%*/%'").select("doc_id", tx.semantic_hash(F.lit("a.cc"), source).alias("hash"))
+    return _sources(v).select("doc_id", tx.strip_python_comments(_lines("# head\n\n  x = 1 # end\n", F.col("text"))).alias("code"))
 
 
-@query("c11_interface_hash", "SELECT doc_id, sha256('pub fn a(x: i32)' || chr(10) || 'pub struct B') AS hash FROM documents")
+@query("c10_semantic_hash_py", f"SELECT doc_id, sha256({STRIPPED.format(source=COMMENTED)}) AS hash FROM documents")
 def _(v: Views) -> DataFrame:
-    source = F.concat(F.lit("pub struct B { v: u8 }\npub fn a(x: i32) { "), F.length("text").cast("string"), F.lit(" }\nfn hidden() {}\n  pub struct B { w: u8 }\n"))
-    return v["table"]("documents").select("doc_id", tx.interface_hash(source).alias("hash"))
+    return _sources(v).select("doc_id", tx.semantic_hash(F.lit("a.py"), _lines("# head\n\n  x = 1 # end\n", F.col("text"))).alias("hash"))
+
+
+@query("c10_semantic_hash")
+def _(v: Views) -> DataFrame:
+    return _sources(v).select("doc_id", tx.semantic_hash(F.lit("a.cc"), _lines("int x; // one\n/* ", F.col("text"), ' */\n  char *s = "// no";\n', F.col("text"))).alias("hash"))
+
+
+HEADERS = "string_split_regex(coalesce(text, ''), '\\r?\\n')"
+
+
+@query("c11_interface_hash", f"SELECT doc_id, sha256(array_to_string(list_sort(list_distinct(list_transform({HEADERS}, lambda x: {BARE.format(x=chr(39).join(['split_part(', 'pub ', ' || x, ', '{', ', 1)']))}))), chr(10))) AS hash FROM documents")
+def _(v: Views) -> DataFrame:
+    source = F.array_join(F.transform(F.split("text", r"\r?\n"), lambda x: F.concat(F.lit("pub "), x)), "\nfn hidden() {}\n")
+    return _sources(v).select("doc_id", tx.interface_hash(source).alias("hash"))
 
 
 @query("f13_source_language", f"WITH {FILES} SELECT page_id, CASE {EXT} WHEN 'rs' THEN 'Rust' WHEN 'ts' THEN 'TypeScript' WHEN 'go' THEN 'Go' WHEN 'py' THEN 'Python' WHEN 'cpp' THEN 'Cpp' ELSE 'Unknown' END AS language FROM f", "paths")
@@ -1263,10 +1281,9 @@ def _(v: Views) -> DataFrame:
     return v["records"]().select("rid", sc.parse_duration(unit(("", "m", "h", "d"))).alias("seconds"), sc.parse_size(unit(("b", "K", "mb", "GB"))).alias("bytes"))
 
 
-@query("f16_sanitize_path", "SELECT page_id, 'a/' || path || '/z' AS path FROM paths WHERE NOT regexp_matches(path, '//|(?:^|/)\\.\\.?(?:/|$)|^/|/$') AND path <> ''", "paths")
+@query("f16_sanitize_path")
 def _(v: Views) -> DataFrame:
-    clean = v["paths"]().where(~F.col("path").rlike(r"//|(?:^|/)\.\.?(?:/|$)|^/|/$") & (F.col("path") != ""))
-    return clean.select("page_id", sc.sanitize_path(F.concat(F.lit("../a/./b\\..//"), "path", F.lit("/y/../z/"))).alias("path"))
+    return v["paths"]().select("page_id", sc.sanitize_path(F.concat(F.lit("../a/./b\\..//"), "path", F.lit("/y/../z/"))).alias("path"))
 
 
 @query("f17_command_line", "SELECT event_id, 'cc -c ''a b'' ' || event_id || ' ''x|' || event_type || '''' AS line FROM logs", "logs")
@@ -1306,10 +1323,20 @@ def _(v: Views) -> DataFrame:
 # --- files ----------------------------------------------------------------------------------------------------------------
 
 
-@query("src6_ecosystems", f"WITH {FILES} SELECT regexp_extract(path, '^(.*)/Cargo\\.lock$', 1) AS dir, 'Rust' AS ecosystem, 'Cargo.toml' AS manifest, 'Cargo.lock' AS lockfile FROM f WHERE path LIKE 'src/%/Cargo.lock' AND NOT regexp_matches(path, '(?:^|/)(?:target|node_modules|\\.git|\\.venv|__pycache__|dist|build|fixtures|editors|\\.github)/') GROUP BY 1", "paths")
+DIR = "regexp_extract(path, '^(.*?)/?[^/]*$', 1)"
+MANIFEST_FILES = f"g AS (SELECT path FROM f UNION SELECT {DIR} || CASE page_id % 3 WHEN 0 THEN '/Cargo.toml' WHEN 1 THEN '/package.json' ELSE '/go.mod' END FROM f), d AS (SELECT DISTINCT {DIR} AS dir, regexp_extract(path, '([^/]*)$', 1) AS name FROM g WHERE NOT regexp_matches(path, '(?:^|/)(?:target|node_modules|\\.git|\\.venv|__pycache__|dist|build|fixtures|editors|\\.github)/'))"
+
+
+@query(
+    "src6_ecosystems",
+    f"WITH {FILES}, {MANIFEST_FILES} SELECT m.dir, m.ecosystem, m.manifest, l.lock AS lockfile FROM (SELECT dir, CASE name WHEN 'Cargo.toml' THEN 'Rust' WHEN 'package.json' THEN 'TypeScript' ELSE 'Go' END AS ecosystem, name AS manifest FROM d WHERE name IN ('Cargo.toml', 'package.json', 'go.mod')) m "
+    "LEFT JOIN (SELECT dir, 'Rust' AS ecosystem, name AS lock FROM d WHERE name = 'Cargo.lock') l ON m.dir = l.dir AND m.ecosystem = l.ecosystem",
+    "paths",
+)
 def _(v: Views) -> DataFrame:
-    files = _files(v).where(F.col("path").endswith("/Cargo.lock")).select("path")
-    return readers.ecosystems(files.union(files.select(F.regexp_replace("path", r"Cargo\.lock$", "Cargo.toml"))).distinct())
+    files = _files(v)
+    manifest = F.get(F.array(*[F.lit(x) for x in ("/Cargo.toml", "/package.json", "/go.mod")]), (F.col("page_id") % 3).cast("int"))
+    return readers.ecosystems(files.select("path").union(files.select(F.concat(F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1), manifest))).distinct())
 
 
 @query("src7_workspace_kind", "SELECT page_id % 23 AS root, CASE WHEN bool_or(page_id % 4 = 0) THEN 'Cargo.toml' WHEN bool_or(page_id % 4 = 1) THEN 'package.json' WHEN bool_or(page_id % 4 = 2) THEN 'go.mod' ELSE 'pyproject.toml' END AS manifest FROM pages GROUP BY 1")
@@ -1373,3 +1400,42 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     p = v["table"]("pages").select(F.col("page_id").alias("key"))
     return readers.either(p.where("key % 2 = 0").withColumn("origin", F.lit("local")), p.withColumn("origin", F.lit("remote")), "key")
+
+
+# --- extension points ---------------------------------------------------------------------------------------------------
+
+
+@query("u1_middleware", "SELECT id, weight * 2 + 3 AS cost, 'b,a' AS seen FROM nodes WHERE state = 'Pending'", "nodes")
+def _(v: Views) -> DataFrame:
+    mark = lambda name: lambda tasks, out: out.withColumn("seen", F.concat_ws(",", F.nullif(F.col("seen"), F.lit("")), F.lit(name)))
+    first = extension.Middleware(lambda t: t.where("state = 'Pending'").withColumn("weight", F.col("weight") * 2), mark("a"))
+    second = extension.Middleware(lambda t: t.withColumn("weight", F.col("weight") + 3), mark("b"))
+    run = extension.with_middleware(lambda t: t.select("id", F.col("weight").alias("cost"), F.lit("").alias("seen")), [first, second])
+    return run(v["nodes"]())
+
+
+@query("u6_scanners", "SELECT id::VARCHAR AS package, 'X' AS id, 'High' AS severity FROM nodes WHERE id % 7 = 0 UNION ALL SELECT id::VARCHAR, 'Y', CASE WHEN id % 2 = 0 THEN 'Critical' ELSE 'Medium' END FROM nodes WHERE id % 5 = 0", "nodes")
+def _(v: Views) -> DataFrame:
+    packages = v["nodes"]().select(F.col("id").cast("string").alias("package"), F.col("id").alias("n"))
+    flagged = packages.where("n % 7 = 0").select("package", F.lit("X").alias("id"), F.lit("High").alias("severity"))
+    graded = packages.where("n % 5 = 0").select("package", F.lit("Y").alias("id"), F.when(F.col("n") % 2 == 0, "Critical").otherwise("Medium").alias("severity"))
+    low = packages.select("package", F.lit("Z").alias("id"), F.lit("Low").alias("severity"))
+    broken = packages.select("package", F.lit("W").alias("id"), F.raise_error(F.lit("no database")).cast("string").alias("severity"))
+    return extension.scan(packages, [lambda _: flagged, lambda _: broken, lambda _: graded, lambda _: low], "Medium")
+
+
+@query("u3_rule_env", "SELECT page_id::VARCHAR AS path, 'r' || page_id AS name, 'a,b.txt' AS inputs, 'v' || page_id AS mode FROM pages")
+def _(v: Views) -> DataFrame:
+    p = F.col("page_id").cast("string")
+    source = F.concat(F.lit("cc_binary(\n  name = 'r"), p, F.lit("',\n  srcs = [a, \"b.txt\"],\n  env = {\"MODE\": \"v"), p, F.lit("\"},\n),\nload(x)\n"))
+    found = readers.rules(v["table"]("pages").select(p.alias("path"), source.alias("source")))
+    return found.select("path", "name", F.array_join("inputs", ",").alias("inputs"), F.element_at("env", "MODE").alias("mode"))
+
+
+@query("st9_rpc_summary")
+def _(v: Views) -> DataFrame:
+    params = F.struct("tasks_count", "cache_hits", "cache_misses", "failed_count", F.transform("bottleneck_tasks", lambda t: t.cast("string")).alias("bottlenecks"))
+    lines = _runs(v).select(F.to_json(F.struct(F.lit("r").alias("id"), F.lit("record_run").alias("method"), params.alias("params"))).alias("value"))
+    asked = lines.limit(1).select(F.lit('{"id": "s", "method": "analytics_summary"}').alias("value"))
+    recorded = rpc.recorded_runs(rpc.requests(lines)).withColumn("seq", F.lit(0))
+    return rpc.responses(rpc.requests(asked), recorded)

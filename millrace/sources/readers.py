@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +40,36 @@ def either(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
 
 
 def cargo_metadata(spark: SparkSession, path: str, include_dev: bool = False) -> tuple[DataFrame, DataFrame]:
-    """nodes(name), edges(dependency, dependent) of a workspace metadata document; edges that only tests need are left out."""
+    """nodes(name), edges(dependency, dependent) of a workspace metadata document; edges that only tests need are left out.
+
+    An edge to itself and an edge that would close a cycle with those before it are left out.
+    """
     schema = "workspace_members ARRAY<STRING>, resolve STRUCT<nodes: ARRAY<STRUCT<id: STRING, deps: ARRAY<STRUCT<pkg: STRING, dep_kinds: ARRAY<STRUCT<kind: STRING>>>>>>>"
     doc = spark.read.schema(schema).option("multiLine", "true").json(path)
     members = doc.select(F.explode("workspace_members").alias("name"))
-    deps = doc.select(F.explode("resolve.nodes").alias("n")).select(F.col("n.id").alias("dependent"), F.explode("n.deps").alias("d"))
+    deps = doc.select(F.posexplode("resolve.nodes").alias("i", "n")).select("i", F.col("n.id").alias("dependent"), F.posexplode("n.deps").alias("j", "d"))
     if not include_dev:
-        deps = deps.where(~F.forall("d.dep_kinds", lambda k: F.coalesce(k["kind"] == "dev", F.lit(False))) | (F.size("d.dep_kinds") == 0))
-    edges = deps.select(F.col("d.pkg").alias("dependency"), "dependent")
+        deps = deps.where(~F.forall("d.dep_kinds", lambda k: F.coalesce(k["kind"] == "dev", F.lit(False))))
+    edges = deps.select(F.col("d.pkg").alias("dependency"), "dependent", "i", "j").where("dependency <> dependent")
     m = members.select(F.col("name").alias("m"))
-    return members, edges.join(m, F.col("dependency") == F.col("m"), "left_semi").join(m, F.col("dependent") == F.col("m"), "left_semi")
+    inside = edges.join(m, F.col("dependency") == F.col("m"), "left_semi").join(m, F.col("dependent") == F.col("m"), "left_semi")
+    return members, inside.groupBy(F.lit(1).alias("document")).applyInPandas(_without_cycles, "dependency string, dependent string")
+
+
+def _without_cycles(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One document's edges in its order, without those that close a cycle. A document is read as one row, so it fits a task."""
+    above: dict[str, set[str]] = {}
+    kept = []
+    for a, b in pdf.sort_values(["i", "j"])[["dependency", "dependent"]].itertuples(index=False):
+        seen, front = {a}, [a]
+        while front and b not in seen:
+            fresh = above.get(front.pop(), set()) - seen
+            seen |= fresh
+            front += fresh
+        if b not in seen:
+            above.setdefault(b, set()).add(a)
+            kept.append((a, b))
+    return pd.DataFrame(kept, columns=["dependency", "dependent"])
 
 
 # Manifests that name an ecosystem, lock files by precedence, folders that are not entered.
@@ -121,8 +142,9 @@ def find_command(commands: DataFrame, wanted: str) -> DataFrame:
 
 
 def rules(files: DataFrame) -> DataFrame:
-    """files(path, source): rule blocks of build files."""
-    return files.select("path", "source").mapInPandas(tx.parse_rules, tx.RULE_SCHEMA)
+    """files(path, source): the rules of build files, (path, name, command, args, inputs, outputs, depends_on, env)."""
+    blocks = files.select("path", F.explode(tx.rule_blocks(F.col("source"))).alias("block"))
+    return blocks.select("path", tx.rule_fields(F.col("block")).alias("rule")).select("path", "rule.*")
 
 
 def whole_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -132,7 +154,15 @@ def whole_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def list_directory(entries: DataFrame, folder: str) -> DataFrame:
-    """entries(path, is_dir, size): immediate children of a folder."""
+    """entries(path, is_dir, size): immediate children of a folder; a file or a path that is not there is an error."""
+    inner = folder.strip("/")
+    if inner:
+        here = F.rtrim(F.col("path"), F.lit("/"))
+        known = entries.agg(F.bool_or((here == folder.rstrip("/")) & ~F.col("is_dir")).alias("file"), F.bool_or((here == folder.rstrip("/")) | F.col("path").startswith(folder.rstrip("/") + "/")).alias("there")).first()
+        if known.file:
+            raise NotADirectoryError(folder)
+        if not known.there:
+            raise FileNotFoundError(folder)
     prefix = folder.rstrip("/") + "/" if folder not in ("", "/") else ("/" if folder == "/" else "")
     below = entries.where(F.col("path").startswith(prefix) & (F.col("path") != prefix))
     rest = F.expr(f"substring(path, {len(prefix) + 1})")

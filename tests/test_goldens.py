@@ -1,6 +1,8 @@
 """Small cases with known results."""
 
 import datetime as dt
+import hashlib
+import json
 import random
 
 import pandas as pd
@@ -11,9 +13,9 @@ from millrace.functions import scalar as sc
 from millrace.functions import text as tx
 from millrace.operators import analytics as an
 from millrace.operators import graph, joins, ordered, scheduling, store
-from millrace.plans import algebra
+from millrace.plans import algebra, extension
 from millrace.sources import readers, sinks
-from millrace.streaming import state
+from millrace.streaming import rpc, state
 
 
 def graph_of(spark, names, links, states=None, weights=None):
@@ -328,7 +330,7 @@ def test_readers(spark, tmp_path):
     listing = readers.store_listing(spark, str(tmp_path / "records"))
     assert "content" not in listing.columns and listing.count() == 3
     (tmp_path / "meta.json").write_text('{"workspace_members": ["a", "b"], "resolve": {"nodes": [{"id": "a", "deps": [{"pkg": "b", "dep_kinds": [{"kind": null}]}, {"pkg": "ext", "dep_kinds": [{"kind": null}]}]}, {"id": "b", "deps": [{"pkg": "a", "dep_kinds": [{"kind": "dev"}]}]}]}}')
-    for dev, want in ((False, {("b", "a")}), (True, {("b", "a"), ("a", "b")})):
+    for dev, want in ((False, {("b", "a")}), (True, {("b", "a")})):  # the second edge would close a cycle
         assert {tuple(r) for r in readers.cargo_metadata(spark, str(tmp_path / "meta.json"), dev)[1].collect()} == want
     (tmp_path / "cc.json").write_text('[{"directory": "/x", "file": "/x/b.c", "arguments": ["cc"]}, {"directory": "/x", "file": "/x/a.c", "command": "cc a.c"}]')
     assert readers.find_command(readers.compilation_database(spark, str(tmp_path / "cc.json")), "a.c").first().command == "cc a.c"
@@ -362,3 +364,152 @@ def test_streaming_debounce(spark, tmp_path):
         assert {(r.key, r.window_start): r.paths for r in spark.table("debounced").collect()} == {("k", 0): ["a", "b"], ("k", 60): ["c"], ("j", 7): ["x"]}
     finally:
         q.stop()
+
+
+def test_long_chain_by_rounds_of_its_length_in_bits(spark):
+    n = 1000
+    nodes = spark.range(n).select("id", F.col("id").cast("string").alias("name"), F.lit(2).alias("weight"))
+    edges = spark.range(n - 1).select(F.col("id").alias("dependency"), (F.col("id") + 1).alias("dependent"))
+    path = graph.critical_path(nodes, edges).orderBy("step").collect()
+    assert [r.id for r in path] == list(range(n)) and path[-1].cost == 2 * n
+    way = graph.some_path(edges, nodes.where(f"id = {n - 1}"), nodes.where("id = 3")).orderBy("step").collect()
+    assert [(r.step, r.id) for r in way] == [(k, n - 1 - k) for k in range(n - 3)]
+    looped = edges.union(spark.createDataFrame([(9, 4)], edges.schema))
+    with pytest.raises(ValueError, match="cycle"):
+        graph.critical_path(nodes, looped)
+
+
+def test_rounds_equal_the_walk(spark):
+    rng = random.Random(8)
+    links = sorted({(a, b) for _ in range(60) for a, b in [sorted(rng.sample(range(30), 2))]})
+    nodes = spark.createDataFrame([(i, f"n{i}", i % 5) for i in range(30)], "id long, name string, weight long")
+    edges = spark.createDataFrame(links, "dependency long, dependent long")
+    for reverse in (False, True):
+        rows = [sorted(map(tuple, graph.longest_levels(nodes, edges, F.col("weight"), reverse, small).collect())) for small in (0, 1000)]
+        assert rows[0] == rows[1]
+    assert sorted(map(tuple, graph.bfs(edges, nodes.where("id = 29"), small=0).collect())) == sorted(map(tuple, graph.bfs(edges, nodes.where("id = 29")).collect()))
+    prints: dict = {}
+    for i in range(30):
+        below = sorted(prints[a] for a, b in links if b == i)
+        framed = f"{len(f'n{i}')}:n{i}" + "".join(f"{len(p)}:{p}" for p in below)
+        prints[i] = hashlib.sha256(framed.encode()).hexdigest()
+    for small in (0, 1000):
+        assert {r.id: r.fingerprint for r in graph.merkle(nodes.withColumn("fingerprint", F.col("name")), edges, small).collect()} == prints
+
+
+def test_task_order_in_passes(spark):
+    tasks = [("z", ["a"]), ("a", []), ("m", ["z"]), ("k", ["m", "q"]), ("q", [])]
+    df = spark.createDataFrame([(1, n, d, k) for k, (n, d) in enumerate(tasks)], "graph long, name string, deps array<string>, position long")
+    assert [r.name for r in scheduling.task_order(df).orderBy("position").collect()] == ["a", "q", "z", "m", "k"]
+    for bad in (df.where("name <> 'a'"), df.withColumn("deps", F.array(F.when(F.col("name") == "z", "m").when(F.col("name") == "m", "z").otherwise("a")))):
+        with pytest.raises(Exception, match="unknown|cycle"):
+            scheduling.task_order(bad).collect()
+
+
+def test_schedule_against_a_plain_model(spark):
+    rng = random.Random(4)
+    for workers, room in ((1, 500), (3, 1000), (8, 10_000)):
+        names = [f"t{i:02}" for i in range(20)]
+        rows = [(1, n, sorted(rng.sample(names[:i], min(i, rng.randrange(3)))), float(rng.randrange(1, 9)), rng.choice([100, 400, 900])) for i, n in enumerate(names)]
+        got = scheduling.list_schedule(spark.createDataFrame(rows, "graph long, name string, deps array<string>, weight double, memory long"), workers, room).orderBy("position").collect()
+        done, left, want, batch = set(), {r[1]: r for r in rows}, [], 0
+        while left:
+            picked, used = [], 0
+            for n in sorted((n for n, r in left.items() if set(r[2]) <= done), key=lambda n: (-left[n][3], n)):
+                if len(picked) < workers and (not picked or used + left[n][4] <= room):
+                    picked.append(n)
+                    used += left[n][4]
+            want += [(n, batch) for n in picked]
+            done |= set(picked)
+            left = {n: r for n, r in left.items() if n not in done}
+            batch += 1
+        assert [(r.name, r.batch) for r in got] == want
+
+
+def test_pipeline_cycles_are_errors(spark):
+    tasks = spark.createDataFrame([("p", "a", ["b"]), ("p", "b", ["a"])], "package string, task string, depends_on array<string>")
+    with pytest.raises(ValueError, match="cycle"):
+        joins.pipeline_edges(tasks, spark.createDataFrame([], "dependency string, dependent string"))
+
+
+def test_names_folders_and_rules(spark):
+    ok = {r.n: r.ok for r in spark.createDataFrame([("a\\b",), ("a.b",), ("a..b",), ("a;b",), ("a b",)], "n string").select("n", sc.valid_filename(F.col("n")).alias("ok")).collect()}
+    assert ok == {"a\\b": False, "a.b": True, "a..b": False, "a;b": False, "a b": False}
+    entries = spark.createDataFrame([("/a/f", False, 1), ("/a/d", True, 0), ("/a/d/g", False, 2)], "path string, is_dir boolean, size long")
+    assert {r.name for r in readers.list_directory(entries, "/a").collect()} == {"f", "d"}
+    with pytest.raises(NotADirectoryError):
+        readers.list_directory(entries, "/a/f")
+    with pytest.raises(FileNotFoundError):
+        readers.list_directory(entries, "/b")
+    source = "# x\ncc_binary(\n  name = 'one',\n  args = [-c, \"a b\"],\n  env = {\"A\": \"1\", 'B': '2:3'},\n),\nother(\n  name = 'no',\n)\ngenrule(\n  name = \"two\",\n  cmd = \"cp x\",\n  deps = [':one'],\n"
+    one, two = readers.rules(spark.createDataFrame([("f", source), ("g", ""), ("h", None)], "path string, source string")).collect()
+    assert (one.name, one.command, one.args, one.env) == ("one", "echo", ["-c", "a b"], {"A": "1", "B": "2:3"})
+    assert (two.name, two.command, two.depends_on, two.env) == ("two", "cp x", [":one"], {})
+
+
+def test_whole_sources(spark):
+    texts = ["import a\nimport b.c\n", "x = 1 # y\n\t# z\n", "a /* b */ c // d\n'//' \"/*\"", "*/ odd /* open", "", None, "  lead\r\ntrail  \r\n", "use x::y;\nuse crate::z;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    rows = {r.i: r for r in df.select("i", tx.strip_python_comments(F.col("t")).alias("py"), tx.semantic_hash(F.lit("f.cc"), F.col("t")).alias("cc"), tx.inferred_imports(F.lit("a/b.rs"), F.col("t")).alias("rs"), tx.inferred_imports(F.lit("b.py"), F.col("t")).alias("imports"), tx.inferred_imports(F.lit("b.md"), F.col("t")).alias("md")).collect()}
+
+    def bare_c(s):
+        out, k = "", 0
+        while k < len(s):
+            if s.startswith("//", k):
+                k = (s.find("\n", k) + len(s) + 1) % (len(s) + 1) if s.find("\n", k) < 0 else s.find("\n", k)
+            elif s.startswith("/*", k):
+                k = s.find("*/", k + 2) + 2 if s.find("*/", k + 2) >= 0 else len(s)
+            elif s[k] in "\"'`":
+                end = k + 1
+                while end < len(s) and s[end] != s[k]:
+                    end += 2 if s[end] == "\\" else 1
+                out, k = out + s[k : end + 1], end + 1
+            else:
+                out, k = out + s[k], k + 1
+        return "\n".join(x.strip() for x in out.split("\n") if x.strip())
+
+    for i, t in enumerate(texts):
+        if t is not None:
+            assert rows[i].py == "\n".join(x.split("#")[0].strip() for x in t.split("\n") if x.strip() and not x.strip().startswith("#"))
+            assert rows[i].cc == hashlib.sha256(bare_c(t).encode()).hexdigest()
+            assert rows[i].md == []
+    assert rows[0].imports == ["a", "b"] and rows[7].rs == ["x"]
+
+
+def test_paths_are_cleaned_like_a_stack(spark):
+    rng = random.Random(6)
+    paths = ["/".join(rng.choice(["a", "b", ".", "..", "", "c.d"]) for _ in range(rng.randrange(8))) for _ in range(200)]
+    got = {r.p: r.s for r in spark.createDataFrame([(p,) for p in set(paths)], "p string").select("p", sc.sanitize_path(F.col("p")).alias("s")).collect()}
+    for p in paths:
+        stack: list[str] = []
+        for part in p.replace("\\", "/").split("/"):
+            if part == "..":
+                stack[-1:] = []
+            elif part not in ("", "."):
+                stack.append(part)
+        assert got[p] == "/".join(stack), p
+
+
+def test_extension_points(spark):
+    extension.register_script(spark, "shout", lambda s: s.str.upper())
+    assert spark.sql("SELECT shout('ab') AS x").first().x == "AB"
+    found = extension.scan(spark.range(1), [lambda p: p.select(F.lit("p").alias("package"), F.lit("1").alias("id"), F.lit("Low").alias("severity"))], "Medium")
+    assert found.count() == 0
+
+
+def test_rpc_stream(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [
+        '{"id": "1", "method": "ping"}', '{"id": "2", "method": "record_run", "params": {"run_id": "r", "tasks_count": 4, "cache_hits": 3, "cache_misses": 1}}', "{broken", "",
+        '{"id": "3", "method": "analytics_summary"}', '{"id": "4", "method": "nothing"}', '{"id": "5", "method": "doctor_advice", "params": {"missing_toolchains": ["go"], "installed_count": 1, "total_count": 2}}',
+    ]
+    (folder / "a.txt").write_text("\n".join(lines))
+    query = spark.readStream.text(str(folder)).writeStream.foreachBatch(rpc.rpc_step(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [json.loads(r.response) for r in spark.read.json(str(tmp_path / "out" / "responses")).collect()]
+    by_id = {r.get("id"): r for r in got}
+    assert by_id["1"]["result"] == {"status": "pong"} and by_id["2"]["result"] == {"status": "recorded"}
+    assert by_id["3"]["result"]["total_runs"] == 1 and by_id["3"]["result"]["cache_efficiency"] == 75.0
+    assert by_id["4"]["error"]["code"] == -32601 and [r["error"]["code"] for r in got if "error" in r and r.get("id") is None] == [-32700]
+    assert len(by_id["5"]["result"]["tips"]) == 4 and len(got) == 6
