@@ -18,6 +18,7 @@ from .durable import small_batches
 from .rowkeys import keyed
 
 SPACE = "▁"
+_INFINITY = float("inf")
 #: Words whose shortest path a task remembers at most.
 REMEMBERED = 400_000
 
@@ -35,7 +36,7 @@ class Spec:
 
 
 def read_spec(data: bytes) -> Spec:
-    """Reads a serialised model whose normaliser only marks spaces."""
+    """Reads a serialised model whose normaliser only marks spaces; one with a character map is refused, as no such map is at hand to test with."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
@@ -48,65 +49,89 @@ def read_spec(data: bytes) -> Spec:
     )
 
 
+class Normaliser:
+    """The normaliser as a sequential transducer over characters.
+
+    States: start, after a space, inside. A space is read as the mark; of spaces in a row only the first is written,
+    and none at the start, if spaces are squeezed; the first character may write a mark in front of itself. All
+    other arcs copy their character. Runs that stay in a state are followed at once.
+    """
+
+    START, SPACED, INSIDE = range(3)
+
+    def __init__(self, dummy_prefix: bool, squeeze: bool):
+        front = SPACE if dummy_prefix else ""
+        #: (state, whether a space is read): the state that follows and what is written; a copied character is written behind it.
+        self.arcs = {
+            (self.START, False): (self.INSIDE, front),
+            (self.START, True): (self.START, "") if squeeze else (self.INSIDE, front + SPACE),
+            (self.INSIDE, False): (self.INSIDE, ""),
+            (self.INSIDE, True): (self.SPACED, "") if squeeze else (self.INSIDE, SPACE),
+            (self.SPACED, False): (self.INSIDE, SPACE),
+            (self.SPACED, True): (self.SPACED, ""),
+        }
+
+    def apply(self, text: str) -> str:
+        if not text:
+            return ""
+        state, written = self.arcs[self.START, text[0] == " "]
+        out = [written, "" if text[0] == " " else text[0]]
+        if self.arcs[self.INSIDE, True][0] == self.INSIDE == state:  # all arcs loop here, so the state is a map of characters
+            return "".join(out) + text[1:].replace(" ", self.arcs[self.INSIDE, True][1])
+        for run in re.findall(" +|[^ ]+", text[1:]):
+            state, written = self.arcs[state, run[0] == " "]
+            out += (written, "" if run[0] == " " else run)  # a second space of a run writes nothing more
+        return "".join(out)
+
+
+Arc = tuple[str, float, tuple[int, ...]]
+
+
 class Transducer:
-    """Normaliser, pieces and byte fallback compiled for composition with an input.
+    """Normaliser, pieces, byte fallback and, for a BPE model, the grammar of its merges, composed with an input.
 
-    The pieces form a trie over characters. Composed with an input, a path through the trie from one
-    position to a later one is an arc that emits a piece, and a character that no piece covers has an arc
-    that emits its bytes. In the tropical semiring a path's weight is the sum, the best one the least.
+    The pieces form a trie over characters: a path from its root to a piece is an arc that reads the piece and
+    writes its id, and a character that is no piece has an arc that writes its bytes (or the unknown piece).
+    Weights are of the tropical semiring: a path's weight is the sum of its arcs', the best one the least.
 
-    For a unigram model an arc weighs the piece's negative log probability. A BPE model has no such sums: its
-    result is the one segmentation that its merges leave. There the state also remembers the piece that led
-    to it, and two pieces in a row are an arc only if merging the characters of both leaves just these two.
-    Merges never cross the pieces of a result, and a wrong border always shows on some pair beside it, so exactly one
-    path is left; every arc weighs one.
+    For a unigram model an arc weighs the piece's negative log probability. A BPE model's scores are the order of
+    its merges and no sums, so there every arc weighs one and the pieces are composed with a grammar: its state is
+    the piece before, and a pair of pieces is an arc of it, of weight zero, where merging the characters of both leaves
+    just these two; any other pair has the weight infinity. Merges never cross the pieces of a result, and a wrong
+    border always shows on some pair beside it, so exactly one path of the composition has a finite weight.
     """
 
     def __init__(self, spec: Spec):
         self.spec = spec
+        self.normaliser = Normaliser(spec.dummy_prefix, spec.squeeze_spaces)
         usable = [i for i, k in enumerate(spec.kinds) if k in (1, 4)]
-        self.ids = {spec.pieces[i][0]: i for i in usable}
         self.scores = {spec.pieces[i][0]: spec.pieces[i][1] for i in usable}
         self.unknown = spec.kinds.index(2)
         self.bytes = [next((i for i, (p, _) in enumerate(spec.pieces) if spec.kinds[i] == 6 and p == f"<0x{b:02X}>"), self.unknown) for b in range(256)]
         self.surfaces = [_surface(p, k) for (p, _), k in zip(spec.pieces, spec.kinds, strict=True)]
         self.trie: dict = {}
-        for piece in self.ids:
+        for i in usable:
+            piece, score = spec.pieces[i]
             node = self.trie
             for c in piece:
                 node = node.setdefault(c, {})
-            node[""] = piece
+            node[""] = (piece, 1.0 if spec.merges else -score, (i,))
         #: Number of each character that pieces use (0: none does), and which may stand next to which inside a piece.
-        letters = {c: i for i, c in enumerate(dict.fromkeys(c for p in self.ids for c in p), 1)}
+        letters = {c: i for i, c in enumerate(dict.fromkeys(c for p in self.scores for c in p), 1)}
         self.letter = np.zeros(0x110000, np.uint16)
         self.letter[[ord(c) for c in letters]] = list(letters.values())
         self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
-        for p in self.ids:
+        for p in self.scores:
             for x, y in zip(p, p[1:]):
                 self.joined[letters[x], letters[y]] = True
-        least = min(self.scores.values(), default=0.0)
-        self.unknown_weight = 10.0 - least
+        self.unknown_weight = 1.0 if spec.merges else 10.0 - min(self.scores.values(), default=0.0)
         self._pairs: dict[tuple[str, str], bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
 
-    def normalise(self, text: str) -> str:
-        """Marks spaces; the empty text stays empty."""
-        if self.spec.squeeze_spaces:
-            text = re.sub(" +", " ", text).strip(" ")
-        if text and self.spec.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", SPACE)
-
-    def _arcs(self, text: str, at: int) -> Iterator[tuple[str, int]]:
-        node, k, single = self.trie, at, False
-        while k < len(text) and text[k] in node:
-            node = node[text[k]]
-            k += 1
-            if "" in node:
-                single |= k == at + 1
-                yield node[""], k
-        if not single:
-            yield text[at], at + 1
+    def _fallback(self, c: str) -> Arc:
+        """The arc of a character that is no piece."""
+        ids = tuple(self.bytes[b] for b in c.encode("utf-8", "replace")) if self.spec.byte_fallback else (self.unknown,)
+        return c, self.unknown_weight, ids
 
     def _merged(self, text: str) -> list[str]:
         """What the merges leave of a short string: the best pair first, of equal ones the leftmost."""
@@ -119,78 +144,61 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def _follows(self, a: str, b: str) -> bool:
-        got = self._pairs.get((a, b))
-        if got is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            got = self._pairs[a, b] = self._merged(a + b) == ([a, b] if a else [b])
+        """Whether the grammar has the pair; each is worked out once."""
+        if len(self._pairs) >= REMEMBERED:
+            self._pairs.clear()
+        got = self._pairs[a, b] = self._merged(a + b) == ([a, b] if a else [b])
         return got
 
-    def _ends(self, text: str, at: int) -> list[int]:
-        """Where the arcs that start at a position end, the nearest first."""
-        node, out = self.trie, []
-        for k in range(at, len(text)):
-            node = node.get(text[k])
-            if node is None:
-                break
-            if "" in node:
-                out.append(k + 1)
-        if not out or out[0] != at + 1:
-            out.insert(0, at + 1)
-        return out
-
-    def _by_merges(self, text: str) -> list[str]:
-        """Shortest path over (position, piece before), depth first with the longest piece in front.
-
-        A pair of pieces is tested once; a state that led nowhere is not entered again.
+    def _shortest(self, text: str) -> list[Arc]:
+        """Tropical shortest path, position by position; of equal paths the first stays.
+
+        The grammar of a unigram model has one state. That of a BPE model has many, but only one of them has a finite
+        weight at each position: the last piece that the merges leave of the text before it. So the best weight and the arc that
+        brought it are kept once a position, and an arc into a position that has its path is not tried.
         """
-        n, at, before, pairs = len(text), 0, "", self._pairs
-        path: list[str] = []
-        behind: list[tuple[int, str, list[int]]] = []
-        dead: set[tuple[int, str]] = set()
-        ends = self._ends(text, 0)
-        while at < n:
-            while ends:
-                to = ends.pop()
-                piece = text[at:to]
-                ok = pairs.get((before, piece))
-                if (self._follows(before, piece) if ok is None else ok) and (to, piece) not in dead:
-                    behind.append((at, before, ends))
-                    path.append(piece)
-                    at, before = to, piece
-                    ends = self._ends(text, at) if at < n else []
-                    break
-            else:
-                dead.add((at, before))
-                path.pop()
-                at, before, ends = behind.pop()
-        return path
-
-    def _by_weight(self, text: str) -> list[str]:
-        """Shortest path over positions; of equal paths the one that reaches a position first stays."""
-        n = len(text)
-        best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
+        merges, pairs, root, n = self.spec.merges, self._pairs, self.trie, len(text)
+        best = [_INFINITY] * (n + 1)
+        best[0] = 0.0
+        came: list[Arc] = [("", 0.0, ())] * (n + 1)
         for at in range(n):
-            for piece, to in self._arcs(text, at):
-                w = best[at] + (-self.scores[piece] if piece in self.scores else self.unknown_weight)
-                if w < best[to]:
-                    best[to], back[to] = w, at
+            here = best[at]
+            if here == _INFINITY:
+                continue
+            before, node, k, single = came[at][0], root, at, False
+            while True:  # along the trie; a character that is no piece has its arc last
+                node = node.get(text[k]) if k < n else None
+                if node is None:
+                    if single:
+                        break
+                    arc, to, single = self._fallback(text[at]), at + 1, True
+                else:
+                    k += 1
+                    arc, to = node.get(""), k
+                    if arc is None:
+                        continue
+                    single |= to == at + 1
+                if merges:
+                    if best[to] == _INFINITY:
+                        ok = pairs.get((before, arc[0]))
+                        if self._follows(before, arc[0]) if ok is None else ok:
+                            best[to], came[to] = here + 1.0, arc
+                elif here + arc[1] < best[to]:
+                    best[to], came[to] = here + arc[1], arc
+                if node is None:
+                    break
         path, at = [], n
         while at:
-            path.append(text[back[at] : at])
-            at = back[at]
+            path.append(came[at])
+            at -= len(came[at][0])
         return path[::-1]
 
     def _emitted(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in (self._by_merges if self.spec.merges else self._by_weight)(text):
-            if piece in self.ids:
-                out.append(self.ids[piece])
-            elif self.spec.byte_fallback:
-                out += [self.bytes[b] for b in piece.encode("utf-8", "replace")]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return tuple(out)
+        """What the shortest path writes; unknown pieces in a row are one."""
+        ids = [i for _, _, written in self._shortest(text) for i in written]
+        if self.spec.byte_fallback:
+            return tuple(ids)
+        return tuple(i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != i)
 
     def _stretches(self, text: str) -> list[str]:
         """The text cut wherever no piece holds the two characters beside the cut: no path crosses there, so each part stands for itself."""
@@ -201,7 +209,7 @@ class Transducer:
 
     def encode(self, text: str) -> list[int]:
         """Ids of the shortest path through the composition of normaliser, pieces and byte fallback with the text."""
-        marked = self.normalise(text)
+        marked = self.normaliser.apply(text)
         if not marked:
             return []
         if not self.spec.byte_fallback:  # unknown characters in a row are one, so they must meet

@@ -484,7 +484,39 @@ def test_unigram_shortest_path():
     rng = random.Random(3)
     for _ in range(60):
         t = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
-        assert sum(-m.scores[p] for p in m._by_weight(t)) == pytest.approx(best(t))
+        assert sum(weight for _, weight, _ in m._shortest(t)) == pytest.approx(best(t))
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize(("fallback", "prefix", "squeeze"), [(True, True, False), (True, False, True), (False, True, True), (False, False, False)])
+def test_handmade_models_equal_the_library(kind, fallback, prefix, squeeze):
+    """Unigram and BPE models put together here (none is trained): weights, fallback and normaliser against the library."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng = random.Random(kind * 10 + fallback)
+    m = pb.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = kind, fallback
+    n = m.normalizer_spec
+    n.name, n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces = "identity", prefix, squeeze, True
+    m.trainer_spec.vocab_size = 0
+    for piece, score, k in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *[(f"<0x{b:02X}>", 0, 6) for b in range(256 if fallback else 0)]]:
+        m.pieces.add(piece=piece, score=score, type=k)
+    known = ["\u2581", "a", "b", "c", "d", "\u00e9"]
+    rank = 0
+    for c in known:
+        m.pieces.add(piece=c, score=-(100 + len(known)) if kind == 2 else -rng.uniform(4, 6), type=1)
+    for _ in range(40):
+        made = rng.choice(known) + rng.choice(known)
+        if made not in known:
+            known.append(made)
+            rank += 1
+            m.pieces.add(piece=made, score=-rank if kind == 2 else -rng.uniform(3, 9), type=1)
+    data = m.SerializeToString()
+    sp, own = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_fst.Transducer(sentencepiece_fst.read_spec(data))
+    for _ in range(400):
+        t = "".join(rng.choice("aaabbccd\u00e9  xy") for _ in range(rng.randrange(25)))
+        assert own.encode(t) == sp.encode(t), t
 
 
 def test_tokens_awkward(spark):
