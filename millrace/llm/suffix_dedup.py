@@ -17,8 +17,8 @@ from .durable import durable, small_batches
 from .rowkeys import keyed
 
 LENGTH, GRAM = 100, 32
-#: Bytes of segments indexed together, and the number of segments round one gram from which windows are dealt singly.
-INDEX_BYTES, HOT_SEGMENTS = 1 << 20, 20_000
+#: Bytes of segments indexed together, and the number of segments round one gram that one index takes.
+INDEX_BYTES, PART_SEGMENTS = 1 << 20, 8_000
 _POSITION_BITS = np.uint64(28)
 
 
@@ -205,66 +205,60 @@ def _segments(length: int, gram: int):
     return run
 
 
-_SPANS = "doc long, start int, stop int"
-
-
 def _window_runs(hit: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs of set positions, each as the bytes its windows cover."""
     edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1
 
 
+_FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "one", "two")] + [T.StructField(c, T.IntegerType()) for c in ("start", "stop")])
+
+
 def _indexed(length: int, index_bytes: int):
-    """Rows (gram, doc, start, piece) in order: indexes whole groups of a gram, several at a time."""
+    """Rows (gram, parts, part, doc, start, piece) in order: indexes whole groups of a gram, several at a time, and each part of a divided gram by itself.
 
-    def marked(group: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    Gives the spans that repeat. Of a divided gram it also gives, as two hashes, each window that is the first of
+    its kind in its part, so that the firsts of all parts can be compared; their stop is null.
+    """
+    table = np.random.default_rng(7).permutation(256).astype(np.uint8)
+
+    def marked(group: list[tuple[int, int, bytes]], divided: bool) -> pa.RecordBatch:
         bounds = np.concatenate(([0], np.cumsum([len(x[2]) for x in group]))).astype(np.int64)
-        hit = repeated_windows(np.frombuffer(b"".join(x[2] for x in group), np.uint8), bounds, length)
+        data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
+        docs, starts = np.array([x[0] for x in group], np.int64), np.array([x[1] for x in group], np.int64) - bounds[:-1]
+        hit = repeated_windows(data, bounds, length)
         a, b = _window_runs(hit, length)
         k = np.searchsorted(bounds, a, "right") - 1
-        docs, starts = np.array([x[0] for x in group], np.int64)[k], np.array([x[1] for x in group], np.int64)[k] - bounds[k]
-        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array((starts + a).astype(np.int32)), pa.array((starts + b).astype(np.int32))], names=["doc", "start", "stop"])
+        empty = np.zeros(0, np.int64)
+        firsts, one, two = empty, empty, empty
+        if divided:
+            room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(data))
+            firsts = np.flatnonzero(~hit & (room >= length))
+            one, two = (span_hashes(prefix_hashes(x), firsts, firsts + length).view(np.int64) for x in (data, table[data]))
+        f = np.searchsorted(bounds, firsts, "right") - 1
+        spans, windows = np.zeros(len(a), bool), np.ones(len(firsts), bool)
+        none = np.concatenate((~spans, ~windows))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate((docs[k], docs[f]))), *(pa.array(np.concatenate((np.zeros(len(a), np.int64), h)), mask=none) for h in (one, two)),
+                pa.array(np.concatenate((starts[k] + a, starts[f] + firsts)).astype(np.int32)), pa.array(np.concatenate((starts[k] + b, np.zeros(len(firsts), np.int64))).astype(np.int32), mask=~none),
+            ],
+            names=_FOUND.names,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, bytes]] = []
-        size, last = 0, None
+        size, last, divided = 0, None, False
         for batch in batches:
-            for gram, doc, start, piece in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "start", "piece")), strict=True):
-                if gram != last and size >= index_bytes:
-                    yield marked(group)
+            for gram, parts, part, doc, start, piece in zip(*(batch.column(c).to_pylist() for c in ("gram", "parts", "part", "doc", "start", "piece")), strict=True):
+                if (gram, part) != last and group and (divided or parts > 1 or size >= index_bytes):
+                    yield marked(group, divided)
                     group, size = [], 0
-                last = gram
+                last, divided = (gram, part), parts > 1
                 group.append((doc, start, piece))
                 size += len(piece)
         if group:
-            yield marked(group)
-
-    return run
-
-
-def _windows(length: int):
-    """One row for each window of the pieces, as two hashes; windows that stand earlier in the same batch are known."""
-    table = np.random.default_rng(7).permutation(256).astype(np.uint8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = np.array([len(x) for x in batch.column("piece").to_pylist()], np.int64)
-            data = np.frombuffer(b"".join(batch.column("piece").to_pylist()), np.uint8)
-            bounds = np.concatenate(([0], np.cumsum(sizes)))
-            row = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
-            at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0))
-            begin = bounds[row] + at
-            one, two = (span_hashes(prefix_hashes(x), begin, begin + length).view(np.int64) for x in (data, table[data]))
-            docs = batch.column("doc").to_numpy()[row]
-            starts = batch.column("start").to_numpy()[row] + at
-            order = np.lexsort((starts, docs, two, one))
-            a, b = one[order], two[order]
-            known = np.zeros(len(order), bool)
-            known[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            a = np.where(known, mix((docs[order] * 1_000_003 + starts[order]).view(np.uint64)).view(np.int64), a)
-            yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(a), pa.array(b), pa.array(docs[order]), pa.array(starts[order].astype(np.int32))], names=["known", "one", "two", "doc", "start"])
+            yield marked(group, divided)
 
     return run
 
@@ -301,15 +295,15 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPAN_LIST = "array<struct<start:int,stop:int>>"
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index_bytes: int = INDEX_BYTES, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, index_bytes: int = INDEX_BYTES, part_segments: int = PART_SEGMENTS) -> DataFrame:
     """Rows (doc, n_bytes, spans, kept) for docs (doc long, unique; text): the byte spans covered by strings of `length` that also start earlier, and the other bytes.
 
     Equal windows have the same least gram at the same place, so the windows round each such gram form a segment
     of under 2 x length bytes, and only segments round the same gram can share a window. Segments equal to an
     earlier one repeat whole: this shows within a chunk at once, else after one shuffle of hashes.
     Of segments that differ, those whose gram occurs in several go on with their bytes to a run-length index.
-    A gram with more than hot_segments segments is not indexed in one task: its windows are compared one
-    by one, as hashes, which gives the same spans.
+    A gram with more than part_segments segments is dealt to parts by document, each with an index of its own; what is
+    the first of its kind in its part is then compared with the firsts of the other parts, window by window.
     """
     small_batches(docs.sparkSession)
     texts = docs.select("doc", "text")
@@ -326,21 +320,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
     per_doc = durable(
         placed.groupBy("doc").agg(
             F.collect_list(F.when(F.col("again"), F.struct("start", "stop"))).alias("whole"),
-            F.collect_list(F.when(~F.col("again"), F.struct("gram", "start", "stop", (F.col("many") > hot_segments).alias("hot")))).alias("open"),
+            F.collect_list(F.when(~F.col("again"), F.struct("gram", "start", "stop", F.ceil(F.col("many") / part_segments).alias("parts")))).alias("open"),
         )
     )
-    cut = F.transform("open", lambda s: F.struct(s["gram"].alias("gram"), s["start"].alias("start"), s["hot"].alias("hot"), F.col("text").cast("binary").substr(s["start"] + 1, s["stop"] - s["start"]).alias("piece")))
+    cut = F.transform("open", lambda s: F.struct(s["gram"].alias("gram"), s["start"].alias("start"), s["parts"].alias("parts"), F.pmod(F.xxhash64("doc"), s["parts"]).alias("part"), F.col("text").cast("binary").substr(s["start"] + 1, s["stop"] - s["start"]).alias("piece")))
     pieces = texts.join(per_doc.where(F.size("open") > 0).select("doc", "open"), "doc").select("doc", cut.alias("cut")).select("doc", F.inline("cut"))
-    indexed = (
-        pieces.where("NOT hot").select("gram", "doc", "start", "piece").repartition("gram").sortWithinPartitions("gram", "doc", "start")
-        .mapInArrow(_indexed(length, index_bytes), _SPANS)
+    indexed = durable(
+        pieces.select("gram", "parts", "part", "doc", "start", "piece").repartition("gram", "part").sortWithinPartitions("gram", "part", "doc", "start")
+        .mapInArrow(_indexed(length, index_bytes), _FOUND)
     )
-    single = pieces.where("hot").select("doc", "start", "piece").mapInArrow(_windows(length), "known boolean, one long, two long, doc long, start int")
-    again = (
-        single.withColumn("k", F.row_number().over(Window.partitionBy("one", "two").orderBy("known", "doc", "start")))
-        .where("known OR k > 1").select("doc", "start", (F.col("start") + length).alias("stop"))
+    later = (
+        indexed.where("stop IS NULL").withColumn("k", F.row_number().over(Window.partitionBy("one", "two").orderBy("doc", "start")))
+        .where("k > 1").select("doc", "start", (F.col("start") + length).alias("stop"))
     )
-    found = indexed.unionByName(again).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    found = indexed.where("stop IS NOT NULL").select("doc", "start", "stop").unionByName(later).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     empty = F.array().cast(_SPAN_LIST)
     spans = F.concat(F.coalesce("whole", empty), F.coalesce("found", empty)).alias("spans")
     return (

@@ -60,9 +60,9 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_repeated_passages(spark, corpus, hot):
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(table(spark, corpus), hot_segments=hot, index_bytes=2000).collect()}
+@pytest.mark.parametrize("most", [8_000, 5, 2])
+def test_repeated_passages(spark, corpus, most):
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(table(spark, corpus), part_segments=most, index_bytes=2000).collect()}
     want = brute_repeats(corpus)
     assert {i: bytes(r.kept) for i, r in got.items()} == want
     for i, t in corpus:
@@ -70,6 +70,17 @@ def test_repeated_passages(spark, corpus, hot):
         assert all(a.stop < b.start for a, b in zip(got[i].spans, got[i].spans[1:]))
 
 
+def test_repeats_awkward(spark):
+    long = "a sentence that is long enough to stand for a passage, as it has more than a hundred bytes in all, see here"
+    rows = [(3, long), (3, long), (3, "other " + long), (None, long), (None, None), (7, ""), (8, None), (9, "x " * 500)]
+    got = [(r.doc_id, r.n_bytes, bytes(r.kept).decode(), len(r.spans)) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect()]
+    assert len(got) == 7  # the repeated row is one document
+    assert (None, len(long), long, 0) in got  # a null id comes first
+    assert sorted(x for x in got if x[0] == 3) == [(3, len(long), "", 1), (3, len(long) + 6, "other ", 1)]
+    assert {x[1:] for x in got if x[0] in (7, 8)} == {(0, "", 0)} and [x[2] for x in got if x[0] == 9] == ["x "]
+    assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
+
+
 def test_run_length_index_matches_brute_force():
     rng = random.Random(1)
     for t in range(120):
