@@ -19,8 +19,8 @@ MIN_SHARE, MIN_TOKENS = 0.5, 10
 MIN_STRETCH = 20
 #: Diagonals so far from another one add the item tokens that only they hold, for inserted or left out words.
 BAND = 16
-#: Seeds that one pass broadcasts at most; a larger benchmark is searched in several passes.
-MAX_SEEDS = 1_000_000
+#: Seeds that one pass broadcasts at most; a larger benchmark is searched in several passes. Longer items are divided.
+MAX_SEEDS, ITEM_PART = 1_000_000, 50_000
 
 
 def _tokens(text: Column) -> Column:
@@ -47,7 +47,14 @@ def _located(df: DataFrame, keep: list[str], tokens: str, at: str) -> DataFrame:
     every element, below the projection; its null rows match no seed.
     """
     n = F.size(tokens) - F.lit(SPAN - 1)
-    return df.select(*keep, tokens, F.posexplode_outer("seeds").alias("k", "seed")).select(*keep, tokens, "seed", F.pmod(F.col("k"), n).alias(at))
+    return df.select(*keep, tokens, F.posexplode_outer("seeds").alias("k", "seed")).select(*keep, tokens, "seed", F.pmod(F.col("k"), n).alias(at), F.floor(F.col("k") / n).cast("int").alias("mask"))
+
+
+def _again(masks: tuple[tuple[int, ...], ...]) -> Column:
+    """Whether the hit one token earlier on the diagonal, under the same mask, is a hit too: the first of a run stands for all."""
+    same = lambda o: F.get("doc", F.col("pos") + (o - 1)).eqNullSafe(F.get("item", F.col("item_pos") + (o - 1)))
+    runs = [(F.col("mask") == k) & reduce(Column.__and__, [same(o) for o in m]) for k, m in enumerate(masks)]
+    return (F.col("pos") > 0) & (F.col("item_pos") > 0) & reduce(Column.__or__, runs)
 
 
 def _stretch(agree: Column) -> Column:
@@ -75,21 +82,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     outnumber the others by min_stretch: 20 words copied verbatim, 40 with every fourth one substituted.
 
     Documents are not shuffled: the item seeds are counted and broadcast in blocks of at most max_seeds, one
-    pass each. Only verified diagonals are shuffled, after a partial aggregation.
+    pass each, and beside them each of the block's items once, so what is broadcast is in proportion to the tokens.
+    Of a run of hits on a diagonal the first is verified. Only verified diagonals are shuffled, after a partial
+    aggregation.
     Items of fewer than min_tokens tokens count where all tokens agree on one diagonal; those of fewer than
     MIN_ITEM, and null and empty texts, never match. Repeated rows
-    and repeated items give one row for each distinct (id, text, item_id). An empty side gives no rows.
+    and repeated items give one row for each distinct (id, text, item_id); a null id is an id like others, and a null
+    item_id too. An empty side gives no rows.
     """
-    items = benchmark.select("item_id", _tokens(F.col("text")).alias("item")).where(F.size("item") >= MIN_ITEM).withColumn("seeds", _seeds("item", MASKS))
-    sown = _located(items, ["item_id"], "item", "item_pos").select("item_id", "seed", "item_pos", "item").where("seed IS NOT NULL").distinct()
+    items = benchmark.select("item_id", _tokens(F.col("text")).alias("item")).where(F.size("item") >= MIN_ITEM).withColumn("item_key", F.xxhash64(F.lit(1), "item_id", "item"))
+    keyed = items.select("item_key", "item_id", "item").distinct()
+    sown = _located(keyed.withColumn("seeds", _seeds("item", MASKS)), ["item_key"], "item", "item_pos").select("item_key", "seed", "item_pos", "mask").where("seed IS NOT NULL").distinct()
     n = sown.count()
     blocks = max(1, -(-n // max_seeds))
+    dealt = lambda part: F.pmod(F.xxhash64("item_key", part.cast("long")), F.lit(blocks))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), _tokens(F.col(f"`{text_col}`")).alias("doc"))
-    spread = _located(base.withColumn("seeds", _seeds("doc", MASKS)), ["id", "text_hash"], "doc", "pos")
+    spread = _located(base.withColumn("seeds", _seeds("doc", MASKS)), ["id", "text_hash"], "doc", "pos").withColumnRenamed("mask", "doc_mask")
 
     def one_pass(b: int) -> DataFrame:
-        part = sown.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        hits = spread.join(F.broadcast(part), "seed")
+        part = sown.where(dealt(F.floor(F.col("item_pos") / ITEM_PART)) == b)
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size("item") / ITEM_PART).cast("int")), lambda k: F.pmod(F.xxhash64("item_key", k.cast("long")), F.lit(blocks)))
+        texts = keyed.where(F.array_contains(parts, F.lit(b).cast("long")))
+        hits = spread.join(F.broadcast(part), "seed").join(F.broadcast(texts), "item_key").where(~_again(MASKS))
         size = F.size("item")
         same = F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.get("doc", F.col("pos") - F.col("item_pos") + k) == F.get("item", k))
         return hits.select("id", "text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("doc_pos"), size.alias("item_tokens"), same.alias("agree"))

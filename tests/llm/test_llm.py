@@ -326,6 +326,21 @@ def test_seeds_hit_short_and_regularly_substituted_items(spark):
     assert decontaminate.contaminated(table(spark, near), bench).count() == 0
 
 
+def test_contaminated_awkward(spark, monkeypatch):
+    """A very long item in several blocks, null ids, repeated rows and items, and a very long text."""
+    monkeypatch.setattr(decontaminate, "ITEM_PART", 3000)
+    rng = random.Random(21)
+    long, short = words(rng, 20_000, 10**6), words(rng, 30, 10**6)
+    items = [(1, long), (1, long), (2, short), (2, "other " + short), (None, short)]
+    docs = [(1, long), (1, long), (None, short), (None, short), (None, None), (5, words(rng, 30_000, 10**6) + " " + short), (6, " ".join(long.split()[9000:9300]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (10**6, 20_000):
+        got = sorted((r.doc_id or 0, r.item_id or 0, r.item_tokens, r.matched) for r in decontaminate.contaminated(table(spark, docs), bench, max_seeds=most).collect())
+        assert {x[:2] for x in got} == {(0, 0), (0, 2), (1, 1), (5, 0), (5, 2), (6, 1)} and (1, 1, 20_000, 20_000) in got and len(got) == 6
+    clean = decontaminate.drop_contaminated(table(spark, docs), bench).collect()
+    assert [(r.doc_id, r.text) for r in clean] == [(None, None)]
+
+
 # --- html
 
 
