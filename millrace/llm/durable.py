@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """This application's folder below the one the cluster names in spark.checkpoint.dir.
+
+    Where that is unset: below the warehouse, which all executors share, or on a local master a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
+    elif not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/.millrace"
     root = f"{folder}/millrace-{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
@@ -23,6 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _ROOTS: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def _remove(spark: SparkSession, root: str) -> None:
