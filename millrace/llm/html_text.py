@@ -17,7 +17,7 @@ from .durable import small_batches
 # Fixed values of the HTML standard: element groups that steer tree building and rendering.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style head title meta link template noscript iframe noembed noframes object video audio canvas svg math datalist select textarea map area base param source track dialog".split())
+UNSEEN = frozenset("script style head title meta link template noscript iframe noembed noframes object video audio canvas datalist map area base param source track dialog desc metadata defs symbol annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split()
@@ -47,6 +47,8 @@ _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
+#: Inputs that show their value.
+SHOWN_INPUTS = frozenset("text search url tel email number submit button reset".split())
 #: Elements open at once; deeper ones are rendered in the deepest, as browsers do.
 DEEPEST = 512
 
@@ -135,8 +137,6 @@ def _visible(node: Node) -> bool:
     a = node.attributes
     if node.name in UNSEEN or "hidden" in a:
         return node.name == "dialog" and "open" in a and "hidden" not in a
-    if node.name == "input":
-        return False
     return not ("style" in a and _HIDDEN.search(a["style"]))
 
 
@@ -246,7 +246,12 @@ def _span(value: str | None) -> int:
 
 
 def render(node: Node, depth: int = 0) -> str:
-    """All visible text below node. Blocks stand on lines of their own, paragraphs and headings between blank lines."""
+    """All visible text below node. Blocks stand on lines of their own, paragraphs and headings between blank lines.
+
+    As a browser shows them: the text of drawings and formulas, the chosen option of a drop-down and all options of a
+    list box, what a text area, a text field or a button holds. Content that only stands in for media is not shown.
+    Tables nested more than eight deep are rendered row by row, without padded cells.
+    """
     page = _Page()
     _walk(node, page, depth, False, [])
     return page.value()
@@ -269,6 +274,26 @@ def _walk(node: Node, page: _Page, depth: int, pre: bool, lists: list[list]) ->
             page.line(2)
         elif name == "img":
             page.flow(c.attributes.get("alt", ""))
+        elif name == "input":
+            if c.attributes.get("type", "text").strip().lower() in SHOWN_INPUTS and c.attributes.get("value", "").strip():
+                page.space = True
+                page.flow(c.attributes["value"])
+                page.space = True
+        elif name == "textarea":
+            page.space = True
+            page.text(html.unescape("".join(x for x in c.children if isinstance(x, str))).replace("\r\n", "\n").strip("\n"))
+            page.space = True
+        elif name == "select" and not ("multiple" in c.attributes or _span(c.attributes.get("size")) > 1):
+            page.space = True
+            options = [x for x in _options(c) if _visible(x)]
+            if options:
+                chosen = next((x for x in reversed(options) if "selected" in x.attributes), options[0])
+                page.flow(" ".join(render(chosen, depth).split()))
+            page.space = True
+        elif name == "text":  # of a drawing
+            page.space = True
+            _walk(c, page, depth, pre, lists)
+            page.space = True
         elif name == "table" and depth < 8:
             page.line(2)
             page.text(_table(c, depth))
@@ -319,6 +344,15 @@ def _walk(node: Node, page: _Page, depth: int, pre: bool, lists: list[list]) ->
             _walk(c, page, depth, pre, lists)
 
 
+def _options(node: Node) -> Iterator[Node]:
+    for c in node.children:
+        if isinstance(c, Node):
+            if c.name == "option":
+                yield c
+            else:
+                yield from _options(c)
+
+
 def visible_text(source: str | None) -> str:
     """Text of one page; null and empty pages have none."""
     return render(build_tree(source)) if source else ""
