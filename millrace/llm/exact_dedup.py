@@ -37,20 +37,20 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lambda i: F.expr("cast(t as binary)").substr(i * block_bytes + 1, F.lit(block_bytes)),
     )
     left = durable(
-        base.join(heads, ["n_bytes", "head"], "left_semi")
+        base.join(heads.hint("merge"), ["n_bytes", "head"], "left_semi")
         .select(F.monotonically_increasing_id().alias("rid"), "id", F.sha2("t", 256).alias("text_sha256"), "n_bytes", cut.alias("blocks"))
     )
     blocks = left.select("rid", F.posexplode("blocks").alias("idx", "block"))
     names = _named(blocks.select("block"))
-    level = durable(blocks.join(names, "block").select("rid", "idx", "name"))
+    level = durable(blocks.join(names.hint("merge"), "block").select("rid", "idx", "name"))
     longest = left.agg(F.max("n_bytes")).first()[0] or 0
     for _ in range(math.ceil(math.log2(max(1, -(-longest // block_bytes))))):
         half = F.floor(F.col("idx") / 2).cast("int")
         side = lambda k: F.coalesce(F.max(F.when(F.col("idx") % 2 == k, F.col("name"))), F.lit(-1))
         pairs = level.groupBy("rid", half.alias("idx")).agg(side(0).alias("left"), side(1).alias("right"))
         names = _named(pairs.select("left", "right"))
-        level = durable(pairs.join(names, ["left", "right"]).select("rid", "idx", "name"))
-    return left.select("rid", "id", "text_sha256", "n_bytes").join(level.select("rid", "name"), "rid").drop("rid")
+        level = durable(pairs.join(names.hint("merge"), ["left", "right"]).select("rid", "idx", "name"))
+    return left.select("rid", "id", "text_sha256", "n_bytes").join(level.select("rid", "name").hint("merge"), "rid").drop("rid")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, head_bytes: int = HEAD_BYTES) -> DataFrame:
@@ -62,12 +62,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no rows.
 
     Shuffles: the texts once, by length and head (only those with a repeated head pass); a hot head or a hot
-    block is joined from written tables, where AQE splits it. Counts are pre-aggregated before each shuffle.
+    block is joined from written tables, where AQE splits it. Counts are pre-aggregated before each shuffle. Joins whose
+    sides grow with the input merge sorted sides at every size.
     """
     found = durable(block_identities(docs, id_col, text_col, block_bytes, head_bytes))
     groups = durable(found.groupBy("n_bytes", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     settled = (
-        found.join(groups, ["n_bytes", "name"])
+        found.join(groups.hint("merge"), ["n_bytes", "name"])
         .select("id", F.col("text_sha256").alias("sha"), "keep_id", "group_size")
         .dropDuplicates(["id", "sha"])
         .withColumnRenamed("id", "found_id")
