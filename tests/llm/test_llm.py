@@ -354,7 +354,15 @@ def test_contaminated_awkward(spark, monkeypatch):
         ("<div style='display: none'>no</div><span hidden>no</span>t<br>u<script>a<b</script>", "t\nu"),
         ("<head><title>no</title></head><body>yes &amp; &lt;x&gt;<!-- no -->", "yes & <x>"),
         ("<pre> k\n  l</pre>", " k\n  l"),
-        ("<textarea>no</textarea><noscript>no</noscript>a </p> b", "a\n\nb"),
+        ("<noscript>no</noscript>a </p> b", "a\n\nb"),
+        ("<svg><title>no</title><defs><text>no</text></defs><text>seen</text><text>too</text></svg>x", "seen too x"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"),
+        ("pick <select><option>no<option selected>this &amp; one<option>no</select> now", "pick this & one now"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<select><optgroup label=g><option>first<option>no</optgroup></select>", "first"),
+        ("a<textarea>\nb &lt;\n c</textarea>d", "a b <\n c d"),
+        ("<input value='in'><input type=hidden value=no><input type=submit value=Go><button>B</button>", "in Go B"),
+        ("<video>no</video><object>no</object><iframe>no</iframe>z", "z"),
         ("<p>unclosed <b", "unclosed <b"),
         ("<dl><dt>T<dd>D</dl><img alt='pic'>", "T\n  D\n\npic"),
         ("plain", "plain"), ("", ""), (None, ""),
@@ -364,6 +372,11 @@ def test_visible_text(source, text):
     assert html_text.visible_text(source) == text
 
 
+def test_html_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<p>a", 5, "t")], "page_id long, html string, id long, text string")
+    assert [tuple(r) for r in html_text.extract_text(df).collect()] == [(1, "a")]
+
+
 def test_html_deep_and_broken(spark):
     deep = "<div>" * 5000 + "end" + "</div>" * 10
     assert html_text.visible_text(deep) == "end"
