@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .bytesets import mix, powers, prefix_hashes, span_hashes, text_chunks
+from .bytesets import as_blob, mix, powers, prefix_hashes, span_hashes, text_chunks
 from .durable import durable, small_batches
 from .rowkeys import keyed
 
@@ -211,54 +211,93 @@ def _window_runs(hit: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1
 
 
-_FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "one", "two")] + [T.StructField(c, T.IntegerType()) for c in ("start", "stop")])
+_FOUND = "doc long, start int, stop int, gram long, fragment int, firsts binary"
+
+
+def _found(**columns: np.ndarray | list) -> pa.RecordBatch:
+    """Rows of _FOUND with nulls in the columns that are not given."""
+    kinds = {"doc": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "gram": pa.int64(), "fragment": pa.int32(), "firsts": pa.binary()}
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
 
 
 def _indexed(length: int, index_bytes: int):
     """Rows (gram, parts, part, doc, start, piece) in order: indexes whole groups of a gram, several at a time, and each part of a divided gram by itself.
 
-    Gives the spans that repeat. Of a divided gram it also gives, as two hashes, each window that is the first of
-    its kind in its part, so that the firsts of all parts can be compared; their stop is null.
+    Gives the spans that repeat. Of a divided gram it also gives the windows that are the first of their kind in their part,
+    as two hashes, dealt to as many fragments of all hashes as the gram has parts: one row for each part and fragment.
     """
     table = np.random.default_rng(7).permutation(256).astype(np.uint8)
 
-    def marked(group: list[tuple[int, int, bytes]], divided: bool) -> pa.RecordBatch:
+    def marked(group: list[tuple[int, int, bytes]], gram: int, parts: int) -> Iterator[pa.RecordBatch]:
         bounds = np.concatenate(([0], np.cumsum([len(x[2]) for x in group]))).astype(np.int64)
         data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
         docs, starts = np.array([x[0] for x in group], np.int64), np.array([x[1] for x in group], np.int64) - bounds[:-1]
         hit = repeated_windows(data, bounds, length)
         a, b = _window_runs(hit, length)
         k = np.searchsorted(bounds, a, "right") - 1
-        empty = np.zeros(0, np.int64)
-        firsts, one, two = empty, empty, empty
-        if divided:
-            room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(data))
-            firsts = np.flatnonzero(~hit & (room >= length))
-            one, two = (span_hashes(prefix_hashes(x), firsts, firsts + length).view(np.int64) for x in (data, table[data]))
-        f = np.searchsorted(bounds, firsts, "right") - 1
-        spans, windows = np.zeros(len(a), bool), np.ones(len(firsts), bool)
-        none = np.concatenate((~spans, ~windows))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate((docs[k], docs[f]))), *(pa.array(np.concatenate((np.zeros(len(a), np.int64), h)), mask=none) for h in (one, two)),
-                pa.array(np.concatenate((starts[k] + a, starts[f] + firsts)).astype(np.int32)), pa.array(np.concatenate((starts[k] + b, np.zeros(len(firsts), np.int64))).astype(np.int32), mask=~none),
-            ],
-            names=_FOUND.names,
-        )
+        yield _found(doc=docs[k], start=(starts[k] + a).astype(np.int32), stop=(starts[k] + b).astype(np.int32))
+        if parts == 1:
+            return
+        at = np.flatnonzero(~hit & (np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(data)) >= length))
+        one, two = (span_hashes(prefix_hashes(x), at, at + length) for x in (data, table[data]))
+        f = ((one >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.argsort(f, kind="stable")
+        at, one, two, f = at[order], one[order], two[order], f[order]
+        k = np.searchsorted(bounds, at, "right") - 1
+        doc, start = docs[k], starts[k] + at
+        used, first = np.unique(f, return_index=True)
+        edges = np.append(first, len(f))
+        blobs = [as_blob(one[x:y], two[x:y], doc[x:y], start[x:y]) for x, y in zip(edges, edges[1:])]
+        yield _found(gram=np.full(len(used), gram, np.int64), fragment=used.astype(np.int32), firsts=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, bytes]] = []
-        size, last, divided = 0, None, False
+        size, last, divided = 0, (0, 0), 1
         for batch in batches:
             for gram, parts, part, doc, start, piece in zip(*(batch.column(c).to_pylist() for c in ("gram", "parts", "part", "doc", "start", "piece")), strict=True):
-                if (gram, part) != last and group and (divided or parts > 1 or size >= index_bytes):
-                    yield marked(group, divided)
+                if (gram, part) != last and group and (divided > 1 or parts > 1 or size >= index_bytes):
+                    yield from marked(group, last[0], divided)
                     group, size = [], 0
-                last, divided = (gram, part), parts > 1
+                last, divided = (gram, part), parts
                 group.append((doc, start, piece))
                 size += len(piece)
         if group:
-            yield marked(group, divided)
+            yield from marked(group, last[0], divided)
+
+    return run
+
+
+def _across(length: int):
+    """Rows (gram, fragment, firsts) in order: the spans of windows that stand earlier in another part."""
+
+    def later(blobs: list[bytes]) -> pa.RecordBatch:
+        sent = [np.frombuffer(b, np.int64).reshape(4, -1) for b in blobs]
+        one, two, doc, start = np.concatenate(sent, axis=1)
+        order = np.lexsort((start, doc, two, one))
+        one, two, doc, start = one[order], two[order], doc[order], start[order]
+        again = np.zeros(len(order), bool)
+        again[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        doc, start = doc[again], start[again]
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        head = np.ones(len(doc), bool)
+        head[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+        begin = np.flatnonzero(head)
+        end = np.append(begin[1:], len(doc))[: len(begin)] - 1
+        return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(start[begin].astype(np.int32)), pa.array((start[end] + length).astype(np.int32))], names=["doc", "start", "stop"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, blobs = None, []
+        for batch in batches:
+            for gram, fragment, blob in zip(*(batch.column(c).to_pylist() for c in ("gram", "fragment", "firsts")), strict=True):
+                if (gram, fragment) != last and blobs:
+                    yield later(blobs)
+                    blobs = []
+                last = (gram, fragment)
+                blobs.append(blob)
+        if blobs:
+            yield later(blobs)
 
     return run
 
@@ -303,7 +342,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
     earlier one repeat whole: this shows within a chunk at once, else after one shuffle of hashes.
     Of segments that differ, those whose gram occurs in several go on with their bytes to a run-length index.
     A gram with more than part_segments segments is dealt to parts by document, each with an index of its own; what is
-    the first of its kind in its part is then compared with the firsts of the other parts, window by window.
+    the first of its kind in its part is then compared with the firsts of the other parts, in fragments of their hashes.
     """
     small_batches(docs.sparkSession)
     texts = docs.select("doc", "text")
@@ -329,11 +368,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
         pieces.select("gram", "parts", "part", "doc", "start", "piece").repartition("gram", "part").sortWithinPartitions("gram", "part", "doc", "start")
         .mapInArrow(_indexed(length, index_bytes), _FOUND)
     )
-    later = (
-        indexed.where("stop IS NULL").withColumn("k", F.row_number().over(Window.partitionBy("one", "two").orderBy("doc", "start")))
-        .where("k > 1").select("doc", "start", (F.col("start") + length).alias("stop"))
-    )
-    found = indexed.where("stop IS NOT NULL").select("doc", "start", "stop").unionByName(later).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    firsts = indexed.where("firsts IS NOT NULL").select("gram", "fragment", "firsts")
+    later = firsts.repartition("gram", "fragment").sortWithinPartitions("gram", "fragment").mapInArrow(_across(length), "doc long, start int, stop int")
+    found = indexed.where("firsts IS NULL").select("doc", "start", "stop").unionByName(later).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     empty = F.array().cast(_SPAN_LIST)
     spans = F.concat(F.coalesce("whole", empty), F.coalesce("found", empty)).alias("spans")
     return (
