@@ -267,12 +267,19 @@ def _(v: Views) -> DataFrame:
     return graph.pipelined_readiness(v["nodes"]().select("id", F.get(stages, (F.col("id") % 5).cast("int")).alias("stage")), v["edges"]())
 
 
-@query("c1b_merkle")
+MERKLE = (
+    "WITH RECURSIVE d AS (SELECT DISTINCT dependency, dependent FROM edges), n AS (SELECT id, '64:' || sha256(name) AS own, (SELECT count(*) FROM d WHERE dependent = id) AS need FROM nodes), "
+    "m(id, fingerprint) USING KEY (id) AS (SELECT id, sha256(own) FROM n WHERE need = 0 UNION SELECT n.id, sha256(any_value(n.own) || string_agg('64:' || r.fingerprint, '' ORDER BY r.fingerprint)) "
+    "FROM n JOIN d ON d.dependent = n.id JOIN recurring.m r ON r.id = d.dependency WHERE n.id NOT IN (SELECT id FROM recurring.m) GROUP BY n.id HAVING count(*) = any_value(n.need)) SELECT id, fingerprint FROM m"
+)
+
+
+@query("c1b_merkle", MERKLE, "nodes", "edges")
 def _(v: Views) -> DataFrame:
     return graph.merkle(v["nodes"]().select("id", F.sha2("name", 256).alias("fingerprint")), v["edges"]())
 
 
-@query("c1b_merkle_rounds")
+@query("c1b_merkle_rounds", MERKLE, "nodes", "edges")
 def _(v: Views) -> DataFrame:
     return graph.merkle(v["nodes"]().select("id", F.sha2("name", 256).alias("fingerprint")), v["edges"](), small=0)
 
@@ -639,12 +646,23 @@ def _(v: Views) -> DataFrame:
     return ordered.integer_ema(v["test_runs"](), "test_id")
 
 
-@query("win8_interval_ema")
+@query(
+    "win8_interval_ema",
+    "WITH t AS (SELECT test_id, epoch_us(ts) // 1000 AS t FROM test_runs), g AS (SELECT test_id, t, t - lag(t) OVER (PARTITION BY test_id ORDER BY t) AS g FROM t), "
+    "s AS (SELECT test_id, max(t) AS last, list_reduce(list_prepend(0::DOUBLE, coalesce(list(g::DOUBLE ORDER BY t) FILTER (g >= 1), [])), lambda a, x: a * 0.8::DOUBLE + x * 0.2::DOUBLE) AS e FROM g GROUP BY 1) "
+    "SELECT test_id, e AS interval_ms, last + e AS next_ms FROM s",
+    "test_runs",
+)
 def _(v: Views) -> DataFrame:
     return ordered.interval_ema(v["test_runs"]().select("test_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")), "test_id")
 
 
-@query("win9_running_mean")
+@query(
+    "win9_running_mean",
+    "WITH RECURSIVE m AS (SELECT test_id, 1 AS k, duration_ms AS mean FROM test_runs WHERE seq = 1 UNION ALL SELECT m.test_id, k + 1, (mean * k + duration_ms) // (k + 1) FROM m JOIN test_runs r ON r.test_id = m.test_id AND r.seq = k + 1) "
+    "SELECT test_id, max_by(mean, k)::BIGINT AS mean FROM m GROUP BY 1",
+    "test_runs",
+)
 def _(v: Views) -> DataFrame:
     return ordered.running_mean(v["test_runs"](), "test_id")
 
@@ -856,7 +874,21 @@ def _cache(v: Views) -> tuple[DataFrame, DataFrame]:
     return r, o
 
 
-@query("c3_prune_plan")
+@query(
+    "c3_prune_plan",
+    "WITH r AS (SELECT rid AS key, stored_at, size, CASE WHEN rid % 11 <> 0 THEN 'o' || artifact END AS a, 1300000000 - stored_at >= 300000000 AS old FROM records), "
+    "o AS (SELECT 'o' || artifact AS name, sum(size)::BIGINT AS size, min(stored_at) AS mtime FROM records GROUP BY 1), "
+    "d AS (SELECT *, name NOT IN (SELECT a FROM r WHERE NOT old AND a IS NOT NULL) AND (name IN (SELECT a FROM r WHERE old AND a IS NOT NULL) OR 1300000000 - mtime >= 300000000) AS aged FROM o), "
+    "k AS (SELECT key, stored_at, size, a, row_number() OVER (PARTITION BY a ORDER BY stored_at DESC, key DESC) = 1 AND a IS NOT NULL AS last FROM r WHERE NOT old), "
+    "b AS (SELECT k.*, d.name, d.size AS object_size, k.size + coalesce(d.size, 0) AS bytes FROM k LEFT JOIN d ON k.last AND k.a = d.name AND NOT d.aged), "
+    "held AS (SELECT (SELECT sum(size) FROM k) + (SELECT sum(size) FROM d WHERE NOT aged) AS total), "
+    "e AS (SELECT * FROM (SELECT *, sum(bytes) OVER (ORDER BY stored_at, key) - bytes AS before FROM b) WHERE (SELECT total FROM held) - before > 500000), "
+    "u AS (SELECT *, sum(size) OVER (ORDER BY mtime, name) - size AS before FROM d WHERE NOT aged AND name NOT IN (SELECT name FROM e WHERE name IS NOT NULL)) "
+    "SELECT 'record' AS kind, key::VARCHAR AS name, size, 'age' AS phase FROM r WHERE old UNION ALL SELECT 'object', name, size, 'age' FROM d WHERE aged "
+    "UNION ALL SELECT 'record', key::VARCHAR, size, 'capacity' FROM e UNION ALL SELECT 'object', name, object_size, 'capacity' FROM e WHERE name IS NOT NULL "
+    "UNION ALL SELECT 'object', name, size, 'capacity' FROM u WHERE (SELECT total FROM held) - coalesce((SELECT sum(bytes) FROM e), 0) - before > 500000",
+    "records",
+)
 def _(v: Views) -> DataFrame:
     return store.prune_plan(*_cache(v), as_of=1300000000, max_age=300000000, max_bytes=500000)
 
@@ -963,7 +995,14 @@ def _(v: Views) -> DataFrame:
 # --- fleet and streams ------------------------------------------------------------------------------------------------
 
 
-@query("sch1_lpt_buckets")
+@query(
+    "sch1_lpt_buckets",
+    "WITH RECURSIVE t AS (SELECT worker % 50 AS run_id, concat_ws('-', task_id, run_id, line, seq) AS task_id, duration_ms AS d, row_number() OVER (PARTITION BY worker % 50 ORDER BY duration_ms DESC, concat_ws('-', task_id, run_id, line, seq)) AS k FROM task_metrics), "
+    "p AS (SELECT run_id, k, task_id, 0::BIGINT AS agent, [d, 0, 0, 0]::BIGINT[] AS loads FROM t WHERE k = 1 "
+    "UNION ALL SELECT run_id, k, task_id, slot - 1, list_transform(loads, lambda x, i: CASE WHEN i = slot THEN x + d ELSE x END) FROM (SELECT t.run_id, t.k, t.task_id, t.d, p.loads, list_position(p.loads, list_min(p.loads))::BIGINT AS slot FROM p JOIN t ON t.run_id = p.run_id AND t.k = p.k + 1)) "
+    "SELECT run_id, task_id, agent, (max_by(loads, k) OVER (PARTITION BY run_id))[agent + 1] AS load FROM p",
+    "task_metrics",
+)
 def _(v: Views) -> DataFrame:
     return scheduling.pack_tasks(v["task_metrics"]().select((F.col("worker") % 50).alias("run_id"), F.concat_ws("-", "task_id", "run_id", "line", "seq").alias("task_id"), F.col("duration_ms").alias("duration")), 4)
 
@@ -1058,7 +1097,12 @@ def _(v: Views) -> DataFrame:
     return sinks.graph_tree(n, v["edges"]()).select(F.array_join("path", ">").alias("path"))
 
 
-@query("snk1_chrome_trace")
+@query(
+    "snk1_chrome_trace",
+    """SELECT 0 AS rank, 0::BIGINT AS ts, '{"name":"process_name","ph":"M","pid":1,"args":{"name":"build"}}' AS event UNION ALL SELECT DISTINCT 1, user_id, '{"name":"thread_name","ph":"M","pid":1,"tid":' || user_id || ',"args":{"name":"worker-' || user_id || '"}}' FROM logs """
+    """UNION ALL SELECT 2, event_id * 10, '{"name":"' || event_id || '","ph":"X","pid":1,"tid":' || user_id || ',"ts":' || event_id * 10 || ',"dur":' || kind * 5 || '}' FROM logs""",
+    "logs",
+)
 def _(v: Views) -> DataFrame:
     return sinks.chrome_trace(v["logs"]().select(F.col("event_id").cast("string").alias("task"), F.col("user_id").alias("worker"), (F.col("event_id") * 10).alias("start_us"), (F.col("kind") * 5).cast("long").alias("duration_us")))
 
@@ -1067,7 +1111,13 @@ def _millis(c: str) -> F.Column:
     return F.unix_millis(F.col(c).cast("timestamp"))
 
 
-@query("st1_debounce")
+@query(
+    "st1_debounce",
+    "WITH RECURSIVE r AS (SELECT user_id, epoch_us(ts) // 1000 AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM logs), "
+    "w AS (SELECT user_id, k, event_type, t AS opened FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, r.event_type, CASE WHEN r.t >= w.opened + 600000 THEN r.t ELSE w.opened END FROM w JOIN r ON r.user_id = w.user_id AND r.k = w.k + 1) "
+    "SELECT user_id, opened AS window_start, list(DISTINCT event_type ORDER BY event_type) AS paths FROM w GROUP BY 1, 2",
+    "logs",
+)
 def _(v: Views) -> DataFrame:
     return state.debounce(v["logs"]().select("user_id", _millis("ts").alias("ts_ms"), F.col("event_type").alias("path")), "user_id", 600000)
 
@@ -1089,7 +1139,14 @@ def _(v: Views) -> DataFrame:
     return state.healthy(last.crossJoin(F.broadcast(t.agg(F.max("ts").alias("now")))), F.col("now"), "6 HOURS").select("worker_id", "healthy")
 
 
-@query("st5_token_bucket")
+@query(
+    "st5_token_bucket",
+    "WITH RECURSIVE r AS (SELECT user_id, event_id AS seq, epoch_us(ts) // 1000 / 1000 AS s, (kind % 3 + 1)::DOUBLE AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM logs), "
+    "b AS (SELECT user_id, k, seq, s, 5 >= n AS allowed, CASE WHEN 5 >= n THEN 5 - n ELSE 5 END::DOUBLE AS left_ FROM r WHERE k = 1 "
+    "UNION ALL SELECT user_id, k, seq, s, now >= n, CASE WHEN now >= n THEN now - n ELSE now END FROM (SELECT r.user_id, r.k, r.seq, r.s, r.n, least(5::DOUBLE, b.left_ + (r.s - b.s) * 0.001::DOUBLE) AS now FROM b JOIN r ON r.user_id = b.user_id AND r.k = b.k + 1)) "
+    "SELECT user_id, seq, allowed, left_ AS left FROM b",
+    "logs",
+)
 def _(v: Views) -> DataFrame:
     return state.token_bucket(v["logs"]().select("user_id", (_millis("ts") / 1000).alias("ts_s"), F.col("event_id").alias("seq"), (F.col("kind") % 3 + 1).alias("n")), "user_id", 5, 0.001)
 

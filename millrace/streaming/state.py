@@ -93,20 +93,57 @@ def healthy(workers: DataFrame, as_of: Column, timeout: str) -> DataFrame:
     return workers.withColumn("healthy", F.col("last_heartbeat") > as_of - F.expr(f"INTERVAL {timeout}"))
 
 
+def _spend(rows: pd.DataFrame, capacity: float, rate: float, level: tuple[float, float] | None) -> tuple[list[tuple[int, bool, float]], tuple[float, float]]:
+    """(seq, allowed, left) of one bucket's requests in order, and its level after them; a bucket without a level is full."""
+    out = []
+    for t, seq, n in rows.sort_values(["ts_s", "seq"])[["ts_s", "seq", "n"]].itertuples(index=False):
+        left, since = level or (capacity, t)
+        left = min(capacity, left + max(0.0, t - since) * rate)
+        ok = left >= n
+        level = (left - n if ok else left, max(since, t))
+        out.append((seq, ok, level[0]))
+    return out, level
+
+
 def token_bucket(requests: DataFrame, by: str, capacity: float, rate: float) -> DataFrame:
-    """requests(by, ts_s, n, seq): whether each is allowed by a bucket that starts full and refills at rate a second; (by, seq, allowed, left)."""
-    order = F.array_sort(F.collect_list(F.struct("ts_s", "seq", "n")))
-    empty = F.array().cast("array<struct<seq:bigint,allowed:boolean,left:double>>")
-    start = F.struct(F.lit(float(capacity)).alias("t"), F.lit(None).cast("double").alias("at"), empty.alias("out"))
+    """requests(by, ts_s, n, seq): whether each is allowed by a bucket that starts full and refills at rate a second; (by, seq, allowed, left).
+
+    Every request depends on those before it, so a key is one task, in time linear in its requests.
+    """
 
-    def step(a: Column, x: Column) -> Column:
-        now = F.least(F.lit(float(capacity)), a["t"] + F.coalesce(x["ts_s"] - a["at"], F.lit(0.0)) * rate)
-        ok = now >= x["n"]
-        left = F.when(ok, now - x["n"]).otherwise(now)
-        return F.struct(left.alias("t"), x["ts_s"].alias("at"), F.concat(a["out"], F.array(F.struct(x["seq"].alias("seq"), ok.alias("allowed"), left.alias("left")))).alias("out"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_spend(pdf, float(capacity), rate, None)[0], columns=["seq", "allowed", "left"])
+        out.insert(0, by, pdf[by].iloc[0])
+        return out
 
     typed = requests.select(by, F.col("ts_s").cast("double").alias("ts_s"), F.col("seq").cast("long").alias("seq"), F.col("n").cast("double").alias("n"))
-    return typed.groupBy(by).agg(order.alias("_s")).select(by, F.inline(F.aggregate("_s", start, step)["out"]))
+    return typed.groupBy(by).applyInPandas(run, f"{by} {dict(requests.dtypes)[by]}, seq long, allowed boolean, left double")
+
+
+class TokenBucket(StatefulProcessor):
+    """Streaming token bucket: a key's state is its level and the time of it. Within a batch requests are taken by time."""
+
+    def __init__(self, capacity: float, rate: float):
+        self.capacity, self.rate = float(capacity), rate
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.level = handle.getValueState("level", "left double, ts_s double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        found, level = _spend(pd.concat(rows), self.capacity, self.rate, tuple(self.level.get()) if self.level.exists() else None)
+        self.level.update(tuple(float(x) for x in level))
+        out = pd.DataFrame(found, columns=["seq", "allowed", "left"])
+        out.insert(0, "key", key[0])
+        yield out
+
+    def close(self) -> None:
+        return
+
+
+def token_bucket_stream(requests: DataFrame, capacity: float, rate: float, key_type: str = "string") -> DataFrame:
+    """requests(key, ts_s, n, seq) as a stream: (key, seq, allowed, left); needs the RocksDB state store."""
+    typed = requests.select("key", F.col("ts_s").cast("double").alias("ts_s"), F.col("seq").cast("long").alias("seq"), F.col("n").cast("double").alias("n"))
+    return typed.groupBy("key").transformWithStateInPandas(TokenBucket(capacity, rate), f"key {key_type}, seq long, allowed boolean, left double", "Append", "None")
 
 
 def circuit_state(calls: DataFrame, by: str, as_of: Column, failures: int = 3, seconds: int = 10) -> DataFrame:
@@ -118,6 +155,75 @@ def circuit_state(calls: DataFrame, by: str, as_of: Column, failures: int = 3, s
     return calls.select(by).distinct().join(counted, by, "left").select(by, F.coalesce("failures", F.lit(0)).cast("long").alias("failures"), F.coalesce(open_, F.lit(False)).alias("open"))
 
 
+class _Expiring(StatefulProcessor):
+    """A key's state holds until a deadline of processing time, which every batch of its rows may move."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.deadline = handle.getValueState("deadline", "at long")
+
+    def _until(self, at: int | None) -> None:
+        if self.deadline.exists():
+            self.handle.deleteTimer(self.deadline.get()[0])
+            self.deadline.clear()
+        if at is not None:
+            self.deadline.update((int(at),))
+            self.handle.registerTimer(int(at))
+
+    def close(self) -> None:
+        return
+
+
+class CircuitBreaker(_Expiring):
+    """Streaming circuit breaker: a success resets, enough failures since open it, a quiet time closes it again."""
+
+    def __init__(self, failures: int, seconds: float):
+        self.most, self.quiet = failures, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.failures = handle.getValueState("failures", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        n = self.failures.get()[0] if self.failures.exists() else 0
+        for ok in pd.concat(rows).sort_values("ts_s", kind="stable")["ok"]:
+            n = 0 if ok else n + 1
+        self.failures.update((int(n),))
+        is_open = n >= self.most
+        self._until(timerValues.getCurrentProcessingTimeInMs() + int(self.quiet * 1000) if is_open else None)
+        yield pd.DataFrame({"key": [key[0]], "failures": [n], "open": [is_open]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        self.deadline.clear()
+        yield pd.DataFrame({"key": [key[0]], "failures": [self.failures.get()[0]], "open": [False]})
+
+
+def circuit_stream(calls: DataFrame, failures: int = 3, seconds: float = 10, key_type: str = "string") -> DataFrame:
+    """calls(key, ts_s, ok) as a stream: (key, failures, open) whenever a key was called or its breaker closes."""
+    return calls.groupBy("key").transformWithStateInPandas(CircuitBreaker(failures, seconds), f"key {key_type}, failures long, open boolean", "Append", "ProcessingTime")
+
+
+class Liveness(_Expiring):
+    """Streaming health: a heartbeat after none makes a worker healthy, none for the timeout prunes it."""
+
+    def __init__(self, seconds: float):
+        self.timeout = seconds
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        if sum(len(x) for x in rows) and not self.deadline.exists():
+            yield pd.DataFrame({"key": [key[0]], "healthy": [True]})
+        self._until(timerValues.getCurrentProcessingTimeInMs() + int(self.timeout * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        self.deadline.clear()
+        yield pd.DataFrame({"key": [key[0]], "healthy": [False]})
+
+
+def healthy_stream(heartbeats: DataFrame, seconds: float = 30, key_type: str = "string") -> DataFrame:
+    """heartbeats(key, ...) as a stream: (key, healthy) whenever a worker turns healthy or is pruned."""
+    return heartbeats.groupBy("key").transformWithStateInPandas(Liveness(seconds), f"key {key_type}, healthy boolean", "Append", "ProcessingTime")
+
+
 def active_peers(announcements: DataFrame, own_id: str, as_of: Column, seconds: int = 60) -> DataFrame:
     """announcements(message, ts_s) like id|host|port: newest of each peer, self and bad ports left out."""
     parts = F.split("message", r"\|")

@@ -366,6 +366,40 @@ def test_streaming_debounce(spark, tmp_path):
         q.stop()
 
 
+def rows_of(spark, stream, name, folder, enough):
+    """Rows that a stream has written once there are enough; timers keep a query busy, so it never says that all is processed."""
+    q = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            if spark.table(name).count() >= enough or q.awaitTermination(1):
+                break
+        return spark.table(name).collect()
+    finally:
+        q.stop()
+
+
+def test_streaming_limits_breakers_and_health(spark, tmp_path):
+    calls = spark.createDataFrame([("k", 0.0, 1, 2.0), ("k", 0.0, 2, 2.0), ("k", 0.0, 3, 2.0), ("k", 10.0, 4, 5.0), ("j", 3.0, 5, 6.0)], "key string, ts_s double, seq long, n double")
+    for k, part in enumerate((calls.where("seq < 3"), calls.where("seq >= 3"))):  # a level lives on from one batch to the next
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/calls")
+    source = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/calls")
+    got = rows_of(spark, state.token_bucket_stream(source, 5, 1), "allowed", tmp_path, 5)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, state.token_bucket(calls, "key", 5, 1).collect())) and len(got) == 5
+    tries = spark.createDataFrame([("w", 1.0, True), ("w", 2.0, False), ("w", 3.0, False), ("v", 1.0, False), ("v", 2.0, True)], "key string, ts_s double, ok boolean")
+    tries.coalesce(1).write.parquet(f"{tmp_path}/tries")
+    source = spark.readStream.schema(tries.schema).parquet(f"{tmp_path}/tries")
+    got = rows_of(spark, state.circuit_stream(source, failures=2, seconds=1), "breakers", tmp_path, 3)
+    assert sorted(map(tuple, got)) == [("v", 0, False), ("w", 2, False), ("w", 2, True)]
+    got = rows_of(spark, state.healthy_stream(source.select("key"), seconds=1), "health", tmp_path, 4)
+    assert sorted(map(tuple, got)) == [("v", False), ("v", True), ("w", False), ("w", True)]
+
+
+def test_token_bucket_of_a_long_key(spark):
+    n = 200_000
+    calls = spark.range(n).select(F.lit("k").alias("key"), (F.col("id") / 1000).alias("ts_s"), F.col("id").alias("seq"), F.lit(1).alias("n"))
+    assert state.token_bucket(calls, "key", 10, 100).where("allowed").count() == 10 + (n - 1) // 10
+
+
 def test_long_chain_by_rounds_of_its_length_in_bits(spark):
     n = 1000
     nodes = spark.range(n).select("id", F.col("id").cast("string").alias("name"), F.lit(2).alias("weight"))
