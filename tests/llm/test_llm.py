@@ -427,6 +427,33 @@ def test_neighbouring_licenses_are_told_apart(text, names):
     assert {n for n, *_ in license_scan.Scanner().scan(f"some words before {text} and some after")} == names
 
 
+def longest_common(a, b):
+    """Length of the longest common subsequence, by the full table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("wear", [0.05, 0.15, 0.24])
+def test_licenses_recall_against_exhaustive_alignment(wear):
+    """Copies worn by substituted, lost and inserted words, which the best alignment still covers, are found."""
+    rng, scanner = random.Random(7), license_scan.Scanner()
+    filler = [f"w{i}" for i in range(500)] + "the of and to in is with for this that software".split()
+    pick = lambda n: [rng.choice(filler) for _ in range(rng.randrange(n))]
+    planted = found = 0
+    for name, words_ in scanner.templates.items():
+        for wear_as in (lambda x: [rng.choice(filler)], lambda x: [], lambda x: [x, rng.choice(filler)]):
+            for _ in range(8):
+                copy = [y for x in words_ for y in (wear_as(x) if rng.random() < wear else [x])]
+                if longest_common(words_, copy) >= license_scan.MIN_COVERAGE * len(words_) and scanner._told(scanner.telling[name], copy):
+                    planted += 1
+                    found += name in {x[0] for x in scanner.scan(" ".join(pick(300) + copy + pick(300)))}
+    assert planted > 200 and found >= 0.98 * planted, (found, planted)
+
+
 # --- language model
 
 
