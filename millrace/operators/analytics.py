@@ -1,15 +1,19 @@
 """Run analytics: efficiency, failure rates, percentiles, bottlenecks, summaries, top-k lists.
 
-Everything is one hash aggregation with partial sums, or a top-k that Spark runs as TakeOrderedAndProject.
+Everything but the percentiles is one hash aggregation with partial sums, or a top-k that Spark runs as TakeOrderedAndProject.
 Empty inputs give zeros in global results. Ratios are ratios of sums. Rounding is half-even.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.graph import sorted_ranges
+
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 
 
@@ -35,10 +39,23 @@ def time_saved(runs: DataFrame, cost_ms: int = 1500) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, *by: str, at: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """Nearest-rank percentiles with min, max and mean; groups without values have no row, a global call gives zeros."""
-    cols = [F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), F.lit(0)).cast("long").alias(f"p{round(p * 100)}") for p in at]
-    cols += [F.coalesce(f(value), F.lit(0)).cast("long").alias(n) for n, f in (("min", F.min), ("max", F.max))]
-    return df.groupBy(*by).agg(*cols, F.coalesce(F.bround(F.avg(value), 2), F.lit(0.0)).alias("avg"))
+    """Nearest-rank percentiles with min, max and mean; groups without values have no row, a global call gives zeros.
+
+    Equal values are counted first; the counts are sorted by range and summed per range, so a group of any size
+    is spread over ranges, and a rank is looked for in each range behind the offset of those before.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = sorted_ranges(counts, *by, "_v")
+    sums = ranged.groupBy(*by, "_part").agg(F.sum("_c").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(b).alias(f"_by{k}") for k, b in enumerate(by)], F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    within = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v"))
+    same = [F.col(b).eqNullSafe(F.col(f"_by{k}")) for k, b in enumerate(by)]
+    ranks = ranged.withColumn("_within", within).join(offsets, reduce(Column.__and__, same, F.col("_part") == F.col("_at")))
+    picks = [F.min(F.when(F.col("_before") + F.col("_within") >= F.col("_all") * p, F.col("_v"))).alias(f"p{round(p * 100)}") for p in at] + [F.min("_v").alias("min"), F.max("_v").alias("max")]
+    names = [f"p{round(p * 100)}" for p in at] + ["min", "max"]
+    found = ranks.groupBy(*by).agg(*picks, (F.sum(F.col("_v").cast("double") * F.col("_c")) / F.sum("_c")).alias("avg"))
+    return found.select(*by, *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names], F.coalesce(F.bround("avg", 2), F.lit(0.0)).alias("avg"))
 
 
 def bottlenecks(runs: DataFrame, n: int = 3) -> DataFrame:

@@ -1,7 +1,7 @@
 """Joins the domain needs: path owners, lookups with precedence, missing blobs, snapshot differences, advisories, worker choice.
 
-Equi joins wherever a condition can be turned into one; substring and prefix joins compare against a pattern table
-whose size is counted first: up to MAX_PATTERNS it is broadcast, a larger one is searched in blocks of that size.
+Equi joins wherever a condition can be turned into one: prefixes meet as cut texts, substrings by their rarest gram.
+Where every row of a small side counts, it is counted first and broadcast in blocks of MAX_PATTERNS rows.
 """
 
 from __future__ import annotations
@@ -29,6 +29,42 @@ def match_patterns(rows: DataFrame, patterns: DataFrame, key: str, condition: Co
     return reduce(DataFrame.unionByName, [rows.join(F.broadcast(b), condition) for b in in_blocks(patterns, key)])
 
 
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of n characters; of none for n = 0 the empty one."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))) if n else F.when(text.isNotNull(), F.array(F.lit("")))
+
+
+def occurring(texts: DataFrame, patterns: DataFrame, text: str, pattern: str) -> DataFrame:
+    """(pattern): the distinct patterns that occur in some text.
+
+    A pattern meets the texts that hold the rarest of its three-letter grams, a shorter one those that hold it
+    as a gram, and is looked for in these.
+    """
+    wanted = patterns.select(F.col(pattern).alias("pattern")).where("pattern IS NOT NULL").distinct()
+    each = F.least(F.length("pattern"), F.lit(GRAM))
+    own = F.when(each == 0, _grams(F.col("pattern"), 0))
+    for n in range(1, GRAM + 1):
+        own = own.when(each == n, _grams(F.col("pattern"), n))
+    parts = wanted.select("pattern", F.explode(own).alias("gram"))
+    held = texts.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct()
+    found = held.select("text", F.explode(F.concat(*[_grams(F.col("text"), n) for n in range(GRAM + 1)])).alias("gram"))
+    counts = found.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(counts, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("pattern", "r.gram")
+    return found.join(rarest, "gram").where(F.col("text").contains(F.col("pattern"))).select("pattern").distinct()
+
+
+def beginning(texts: DataFrame, prefixes: DataFrame, text: str, prefix: str) -> DataFrame:
+    """(prefix): the distinct prefixes that some text begins with. Texts are cut at the lengths that prefixes have and meet them by equality."""
+    wanted = prefixes.select(F.col(prefix).alias("prefix")).where("prefix IS NOT NULL").distinct()
+    lengths = wanted.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # as many as the longest prefix has letters
+    cut = texts.select(F.col(text).alias("text")).crossJoin(F.broadcast(lengths)).select("text", F.explode(F.filter("lengths", lambda n: n <= F.length("text"))).alias("n"))
+    return wanted.join(cut.select(F.substring(F.col("text"), F.lit(1), F.col("n")).alias("prefix")).distinct(), "prefix", "left_semi")
+
+
 def ancestors(path: Column) -> Column:
     """A path and the directories above it, deepest first; the empty path is the root."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
@@ -57,13 +93,13 @@ def packages_for_paths(paths: DataFrame, packages: DataFrame) -> DataFrame:
 
 def recommend_tasks(changed: DataFrame, patterns: DataFrame, edges: DataFrame) -> DataFrame:
     """changed(file), patterns(package, pattern), edges: packages whose pattern occurs in a file, and all that depend on them."""
-    hits = match_patterns(changed, patterns, "package", F.col("file").contains(F.col("pattern"))).select(F.col("package").alias("id")).distinct()
+    hits = patterns.join(occurring(changed, patterns, "file", "pattern"), "pattern", "left_semi").select(F.col("package").alias("id")).distinct()
     return graph.closure(edges, hits, reverse=True).orderBy("id")
 
 
 def dependent_targets(changed: DataFrame, deps: DataFrame, edges: DataFrame) -> DataFrame:
     """changed(file), deps(target, dep): targets that list the file or a prefix of it, and what depends on them."""
-    hits = match_patterns(changed, deps, "dep", F.col("file").startswith(F.col("dep"))).select(F.col("target").alias("id")).distinct()
+    hits = deps.join(beginning(changed, deps, "file", "dep").withColumnRenamed("prefix", "dep"), "dep", "left_semi").select(F.col("target").alias("id")).distinct()
     return graph.closure(edges, hits, reverse=True).orderBy("id")
 
 

@@ -248,6 +248,29 @@ def test_joins(spark):
     assert joins.eligible_workers(workers, "rust", {"zone": "eu-central-1"}).count() == 0
 
 
+def test_substrings_and_prefixes_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab/") for _ in range(rng.randrange(n)))
+    texts, patterns = [word(12) for _ in range(60)] + [None, ""], [word(7) for _ in range(80)] + [None, "", "b"]
+    t, p = spark.createDataFrame([(x,) for x in texts], "file string"), spark.createDataFrame([(x,) for x in patterns], "pattern string")
+    known = [x for x in texts if x is not None]
+    assert sorted(r[0] for r in joins.occurring(t, p, "file", "pattern").collect()) == sorted({x for x in patterns if x is not None and any(x in y for y in known)})
+    assert sorted(r[0] for r in joins.beginning(t, p, "file", "pattern").collect()) == sorted({x for x in patterns if x is not None and any(y.startswith(x) for y in known)})
+    assert joins.occurring(t.limit(0), p, "file", "pattern").count() == 0 == joins.beginning(t, p.limit(0), "file", "pattern").count()
+
+
+def test_percentiles_against_ranks(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(50)])) for _ in range(2000)] + [("lone", 7), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    got = {r.g: r for r in an.percentiles(df, "v", "g").collect()}
+    assert set(got) == {"a", "b", None, "lone"}
+    for g, r in [*got.items(), ("all", an.percentiles(df, "v").first())]:
+        values = sorted(v for k, v in rows if v is not None and (g == "all" or k == g))
+        assert [r.p50, r.p90, r.p95, r.p99] == [values[-(-len(values) * p // 100) - 1] for p in (50, 90, 95, 99)]
+        assert (r.min, r.max) == (values[0], values[-1]) and abs(r.avg - sum(values) / len(values)) <= 0.005
+
+
 def test_store(spark):
     rng = random.Random(11)
     for data in (b"", b"abc", rng.randbytes(9000), b"\0" * 3000):
