@@ -19,8 +19,10 @@ from .rowkeys import keyed
 
 SPACE = "▁"
 _INFINITY = float("inf")
-#: Words whose shortest path a task remembers at most.
-REMEMBERED = 400_000
+#: Words whose shortest path a task remembers at most, new ones and, as many again, those of before that are still met.
+REMEMBERED = 100_000
+#: Pairs of pieces whose place in the grammar a task remembers at most.
+PAIRS = 400_000
 
 
 @dataclass(frozen=True)
@@ -127,6 +129,7 @@ class Transducer:
         self.unknown_weight = 1.0 if spec.merges else 10.0 - min(self.scores.values(), default=0.0)
         self._pairs: dict[tuple[str, str], bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
+        self._before: dict[str, tuple[int, ...]] = {}
 
     def _fallback(self, c: str) -> Arc:
         """The arc of a character that is no piece."""
@@ -145,7 +148,7 @@ class Transducer:
 
     def _follows(self, a: str, b: str) -> bool:
         """Whether the grammar has the pair; each is worked out once."""
-        if len(self._pairs) >= REMEMBERED:
+        if len(self._pairs) >= PAIRS:
             self._pairs.clear()
         got = self._pairs[a, b] = self._merged(a + b) == ([a, b] if a else [b])
         return got
@@ -221,13 +224,19 @@ class Transducer:
             for k, got in enumerate(out):
                 if got is None:
                     s = stretches[k]
-                    out[k] = got = known.get(s) or self._emitted(s)
+                    out[k] = got = known.get(s) or self._before.get(s) or self._emitted(s)
                     if len(s) <= 64:
                         if len(known) >= REMEMBERED:
-                            known.clear()
+                            self._before, self._known = known, {}
+                            known = self._known
                         known[s] = got
         return list(chain.from_iterable(out))
 
+    def forget(self) -> None:
+        """Drops the remembered words, so that a worker that waits for other tasks holds none."""
+        self._known, self._before = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids: list[int]) -> str:
         """The inverse transducer: pieces to text, runs of byte pieces to the characters they spell."""
         text = b"".join(map(self.surfaces.__getitem__, ids)).decode("utf-8", "replace")
@@ -258,6 +267,7 @@ def _coded(data: bytes, with_text: bool):
                 flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(edges[-1])))
                 texts = pa.array([machine.decode(x) if with_text else None for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.ListArray.from_arrays(pa.array(edges), flat), texts], names=_RESULT.names)
+        machine.forget()
 
     return run
 
