@@ -50,3 +50,15 @@ def test_entry(spark):
     rows = entry.entry(spark).orderBy("level").collect()
     assert rows[0].level == 0 and all(a.critical_ms <= b.critical_ms for a, b in zip(rows, rows[1:]))
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_owned_paths_have_no_fallback(spark, tmp_path):
+    """The SQL of join1_packages_for_paths asks for the fallback alone: no rows where every path has an owner, all owners where one has none."""
+    for n, urls in enumerate((["http://a.com/x", "http://a.com/x/y"], ["http://a.com/x", "http://b.com/y"])):
+        con = duckdb.connect()
+        os.mkdir(f"{tmp_path}/{n}")
+        con.execute(f"COPY (SELECT unnest(range({len(urls)})) AS page_id, unnest({urls}) AS url) TO '{tmp_path}/{n}/pages.parquet'")
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/{n}/pages.parquet'")
+        got = catalog.QUERIES["join1_packages_for_paths"](spark, f"{tmp_path}/{n}").select("package", "everything").collect()
+        assert sorted(tuple(r) for r in got) == sorted(con.execute(catalog.ORACLES["join1_packages_for_paths"]).fetchall())
+        assert bool(got) == bool(n)
