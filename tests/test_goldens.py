@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalar as sc
 from millrace.functions import text as tx
 from millrace.operators import analytics as an
-from millrace.operators import graph, joins, ordered, scheduling, store
+from millrace.operators import graph, joins, ordered, scheduling, store, tables
 from millrace.plans import algebra, extension
 from millrace.sources import readers, sinks
 from millrace.streaming import rpc, state
@@ -570,3 +570,27 @@ def test_rpc_stream(spark, tmp_path):
     assert by_id["3"]["result"]["total_runs"] == 1 and by_id["3"]["result"]["cache_efficiency"] == 75.0
     assert by_id["4"]["error"]["code"] == -32601 and [r["error"]["code"] for r in got if "error" in r and r.get("id") is None] == [-32700]
     assert len(by_id["5"]["result"]["tips"]) == 4 and len(got) == 6
+
+
+def test_graph_joins_broadcast_only_what_was_counted(spark, monkeypatch):
+    """Sizes of files and shuffles say little about rows: no join of a graph operator may be left to them."""
+    plans, write = [], tables.settle
+
+    def noted(df, *folders):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *folders)
+
+    for module in (graph, joins):
+        monkeypatch.setattr(module, "settle", noted)
+    monkeypatch.setattr(tables, "FEW_ROWS", -1)
+    nodes, edges = graph_of(spark, ["a", "b", "c", "d"], [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c")])
+    named = nodes.select("id", F.sha2("name", 256).alias("fingerprint"))
+    weighted = nodes.withColumn("weight", F.lit(1))
+    assert graph.bfs_rounds(edges, nodes.where("name = 'a'").select("id")).count() == 4
+    assert sorted(r.level for r in graph.longest_levels(nodes, edges, small=0).collect()) == [0, 1, 1, 2]
+    assert graph.merkle(named, edges, small=0).join(graph.merkle(named, edges), ["id", "fingerprint"]).count() == 4
+    assert graph.critical_path(weighted, edges, small=0).count() == 3
+    valid = graph.validate(nodes, edges)
+    assert valid.count() == 0
+    plans.append(valid._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "BroadcastExchange" in p and "_before" not in p]  # the offsets of ranges are one row a range
