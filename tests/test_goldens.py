@@ -593,4 +593,7 @@ def test_graph_joins_broadcast_only_what_was_counted(spark, monkeypatch):
     valid = graph.validate(nodes, edges)
     assert valid.count() == 0
     plans.append(valid._jdf.queryExecution().executedPlan().toString())
+    tasks = nodes.select(F.col("name").alias("package"), F.lit("build").alias("task"), F.array(F.lit("^build")).alias("depends_on"))
+    by_name = spark.createDataFrame([("d", "b"), ("b", "a")], "dependency string, dependent string")
+    assert joins.pipeline_edges(tasks, by_name).count() == 2
     assert not [p for p in plans if "BroadcastExchange" in p and "_before" not in p]  # the offsets of ranges are one row a range
