@@ -3,26 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesets import mix, prefix_hashes, span_hashes, text_chunks, words
-from .durable import small_batches
+from .durable import durable, small_batches
 from .rowkeys import keyed
 
-#: Labelled texts of each class that the fit uses at most: those with the least hash of the id.
+#: Labelled texts of each class that the fit starts from at most, those with the least hash of the id; then it learns from all.
 SAMPLE_PER_CLASS = 4000
 #: Rows of the embedding table, its width, filters of each width of the convolution, and the widths.
 TABLE, DIMENSIONS, FILTERS, WIDTHS = 1 << 15, 12, 6, (1, 2, 3)
 #: Word starts and ends (in bytes) that are hashed besides the whole word.
 AFFIXES = (4, 5, 6)
 EPOCHS, STEPS, RATE, BATCH_BYTES = 10, 400, 0.02, 1 << 18
-SHARE_FOR_THRESHOLDS = 5  # every fifth sampled text sets thresholds and is not trained on
+SHARE_FOR_THRESHOLDS = 5  # every fifth text sets thresholds and is not trained on
+#: Passes over all learning texts, task states that one task adds up, and steps of a logit that thresholds tell apart.
+ROUNDS, FAN_IN, LOGIT_STEPS = 2, 16, 1000
 
 
 @dataclass
@@ -37,6 +41,7 @@ class Classifier:
     languages: list[str] = field(default_factory=list)
     profile: np.ndarray | None = None  # (letter pair bucket, language)
     thresholds: np.ndarray | None = None
+    memory: dict[str, np.ndarray] | None = None  # Adagrad's sums, while it learns
 
 
 _PLACES = [(w, p) for w in WIDTHS for p in range(w)]
@@ -114,8 +119,9 @@ def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts of hashed letter pairs of each text, for the language."""
     low = _lowered(data).astype(np.int64)
     pair = ((low[:-1] * 263 + low[1:]) * 2654435761 >> 8) % 1024 if len(low) > 1 else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(pair)]
-    return np.bincount(row * 1024 + pair, minlength=(len(offsets) - 1) * 1024).reshape(-1, 1024)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inner = row[:-1] == row[1:]  # no pair across two texts
+    return np.bincount(row[:-1][inner] * 1024 + pair[inner], minlength=(len(offsets) - 1) * 1024).reshape(-1, 1024)
 
 
 def guess_language(model: Classifier, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -123,14 +129,48 @@ def guess_language(model: Classifier, data: np.ndarray, offsets: np.ndarray) ->
     return (_letters(data, offsets) @ model.profile).argmax(1) if len(model.languages) else np.zeros(len(offsets) - 1, np.int64)
 
 
+LEARNT = ("table", "kernels", "bias", "out")
+
+
+def _step(model: Classifier, rows: np.ndarray, number: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: np.ndarray, use: np.ndarray) -> None:
+    """One step of Adagrad on the texts of a chunk that use names.
+
+    The gradient of max pooling reaches only the words where each filter responded most.
+    """
+    embedded, value, where = _pooled(model, rows, number, first)
+    logit, active = _logits(model, value)
+    error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) * weight * use / max(use.sum(), 1)
+    d_active = np.outer(error, model.out) * (active > 0)
+    grads = {"out": active.T @ error, "bias": d_active.sum(0), "kernels": np.zeros_like(model.kernels)}
+    d_embedded = np.zeros_like(embedded)
+    last = first[1:]
+    for k, width in enumerate(WIDTHS):
+        for f in range(FILTERS):
+            j = k * FILTERS + f
+            live = np.flatnonzero((d_active[:, j] != 0) & (where[:, j] >= 0))
+            for p in range(width):
+                at = where[live, j] + p
+                ok = at < last[live]
+                word, d, place = number[at[ok]], d_active[live[ok], j], _PLACES.index((width, p))
+                grads["kernels"][place, :, f] += d @ embedded[word]
+                np.add.at(d_embedded, word, np.outer(d, model.kernels[place, :, f]))
+    touched = np.flatnonzero(d_embedded.any(1))
+    d_table = np.zeros_like(model.table)
+    np.add.at(d_table, rows[touched], (d_embedded[touched] / rows.shape[1])[:, None, :])
+    grads["table"] = d_table
+    for name, g in grads.items():
+        model.memory[name] += g * g
+        getattr(model, name)[...] -= (RATE * g / np.sqrt(model.memory[name])).astype(np.float32)
+    model.memory["offset"] += float(error.sum()) ** 2
+    model.offset -= RATE * float(error.sum()) / np.sqrt(model.memory["offset"])
+
+
 def train(texts: pa.Array, labels: np.ndarray, langs: np.ndarray, clean_to_toxic: float, seed: int = 0) -> Classifier:
     """Fits the network by stochastic gradients (Adagrad), then the thresholds on texts it has not seen.
 
     A clean text stands for clean_to_toxic times as many labelled texts as a toxic one; the thresholds count them so.
 
     Texts stay in Arrow buffers and their words in narrow integers, so a fit takes a few times the sample's bytes.
-
-    The gradient of max pooling reaches only the words where each filter responded most.
     """
     rng = np.random.default_rng(seed)
     wide = len(WIDTHS) * FILTERS
@@ -138,6 +178,7 @@ def train(texts: pa.Array, labels: np.ndarray, langs: np.ndarray, clean_to_toxic
         rng.normal(0, 0.3, (TABLE, DIMENSIONS)).astype(np.float32), rng.normal(0, 0.5, (len(_PLACES), DIMENSIONS, FILTERS)).astype(np.float32),
         np.zeros(wide, np.float32), np.abs(rng.normal(0, 0.5, wide)).astype(np.float32),
     )
+    model.memory = {k: np.full_like(getattr(model, k), 1e-6) for k in LEARNT} | {"offset": np.float64(1e-6)}
     chunks = []
     for lo, hi, data, offsets in text_chunks(texts, BATCH_BYTES):
         rows, number, first, _ = features(data, offsets)
@@ -146,38 +187,10 @@ def train(texts: pa.Array, labels: np.ndarray, langs: np.ndarray, clean_to_toxic
     if len(set(labels[~held])) == 2:
         share = labels[~held].mean()
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-        memory = {k: np.full_like(getattr(model, k), 1e-6) for k in ("table", "kernels", "bias", "out")}
-        off_memory = 1e-6
         for _ in range(min(10 * EPOCHS, max(EPOCHS, STEPS // len(chunks)))):
             for c in rng.permutation(len(chunks)):
-                lo, hi, rows, number, first = chunks[c]
-                embedded, value, where = _pooled(model, rows, number, first)
-                logit, active = _logits(model, value)
-                use = ~held[lo:hi]
-                error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[lo:hi]) * weight[lo:hi] * use / max(use.sum(), 1)
-                d_active = np.outer(error, model.out) * (active > 0)
-                grads = {"out": active.T @ error, "bias": d_active.sum(0), "kernels": np.zeros_like(model.kernels)}
-                d_embedded = np.zeros_like(embedded)
-                last = first[1:]
-                for k, width in enumerate(WIDTHS):
-                    for f in range(FILTERS):
-                        j = k * FILTERS + f
-                        live = np.flatnonzero((d_active[:, j] != 0) & (where[:, j] >= 0))
-                        for p in range(width):
-                            at = where[live, j] + p
-                            ok = at < last[live]
-                            word, d, place = number[at[ok]], d_active[live[ok], j], _PLACES.index((width, p))
-                            grads["kernels"][place, :, f] += d @ embedded[word]
-                            np.add.at(d_embedded, word, np.outer(d, model.kernels[place, :, f]))
-                touched = np.flatnonzero(d_embedded.any(1))
-                d_table = np.zeros_like(model.table)
-                np.add.at(d_table, rows[touched], (d_embedded[touched] / rows.shape[1])[:, None, :])
-                grads["table"] = d_table
-                for name, g in grads.items():
-                    memory[name] += g * g
-                    getattr(model, name)[...] -= (RATE * g / np.sqrt(memory[name])).astype(np.float32)
-                off_memory += float(error.sum()) ** 2
-                model.offset -= RATE * float(error.sum()) / np.sqrt(off_memory)
+                lo, hi, *words_of = chunks[c]
+                _step(model, *words_of, labels[lo:hi], weight[lo:hi], ~held[lo:hi])
     model.languages = sorted(set(langs.tolist()))
     counts = np.ones((1024, len(model.languages)))
     guessed, logits = np.zeros(len(texts), np.int64), np.zeros(len(texts))
@@ -193,18 +206,112 @@ def train(texts: pa.Array, labels: np.ndarray, langs: np.ndarray, clean_to_toxic
     return model
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray, clean_to_toxic: float) -> float:
-    """The logit with the fewest errors, a clean text counting clean_to_toxic times; midway between the texts beside it."""
+def _threshold(logits: np.ndarray, labels: np.ndarray, clean_to_toxic: float, times: np.ndarray | int = 1) -> float:
+    """The logit with the fewest errors, a clean text counting clean_to_toxic times; midway between the texts beside it. A row stands for so many texts as times says."""
     if len(set(labels)) < 2:
         return 0.0
     order = np.argsort(logits)
-    x, y = logits[order], labels[order]
-    cost = np.concatenate(([0], np.cumsum(y))) + clean_to_toxic * np.concatenate((np.cumsum((1 - y)[::-1])[::-1], [0]))
+    x, y, n = logits[order], labels[order], np.broadcast_to(times, labels.shape)[order]
+    cost = np.concatenate(([0], np.cumsum(y * n))) + clean_to_toxic * np.concatenate((np.cumsum(((1 - y) * n)[::-1])[::-1], [0]))
     best = np.flatnonzero(cost == cost.min())
     k = int(best[len(best) // 2])
     return float(x[0] - 0.5 if k == 0 else x[-1] + 0.5 if k == len(x) else (x[k - 1] + x[k]) / 2)
 
 
+def _state(model: Classifier) -> np.ndarray:
+    """All that a pass over texts changes, in a row."""
+    return np.concatenate([*[np.ravel(getattr(model, k)) for k in LEARNT], *[np.ravel(model.memory[k]) for k in LEARNT], [model.offset, model.memory["offset"]]]).astype(np.float64)
+
+
+def _with_state(model: Classifier, state: np.ndarray) -> Classifier:
+    model, at = deepcopy(model), 0
+    for hold in (lambda k, v: setattr(model, k, v), model.memory.__setitem__):
+        for k in LEARNT:
+            like = getattr(model, k)
+            hold(k, state[at : at + like.size].reshape(like.shape).astype(np.float32))
+            at += like.size
+    model.offset, model.memory["offset"] = float(state[at]), np.float64(state[at + 1])
+    return model
+
+
+def _pass(model: Classifier, share: float):
+    """Steps on all texts of a task; then what it learned, times its texts, and the letter pairs of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, texts, letters = deepcopy(model), 0, {}
+        for batch in batches:
+            toxic, held, langs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_toxic", "_held", "_lang"))
+            for lo, hi, data, offsets in text_chunks(batch.column("_text"), BATCH_BYTES):
+                rows, number, first, _ = features(data, offsets)
+                labels, use = toxic[lo:hi].astype(np.int64), ~held[lo:hi].astype(bool)
+                if use.any():
+                    _step(own, rows, number, first, labels, np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32), use)
+                    texts += int(use.sum())
+                pairs = _letters(data, offsets)
+                for lang in set(langs[lo:hi]):
+                    letters[lang] = letters.get(lang, 0) + pairs[langs[lo:hi] == lang].sum(0)
+        part = TaskContext.get().partitionId()
+        found = [(part, None, texts, (_state(own) * texts).tobytes())] * bool(texts) + [(part, k, 0, v.astype(np.float64).tobytes()) for k, v in letters.items()]
+        yield from (pa.RecordBatch.from_pylist([dict(zip(("part", "lang", "texts", "sums"), r))], schema=_SUMS) for r in found)
+
+    return run
+
+
+_SUMS = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("texts", pa.int64()), ("sums", pa.binary())])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task's rows for each language, and of the states (no language)."""
+    sums: dict[str | None, tuple[int, int, np.ndarray]] = {}
+    for batch in batches:
+        for part, lang, texts, data in zip(*(c.to_pylist() for c in batch.columns)):
+            first, n, total = sums.get(lang, (part, 0, 0.0))
+            sums[lang] = first, n + texts, total + np.frombuffer(data)
+    yield from (pa.RecordBatch.from_pylist([{"part": p, "lang": k, "texts": n, "sums": v.tobytes()}], schema=_SUMS) for k, (p, n, v) in sums.items())
+
+
+def _held_logits(model: Classifier):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch.column("_text"), BATCH_BYTES):
+                logit = _logits(model, _pooled(model, *features(data, offsets)[:3])[1])[0]
+                columns = guess_language(model, data, offsets), np.rint(np.clip(logit, -500, 500) * LOGIT_STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column("_toxic").slice(lo, hi - lo).cast(pa.int64())], names=["k", "logit", "toxic"])
+
+    return run
+
+
+def learn_all(model: Classifier, learning: DataFrame, share: float, seen: DataFrame) -> Classifier:
+    """The model after ROUNDS passes over all of learning(_id, _text, _lang, _toxic), with the languages and thresholds of all of it.
+
+    In a pass each task steps through its texts from the common model; the means of what the tasks learned, weighed by their
+    texts, are the next model. The states are added FAN_IN at a time in tasks, so the driver gets a sixteenth of them.
+    Every fifth text trains nothing and sets the thresholds; seen(_id, _held) says which of the texts used before those are.
+    """
+    spark = learning.sparkSession
+    small_batches(spark)
+    fifth = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(SHARE_FOR_THRESHOLDS)) == 0
+    texts = durable(learning.join(F.broadcast(seen), "_id", "left").select("_id", "_text", "_lang", "_toxic", F.coalesce("_held", fifth).alias("_held")).sortWithinPartitions(F.xxhash64("_id"), "_id")).drop("_id")
+    kind = "part int, lang string, texts long, sums binary"
+    for _ in range(ROUNDS):
+        told = durable(texts.mapInArrow(_pass(model, share), kind))
+        groups = -(-told.where("lang IS NULL").count() // FAN_IN)
+        added = told.repartition(max(1, groups), F.expr(f"part div {FAN_IN}")).sortWithinPartitions("part", "lang").mapInArrow(_added, kind).toArrow().sort_by("part")
+        sums = {r["lang"]: r for r in (b.to_pylist()[0] for b in pa.Table.from_batches(_added(iter(added.to_batches()))).to_batches())}
+        if None in sums:
+            model = _with_state(model, np.frombuffer(sums[None]["sums"]) / sums[None]["texts"])
+    model.memory = None
+    model.languages = sorted(k for k in sums if k is not None)
+    counts = np.stack([np.frombuffer(sums[k]["sums"]) for k in model.languages], 1) + 1
+    model.profile = np.log(counts / counts.sum(0))
+    bins = texts.where("_held").mapInArrow(_held_logits(model), "k long, logit long, toxic long").groupBy("k", "logit", "toxic").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    k, logit, toxic, n = (bins.column(c).to_numpy() for c in ("k", "logit", "toxic", "n"))
+    order = np.lexsort((toxic, logit, k))
+    k, logit, toxic, n = k[order], logit[order] / LOGIT_STEPS, toxic[order], n[order]
+    model.thresholds = np.array([_threshold(logit[k == i], toxic[k == i], 1.0, n[k == i]) for i in range(len(model.languages))])
+    return model
+
+
 def _scores(model: Classifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +329,9 @@ def held_out(ident: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Classifier:
-    """Learns from at most per_class labelled texts of each class whose id's crc32 modulo 5 is not 0.
+    """Learns from all labelled texts whose id's crc32 modulo 5 is not 0: first on the driver from at most per_class of each class, then, if there are more, from all in tasks.
 
-    An id that several texts share gives one of them. For the thresholds a text counts for as many learning labels of its class as there are for each sampled one.
+    An id that several texts share gives one of them. For the thresholds of the first part a text counts for as many learning labels of its class as there are for each of its texts.
     """
     ids = labels.where(F.col("toxic").isNotNull()).where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_label_id")).agg(F.max("toxic").alias("_toxic"))
     counts = {r["_toxic"]: r["n"] for r in ids.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -232,17 +339,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pick = lambda c: ids.where(F.col("_toxic") == c).orderBy(F.xxhash64("_label_id"), "_label_id").limit(per_class)
     chosen = pick(0).unionByName(pick(1))
     lang = F.col("lang") if "lang" in docs.columns else F.lit("")
-    rows = (
-        docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), F.coalesce(lang, F.lit("")).alias("_lang"))
-        .join(F.broadcast(chosen), F.col("_id") == F.col("_label_id"))
-        .groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text", "_lang", "_toxic")).alias("r")).select("_id", "r._text", "r._lang", "r._toxic").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
-    )
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), F.coalesce(lang, F.lit("")).alias("_lang"))
+    texts_of = lambda wanted: named.join(wanted, F.col("_id") == F.col("_label_id")).groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text", "_lang", "_toxic")).alias("r")).select("_id", "r._text", "r._lang", "r._toxic")
+    rows = texts_of(F.broadcast(chosen)).toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
     rows = rows.take(np.random.default_rng(1).permutation(rows.num_rows)).combine_chunks()
     texts = rows.column("_text").combine_chunks() if rows.num_rows else pa.array([], pa.string())
     model = train(texts, rows.column("_toxic").to_numpy().astype(np.int64), rows.column("_lang").to_numpy(), clean / toxic)
+    held = np.arange(rows.num_rows) % SHARE_FOR_THRESHOLDS == 0
+    seen = pa.table({"_id": rows.column("_id"), "_held": pa.array(held)})
+    whole = max(clean, toxic) == 1.0 or len(set(rows.column("_toxic").to_pylist())) < 2
     del rows, texts
     pa.default_memory_pool().release_unused()
-    return model
+    if model is None or whole:
+        if model is not None:
+            model.memory = None
+        return model
+    share = counts[1] / (counts[0] + counts[1])
+    return learn_all(model, texts_of(ids.where(F.col("_toxic").isin(0, 1)).hint("merge")), share, docs.sparkSession.createDataFrame(seen))
 
 
 def score_toxicity(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

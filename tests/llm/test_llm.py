@@ -635,6 +635,23 @@ def test_threshold_counts_errors_by_weight():
     assert toxicity._threshold(logits, labels, 1.0) == 0.5 and toxicity._threshold(logits, labels, 9.0) == 3.5
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """Beyond the texts of the first part the weights, the languages and their letter pairs come from every learning text."""
+    rng = random.Random(9)
+    rows = [(i, words(rng, 30) + (" idiot" if i % 4 == 0 else ""), f"l{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    model, first = toxicity.fit(docs, marks, per_class=5), toxicity.fit(docs, marks.where("doc_id < 20"))
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert model.languages == sorted(r[2] for r in learn) and len(model.thresholds) == len(learn) and model.memory is None is first.memory
+    for i, text, lang in learn:
+        _, _, data, offsets = next(toxicity.text_chunks(pa.array([text])))
+        n = toxicity._letters(data, offsets)[0] + 1
+        assert abs(model.profile[:, model.languages.index(lang)] - np.log(n / n.sum())).max() < 1e-9
+    again = toxicity.fit(docs.repartition(3), marks.repartition(2), per_class=5)
+    assert abs(again.table - model.table).max() < 1e-3 and toxicity.score_toxicity(docs, model).count() == 60
+
+
 def test_toxicity_awkward(spark):
     none = toxicity.fit(table(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score_toxicity(table(spark, []), none).count() == 0
