@@ -25,8 +25,8 @@ TABLE, DIMENSIONS, FILTERS, WIDTHS = 1 << 15, 12, 6, (1, 2, 3)
 AFFIXES = (4, 5, 6)
 EPOCHS, STEPS, RATE, BATCH_BYTES = 10, 400, 0.02, 1 << 18
 SHARE_FOR_THRESHOLDS = 5  # every fifth text sets thresholds and is not trained on
-#: Passes over all learning texts, task states that one task adds up, and steps of a logit that thresholds tell apart.
-ROUNDS, FAN_IN, LOGIT_STEPS = 2, 16, 1000
+#: Passes over all learning texts, bytes of text a task of them (its state takes about 6 MB), task states that one task adds up, and steps of a logit that thresholds tell apart.
+ROUNDS, PASS_BYTES, FAN_IN, LOGIT_STEPS = 2, 16 << 20, 16, 1000
 
 
 @dataclass
@@ -285,16 +285,18 @@ def learn_all(model: Classifier, learning: DataFrame, share: float, seen: DataFr
     """The model after ROUNDS passes over all of learning(_id, _text, _lang, _toxic), with the languages and thresholds of all of it.
 
     In a pass each task steps through its texts from the common model; the means of what the tasks learned, weighed by their
-    texts, are the next model. The states are added FAN_IN at a time in tasks, so the driver gets a sixteenth of them.
+    texts, are the next model. Tasks follow the bytes of text and not the session's partitions, as each writes a state of one size.
+    The states are added FAN_IN at a time in tasks, so the driver gets a sixteenth of them.
     Every fifth text trains nothing and sets the thresholds; seen(_id, _held) says which of the texts used before those are.
     """
     spark = learning.sparkSession
     small_batches(spark)
     fifth = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(SHARE_FOR_THRESHOLDS)) == 0
-    texts = durable(learning.join(F.broadcast(seen), "_id", "left").select("_id", "_text", "_lang", "_toxic", F.coalesce("_held", fifth).alias("_held")).sortWithinPartitions(F.xxhash64("_id"), "_id")).drop("_id")
+    texts = durable(learning.join(F.broadcast(seen), "_id", "left").select("_id", "_text", "_lang", "_toxic", F.coalesce("_held", fifth).alias("_held"), F.octet_length("_text").alias("_bytes")).sortWithinPartitions(F.xxhash64("_id"), "_id")).drop("_id")
+    tasks = max(1, -(-(texts.agg(F.sum("_bytes")).first()[0] or 0) // PASS_BYTES))
     kind = "part int, lang string, texts long, sums binary"
     for _ in range(ROUNDS):
-        told = durable(texts.mapInArrow(_pass(model, share), kind))
+        told = durable(texts.coalesce(tasks).mapInArrow(_pass(model, share), kind))
         groups = -(-told.where("lang IS NULL").count() // FAN_IN)
         added = told.repartition(max(1, groups), F.expr(f"part div {FAN_IN}")).sortWithinPartitions("part", "lang").mapInArrow(_added, kind).toArrow().sort_by("part")
         sums = {r["lang"]: r for r in (b.to_pylist()[0] for b in pa.Table.from_batches(_added(iter(added.to_batches()))).to_batches())}

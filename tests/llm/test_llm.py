@@ -652,6 +652,29 @@ def test_toxicity_learns_from_all_labelled_texts(spark):
     assert abs(again.table - model.table).max() < 1e-3 and toxicity.score_toxicity(docs, model).count() == 60
 
 
+def test_toxicity_states_follow_the_bytes_of_text(spark, monkeypatch):
+    """Each task of a pass writes a state of 6 MB: there are as many as the texts need, whatever the session's partitions."""
+    states, write = [], toxicity.durable
+
+    def noted(df):
+        out = write(df)
+        states.extend([out.where("lang IS NULL").count()] if "sums" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(toxicity, "durable", noted)
+    docs = table(spark, [(i, f"word {i}" + " idiot" * (i % 4 == 0)) for i in range(60)])
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        toxicity.fit(docs, marks, per_class=5)
+        assert states == [1] * toxicity.ROUNDS
+        monkeypatch.setattr(toxicity, "PASS_BYTES", 300)
+        toxicity.fit(docs, marks, per_class=5)
+        assert states[-1] > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_toxicity_awkward(spark):
     none = toxicity.fit(table(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score_toxicity(table(spark, []), none).count() == 0
