@@ -322,6 +322,19 @@ def test_states(spark):
     assert {r.worker: r.open for r in state.circuit_state(c, "worker", F.lit(20)).collect()} == {"w": False, "v": False}
 
 
+def test_fan_in_is_written_in_runs(spark, tmp_path):
+    nodes = spark.range(10_500).select("id", F.when(F.col("id") < 10_000, "Docker").otherwise("Rust").alias("ecosystem"))
+    joins.fan_in(nodes, "Docker").write.parquet(f"{tmp_path}/out")
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.columns == ["dependency", "dependent"] and found.count() == 500 * 10_000
+    each = found.groupBy("dependency").agg(F.count_distinct("dependent").alias("n"), F.min("dependent").alias("a"), F.max("dependent").alias("b"))
+    assert sorted(map(tuple, each.collect())) == [(10_000 + k, 10_000, 0, 9_999) for k in range(500)]
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 1_500_000
+    same = spark.createDataFrame([(7, "Rust"), (7, "Rust"), (1, "Docker"), (1, "Docker"), (2, None), (3, "Docker")], "id long, ecosystem string")
+    assert sorted(map(tuple, joins.fan_in(same, "Docker").collect())) == [(7, 1)] * 4 + [(7, 3)] * 2
+    assert joins.fan_in(same, "Go").count() == 0
+
+
 def test_renderings(spark, tmp_path):
     nodes, edges = graph_of(spark, ["app", "core", "db", "lone"], [("core", "app"), ("db", "app"), ("db", "core")])
     assert [r.line for r in sinks.graph_tree(nodes, edges).collect()] == ["app", "  core", "    db", "  db", "lone"]
