@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import itertools
 import json
 import random
 
@@ -355,6 +356,20 @@ def test_graph_tree_is_followed_to_its_end(spark):
         sinks.graph_tree(nodes, edges)
 
 
+def test_graph_paths_sorts_and_writes_no_way_of_a_repeated_tree(spark, monkeypatch):
+    names = [f"{side}{k}" for k in range(10) for side in "ab"]
+    nodes, edges = graph_of(spark, names, [(f"{x}{k + 1}", f"{y}{k}") for k in range(9) for x in "ab" for y in "ab"])
+    written = []
+    monkeypatch.setattr(sinks, "settle", lambda df, *folders: written.append(tables.settle(df, *folders)) or written[-1])
+    monkeypatch.setattr(sinks, "PART_ROWS", 300, raising=False)
+    found = [r.path for r in sinks.graph_paths(nodes, edges, ">").collect()] if hasattr(sinks, "graph_paths") else [">".join(r.path) for r in sinks.graph_tree(nodes, edges).collect()]
+    ways = [">".join(f"{c}{k}" for k, c in enumerate(w)) for n in range(1, 11) for w in itertools.product("ab", repeat=n)]
+    assert found == sorted(ways, key=lambda w: w.split(">")) and len(found) == 2046
+    assert sum(df.count() for df in written) < 500
+    monkeypatch.setattr(sinks, "BRANCHES", 0)
+    assert [">".join(r.path) for r in sinks.graph_tree(nodes, edges).collect()] == found
+
+
 def test_readers(spark, tmp_path):
     folder = tmp_path / "records" / "ab"
     folder.mkdir(parents=True)
